@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from goldmeter.functions import vocabulary as V
-from goldmeter.functions.text import any_of, norm_label, norm_value, recode, to_number
+from goldmeter.functions.text import any_of, let, norm_label, norm_value, recode, to_number
 
 
 def parts(count, period_count, unit, cls) -> Column:
@@ -26,32 +26,42 @@ def _range(first: Column, second: Column) -> Column:
 
 def frequency_parts(c: Column) -> Column:
     """Struct(count, period_count, period_unit, class) of a free-text frequency."""
-    t = norm_value(c)
-    every = [F.regexp_extract(t, V.EVERY_PATTERN, i) for i in (1, 2)]
-    per = [F.regexp_extract(t, V.PER_PATTERN, i) for i in (1, 2, 3, 4)]
-    span = [F.regexp_extract(t, V.IN_PERIOD_PATTERN, i) for i in (1, 2, 3, 4)]
-    phrase_count = recode(t, {k: v[0] for k, v in V.PHRASE_RATES.items()})
-    phrase_unit = recode(t, {k: v[1] for k, v in V.PHRASE_RATES.items()})
-    vague = every[0].isin("few", "couple")
+    phrase_count = {k: v[0] for k, v in V.PHRASE_RATES.items()}
+    phrase_unit = {k: v[1] for k, v in V.PHRASE_RATES.items()}
 
     def one_if_blank(x: Column) -> Column:
         return F.when(x == "", "1").otherwise(x)
 
-    return (
-        F.when(t == "", parts("", "", "", ""))
-        .when(any_of(t, V.SEIZURE_FREE_PHRASES), parts("0", "", "", "seizure_free"))
-        .when(any_of(t, V.FEW_MONTHS_PHRASES), parts("1", "3", "month", "approximate_rate"))
-        .when(t.isin(list(V.PHRASE_RATES)), parts("1", phrase_count, phrase_unit, "rate"))
-        .when(every[1] != "", parts(
-            "1",
-            F.when(every[0] == "few", "3").when(every[0] == "couple", "2").otherwise(recode(every[0], V.NUMBER_WORDS)),
-            every[1], F.when(vague, "approximate_rate").otherwise("rate"),
-        ))
-        .when(per[3] != "", parts(_range(per[0], per[1]), one_if_blank(per[2]), per[3], "rate"))
-        .when(span[3] != "", parts(_range(span[0], span[1]), one_if_blank(span[2]), span[3], "rate"))
-        .when(t.rlike(r"^\d+(?:\.\d+)?$"), parts(t, "", "", "count_only"))
-        .otherwise(parts("", "", "", "unparsed"))
-    )
+    def groups(text: Column, pattern: str, n: int) -> Column:
+        """Groups of the first match as one array; empty when there is no match."""
+        hit = F.regexp_substr(text, F.lit(pattern))
+        return F.when(hit.isNotNull(), F.array(*[F.regexp_extract(text, pattern, i) for i in range(1, n + 1)])).otherwise(
+            F.array().cast("array<string>"))
+
+    def every_rule(t: Column, otherwise) -> Column:
+        def made(g):
+            n = F.when(g[0] == "few", "3").when(g[0] == "couple", "2").otherwise(recode(g[0], V.NUMBER_WORDS))
+            cls = F.when(g[0].isin("few", "couple"), "approximate_rate").otherwise("rate")
+            return F.when(F.size(g) > 0, parts("1", n, g[1], cls)).otherwise(otherwise)
+
+        return let(groups(t, V.EVERY_PATTERN, 2), made)
+
+    def rate_rule(t: Column, pattern: str, otherwise) -> Column:
+        return let(groups(t, pattern, 4), lambda g: F.when(
+            F.size(g) > 0, parts(_range(g[0], g[1]), one_if_blank(g[2]), g[3], "rate")).otherwise(otherwise))
+
+    def grammar(t: Column) -> Column:
+        rest = F.when(t.rlike(r"^\d+(?:\.\d+)?$"), parts(t, "", "", "count_only")).otherwise(parts("", "", "", "unparsed"))
+        ruled = every_rule(t, rate_rule(t, V.PER_PATTERN, rate_rule(t, V.IN_PERIOD_PATTERN, rest)))
+        return (
+            F.when(t == "", parts("", "", "", ""))
+            .when(any_of(t, V.SEIZURE_FREE_PHRASES), parts("0", "", "", "seizure_free"))
+            .when(any_of(t, V.FEW_MONTHS_PHRASES), parts("1", "3", "month", "approximate_rate"))
+            .when(t.isin(list(V.PHRASE_RATES)), parts("1", recode(t, phrase_count), recode(t, phrase_unit), "rate"))
+            .otherwise(ruled)
+        )
+
+    return let(norm_value(c), grammar)
 
 
 def structured_parts(count: Column, period_count: Column, unit: Column) -> Column:
@@ -71,30 +81,38 @@ def _both_free(a: Column, b: Column):
 
 def parts_match(pred: Column, gold: Column) -> Column:
     """Strict: count, period count and unit all agree (or both seizure free)."""
-    both, either = _both_free(pred, gold)
-    same = (
-        (pred["count"] != "") & (pred["count"] == gold["count"])
-        & (pred["period_count"] == gold["period_count"]) & (pred["period_unit"] == gold["period_unit"])
-    )
-    return F.when(both, True).when(either, False).otherwise(same)
+    def rule(pair):
+        p, g = pair["p"], pair["g"]
+        both, either = _both_free(p, g)
+        same = (
+            (p["count"] != "") & (p["count"] == g["count"])
+            & (p["period_count"] == g["period_count"]) & (p["period_unit"] == g["period_unit"])
+        )
+        return F.when(both, True).when(either, False).otherwise(same)
+
+    return let(F.struct(pred.alias("p"), gold.alias("g")), rule)
 
 
 def count_in_range(count: Column, gold: Column) -> Column:
     bounds = F.split(gold, "-", 2)
     lo, hi, x = to_number(F.get(bounds, F.lit(0))), to_number(F.get(bounds, F.lit(1))), to_number(count)
-    inside = gold.contains("-") & F.coalesce((lo <= x) & (x <= hi), F.lit(False))
+    inside = gold.contains("-") & F.coalesce(x.between(lo, hi), F.lit(False))
     return (count == gold) | inside
 
 
 def parts_loose_match(pred: Column, gold: Column) -> Column:
     """Loose: count may lie inside a gold range and units are equated."""
-    both, either = _both_free(pred, gold)
-    close = (
-        (pred["count"] != "") & (gold["count"] != "") & count_in_range(pred["count"], gold["count"])
-        & (recode(pred["period_unit"], V.PERIOD_UNITS) == recode(gold["period_unit"], V.PERIOD_UNITS))
-        & (pred["period_count"] == gold["period_count"])
-    )
-    return F.when(both, True).when(either, False).otherwise(close)
+    def rule(pair):
+        p, g = pair["p"], pair["g"]
+        both, either = _both_free(p, g)
+        close = (
+            (p["count"] != "") & (g["count"] != "") & (p["period_count"] == g["period_count"])
+            & (recode(p["period_unit"], V.PERIOD_UNITS) == recode(g["period_unit"], V.PERIOD_UNITS))
+            & count_in_range(p["count"], g["count"])
+        )
+        return F.when(both, True).when(either, False).otherwise(close)
+
+    return let(F.struct(pred.alias("p"), gold.alias("g")), rule)
 
 
 # fixed values: counts written as words in labels
@@ -110,21 +128,25 @@ def _word_or_number(t: Column) -> Column:
 
 
 def _token_quantity(t: Column) -> Column:
-    tokens = F.filter(F.split(t, " "), lambda x: x != "")
-    pair = (_word_or_number(F.get(tokens, F.lit(0))) + _word_or_number(F.get(tokens, F.lit(1)))) / 2
-    return F.coalesce(_word_or_number(t), F.when(F.size(tokens) == 2, pair))
-
-
-def quantity(c: Column, depth: int = 3) -> Column:
-    """Number of a count phrase: words, "multiple", "n to m" and "n m" ranges averaged."""
-    t = norm_label(c)
-    if depth == 0:
-        return _token_quantity(t)
-    left = F.substring_index(t, " to ", 1)
-    right = F.substring(t, F.length(left) + 5, F.length(t))
-    return F.when(t.contains(" to "), (_token_quantity(left) + quantity(right, depth - 1)) / 2).otherwise(
-        _token_quantity(t)
-    )
+    def rule(tokens):
+        values = F.transform(tokens, _word_or_number)
+        return F.when(F.size(tokens) == 2, (F.get(values, F.lit(0)) + F.get(values, F.lit(1))) / 2)
+
+    return F.coalesce(_word_or_number(t), let(F.filter(F.split(t, " "), lambda x: x != ""), rule))
+
+
+def quantity(c: Column) -> Column:
+    """Number of a count phrase: words, "multiple", "n to m" and "n m" ranges averaged.
+
+    "a to b to c" is a to (b to c): the parts fold from the right.
+    """
+    def rule(t):
+        parts_ = F.transform(F.split(t, " to "), _token_quantity)
+        tail = F.aggregate(
+            F.reverse(F.slice(parts_, F.lit(1), F.size(parts_) - 1)), F.element_at(parts_, -1), lambda acc, x: (x + acc) / 2)
+        return F.when(t.contains(" to "), tail).otherwise(_token_quantity(t))
+
+    return let(norm_label(c), rule)
 
 
 def monthly_factor(unit: Column) -> Column:
@@ -136,7 +158,7 @@ def monthly_factor(unit: Column) -> Column:
 
 def monthly_rate(count: Column, period_count: Column, unit: Column) -> Column:
     """Events per month, NULL when a part does not parse or the period is zero."""
-    den = F.when(F.coalesce(period_count, F.lit("")) == "", F.lit(1.0)).otherwise(quantity(period_count))
+    den = let(F.coalesce(period_count, F.lit("")), lambda n: F.when(n == "", F.lit(1.0)).otherwise(quantity(n)))
     return quantity(count) * monthly_factor(unit) / F.nullif(den, F.lit(0.0))
 
 
@@ -146,34 +168,41 @@ _RATE = r"^(.+?) per (?:(.+?) )?(day|week|month|year)$"
 
 def label_rate(c: Column) -> Column:
     """Monthly rate of a normalised label; 1000 stands for unknown."""
-    t = norm_label(c)
-    cl = [F.regexp_extract(t, _CLUSTER, i) for i in (1, 2, 3, 4)]
-    rt = [F.regexp_extract(t, _RATE, i) for i in (1, 2, 3)]
-    cluster = F.when(cl[2] != "", monthly_rate(cl[0], cl[1], cl[2]) * quantity(cl[3]))
-    rate = F.when(rt[2] != "", monthly_rate(rt[0], rt[1], rt[2]))
-    return (
-        F.when(t.isin("", "unknown", V.NO_REFERENCE_LABEL), V.UNKNOWN_RATE)
-        .when(t.startswith("seizure free") | t.isin("no seizure", "no seizures"), 0.0)
-        .otherwise(F.coalesce(cluster, rate, F.lit(V.UNKNOWN_RATE)))
-    )
+    def groups(t, pattern, n):
+        return F.array(*[F.regexp_extract(t, pattern, i) for i in range(1, n + 1)])
+
+    def rule(t):
+        cluster = let(groups(t, _CLUSTER, 4), lambda g: F.when(
+            g[2] != "", monthly_rate(g[0], g[1], g[2]) * quantity(g[3])))
+        rate = let(groups(t, _RATE, 3), lambda g: F.when(g[2] != "", monthly_rate(g[0], g[1], g[2])))
+        return (
+            F.when(t.isin("", "unknown", V.NO_REFERENCE_LABEL), V.UNKNOWN_RATE)
+            .when(t.startswith("seizure free") | t.isin("no seizure", "no seizures"), 0.0)
+            .otherwise(F.coalesce(cluster, rate, F.lit(V.UNKNOWN_RATE)))
+        )
+
+    return let(norm_label(c), rule)
 
 
 def parts_rate(p: Column) -> Column:
     """Monthly rate of parsed parts; 1000 stands for unknown."""
-    return F.when(p["class"] == "seizure_free", 0.0).otherwise(
+    return let(p, lambda p: F.when(p["class"] == "seizure_free", 0.0).otherwise(
         F.coalesce(
             F.when((p["count"] != "") & (p["period_unit"] != ""),
                    monthly_rate(p["count"], p["period_count"], p["period_unit"])),
             F.lit(V.UNKNOWN_RATE),
         )
-    )
+    ))
 
 
-def gold_rate(structured: Column, surface: Column) -> Column:
-    """Rate of a gold annotation; the span text speaks when the columns are empty."""
-    said = frequency_parts(surface)
-    use_text = (structured["count"] == "") & (structured["period_unit"] == "") & ~said["class"].isin("", "unparsed")
-    return F.when(use_text, parts_rate(said)).otherwise(parts_rate(structured))
+def gold_rate(structured: Column, surface_parts: Column) -> Column:
+    """Rate of a gold annotation; the parsed span text speaks when the columns are empty."""
+    def rule(pair):
+        g, s = pair["g"], pair["s"]
+        use_text = (g["count"] == "") & (g["period_unit"] == "") & ~s["class"].isin("", "unparsed")
+        return parts_rate(F.when(use_text, s).otherwise(g))
+
+    return let(F.struct(structured.alias("g"), surface_parts.alias("s")), rule)
 
 
 # fixed values: upper bounds (inclusive) of the ten-class ladder
@@ -186,10 +215,13 @@ COARSE_LADDER = [(1.1, "infrequent"), (999.0, "frequent")]
 
 
 def _ladder(x: Column, steps) -> Column:
-    out = F.when(x == V.UNKNOWN_RATE, "UNK").when(x == 0, "NS").when(~(x > 0), "UNK")
-    for bound, name in steps:
-        out = out.when(x <= bound, name)
-    return out.otherwise("UNK")
+    def rule(x):
+        out = F.when(x == V.UNKNOWN_RATE, "UNK").when(x == 0, "NS").when(~(x > 0), "UNK")
+        for bound, name in steps:
+            out = out.when(x <= bound, name)
+        return out.otherwise("UNK")
+
+    return let(x, rule)
 
 
 def fine_class(x: Column) -> Column:
@@ -202,13 +234,17 @@ def coarse_class(x: Column) -> Column:
 
 def annotation_class(count: Column, period_count: Column, unit: Column, surface: Column, scope: Column) -> Column:
     """rate / seizure_free / change / temporal / count_only / surface class of a gold annotation."""
-    p, said, words = structured_parts(count, period_count, unit), frequency_parts(surface), norm_value(surface)
     changes = ["increase", "increased", "decrease", "decreased", "reduced", "unchanged"]
-    return (
-        F.when(p["period_unit"] != "", "rate")
-        .when(said["class"] == "seizure_free", "seizure_free")
-        .when(any_of(words, changes), "change")
-        .when(norm_value(scope) != "", "temporal")
-        .when(p["count"] != "", "count_only")
-        .otherwise(F.when(said["class"] == "", "unparsed").otherwise(said["class"]))
-    )
+    p = structured_parts(count, period_count, unit)
+
+    def rule(said):
+        return (
+            F.when(p["period_unit"] != "", "rate")
+            .when(said["class"] == "seizure_free", "seizure_free")
+            .when(any_of(norm_value(surface), changes), "change")
+            .when(norm_value(scope) != "", "temporal")
+            .when(p["count"] != "", "count_only")
+            .otherwise(F.when(said["class"] == "", "unparsed").otherwise(said["class"]))
+        )
+
+    return let(frequency_parts(surface), rule)

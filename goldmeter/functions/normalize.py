@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from goldmeter.functions import vocabulary as V
-from goldmeter.functions.text import any_of, norm_value, recode, squeeze, strip, text_of
+from goldmeter.functions.text import any_of, let, norm_value, recode, squeeze, strip, text_of
 
 
 def longest_surface(text: Column, surfaces: dict[str, str]) -> Column:
@@ -27,8 +27,8 @@ def longest_surface(text: Column, surfaces: dict[str, str]) -> Column:
 
 def dictionary_name(text: Column, surfaces: dict[str, str]) -> Column:
     """Exact lookup, then the longest surface in the text, then the text itself."""
-    exact = F.try_element_at(F.create_map(*[F.lit(v) for p in surfaces.items() for v in p]), text)
-    return F.coalesce(exact, longest_surface(text, surfaces), text)
+    table = F.create_map(*[F.lit(v) for p in surfaces.items() for v in p])
+    return let(text, lambda t: F.coalesce(F.try_element_at(table, t), longest_surface(t, surfaces), t))
 
 
 def medication_surface(c: Column) -> Column:
@@ -60,8 +60,7 @@ def singular_unit(c: Column) -> Column:
 
 def seizure_type(c: Column) -> Column:
     t = F.replace(norm_value(c), F.lit("generalised"), F.lit("generalized"))
-    t = squeeze(F.regexp_replace(t, r"\bfits?\b", "seizure"))
-    return (
+    return let(squeeze(F.regexp_replace(t, r"\bfits?\b", "seizure")), lambda t: (
         F.when(t.isin(list(V.SEIZURE_TYPE_SYNONYMS)), recode(t, V.SEIZURE_TYPE_SYNONYMS))
         .when(t.contains("focal") & t.contains("bilateral") & t.contains("tonic clonic"),
               "focal to bilateral tonic clonic seizure")
@@ -73,18 +72,17 @@ def seizure_type(c: Column) -> Column:
         .when(t.contains("myoclonic"), "generalized myoclonic seizure")
         .when(t.isin("seizure", "seizures"), "unknown seizure type")
         .otherwise(t)
-    )
+    ))
 
 
 def diagnosis(c: Column) -> Column:
-    t = F.replace(norm_value(c), F.lit("generalised"), F.lit("generalized"))
-    return (
+    return let(F.replace(norm_value(c), F.lit("generalised"), F.lit("generalized")), lambda t: (
         F.when(t.isin(list(V.DIAGNOSIS_SYNONYMS)), recode(t, V.DIAGNOSIS_SYNONYMS))
         .when(any_of(t, ["temporal lobe", "focal", "partial"]), "focal epilepsy")
         .when(any_of(t, ["generalized", "idiopathic general"]), "generalized epilepsy")
         .when(t.contains("epilepsy"), "epilepsy")
         .otherwise(t)
-    )
+    ))
 
 
 def coarse_seizure_of(canonical: Column) -> Column:
@@ -100,7 +98,7 @@ def coarse_seizure_of(canonical: Column) -> Column:
 
 
 def coarse_seizure(c: Column) -> Column:
-    return coarse_seizure_of(seizure_type(c))
+    return let(seizure_type(c), coarse_seizure_of)
 
 
 def coarse_diagnosis_of(canonical: Column) -> Column:
@@ -116,7 +114,7 @@ def coarse_diagnosis_of(canonical: Column) -> Column:
 
 
 def coarse_diagnosis(c: Column) -> Column:
-    return coarse_diagnosis_of(diagnosis(c))
+    return let(diagnosis(c), coarse_diagnosis_of)
 
 
 # fixed values: symptom words that are not a seizure label by themselves
@@ -129,8 +127,7 @@ SEIZURE_TERMS = ["seizure", "seizures", "fit", "fits", "convulsive", "convulsion
 def projection_label(c: Column) -> Column:
     """Collapse a free description to the benchmark label space; symptoms alone give NULL."""
     t = F.translate(F.replace(F.lower(text_of(c)), F.lit("generalised"), F.lit("generalized")), "-", " ")
-    t = squeeze(F.regexp_replace(t, "(?i)[^a-z0-9/ ]+", " "))
-    return (
+    return let(squeeze(F.regexp_replace(t, "(?i)[^a-z0-9/ ]+", " ")), lambda t: (
         F.when(t.isin("", "not stated", "none", "null"), F.lit(None))
         .when(any_of(t, SYMPTOM_TERMS) & ~any_of(t, SEIZURE_TERMS), F.lit(None))
         .when(any_of(t, ["dissociative", "nonepileptic", "non epileptic", "dizzy spell"]), "unknown seizure type")
@@ -144,33 +141,34 @@ def projection_label(c: Column) -> Column:
         .when(t.contains("generalized seizure"), "generalized seizures")
         .when(t.isin("seizure", "seizures", "fits"), "unknown seizure type")
         .otherwise(strip(c))
-    )
+    ))
 
 
 def failure_label(c: Column) -> Column:
     """Four-way collapse used when attributing errors."""
-    t = norm_value(c)
-    focal = any_of(t, ["focal", "partial", "temporal lobe", "frontal lobe"])
-    general = any_of(t, ["generalised", "generalized", "absence", "myoclonic", "tonic clonic"])
-    return (
-        F.when(focal & general, "combined_generalized_focal")
-        .when(focal, "focal")
-        .when(general, "generalized")
-        .when(any_of(t, ["seizure", "epilepsy", "jme"]), "unknown")
-        .otherwise("")
-    )
+    def rules(t):
+        focal = any_of(t, ["focal", "partial", "temporal lobe", "frontal lobe"])
+        general = any_of(t, ["generalised", "generalized", "absence", "myoclonic", "tonic clonic"])
+        return (
+            F.when(focal & general, "combined_generalized_focal")
+            .when(focal, "focal")
+            .when(general, "generalized")
+            .when(any_of(t, ["seizure", "epilepsy", "jme"]), "unknown")
+            .otherwise("")
+        )
+
+    return let(norm_value(c), rules)
 
 
 def investigation_result(c: Column) -> Column:
-    t = norm_value(c)
-    return (
+    return let(norm_value(c), lambda t: (
         F.when(t == "", "")
         .when(any_of(t, V.NORMAL_RESULT_TERMS), "normal")
         .when(any_of(t, V.ABNORMAL_RESULT_TERMS), "abnormal")
         .when(t.contains("normal"), "normal")
         .when(any_of(t, V.PENDING_RESULT_TERMS), "uncertain")
         .otherwise(t)
-    )
+    ))
 
 
 def _joined(value: Column, evidence: Column | None) -> Column:
@@ -179,25 +177,25 @@ def _joined(value: Column, evidence: Column | None) -> Column:
 
 
 def temporality(value: Column, evidence: Column | None = None) -> Column:
-    t = _joined(value, evidence)
-    own = norm_value(value)
-    return (
-        F.when(t == "", "")
-        .when(any_of(t, V.HISTORICAL_TERMS), "historical")
-        .when(any_of(t, V.PLANNED_TERMS), "planned")
-        .when(any_of(t, V.CURRENT_TERMS), "current")
-        .otherwise(F.when(own == "", "uncertain").otherwise(own))
-    )
+    def rules(t):
+        return (
+            F.when(t == "", "")
+            .when(any_of(t, V.HISTORICAL_TERMS), "historical")
+            .when(any_of(t, V.PLANNED_TERMS), "planned")
+            .when(any_of(t, V.CURRENT_TERMS), "current")
+            .otherwise(let(norm_value(value), lambda own: F.when(own == "", "uncertain").otherwise(own)))
+        )
+
+    return let(_joined(value, evidence), rules)
 
 
 def missingness(value: Column, evidence: Column | None = None) -> Column:
-    t = _joined(value, evidence)
-    return (
+    return let(_joined(value, evidence), lambda t: (
         F.when(t == "", "not_stated")
         .when(any_of(t, V.UNCERTAIN_TERMS), "uncertain")
         .when(any_of(t, V.CONFLICT_TERMS), "conflicting")
         .otherwise("present")
-    )
+    ))
 
 
 def evidence_text(evidence: Column) -> Column:

@@ -20,6 +20,15 @@ PLAIN = "''\"\"--"
 BOM = "\ufeff"
 
 
+def let(value: Column, body) -> Column:
+    """Bind a value once inside an expression: body(bound value).
+
+    Without it every mention of a composed builder repeats the whole tree below it, and a
+    few nested rules grow to plans no optimizer finishes.
+    """
+    return F.transform(F.array(value), body)[0]
+
+
 def text_of(c: Column) -> Column:
     return F.coalesce(c.cast("string"), F.lit(""))
 

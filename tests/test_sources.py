@@ -74,7 +74,7 @@ def test_gold_tables(spark, tmp_path, corpus):
     assert [(r.count_, r.period_count, r.period_unit, r.value) for r in
             gold["frequencies"].withColumnRenamed("count", "count_").orderBy("ord").collect()] == [
         ("2-3", "1", "month", "2 3 per 1 month"), ("1", "1", "week", "1 per 1 week"), ("4", "", "", "4")]
-    assert fr[0].surface == LETTER[35:57] and fr[0].temporal_scope == "since" and fr[0].seizure_type == ""
+    assert fr[0].surface == LETTER[35:57] and fr[0].temporal_scope == "since" and fr[0].seizure_type == "focal seizure"
     assert gold["investigations"].collect()[0].asDict() == {"document_id": "D1", "eeg": "abnormal", "mri": "abnormal"}
     assert [r.label for r in gold["diagnoses"].collect()] == ["juvenile myoclonic epilepsy"]
     groups = {r.group for r in gold["spans"].collect()}
