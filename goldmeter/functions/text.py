@@ -103,9 +103,13 @@ def unix_lines(c: Column) -> Column:
     return F.regexp_replace(c, "\r\n?", "\n")
 
 
+# every character that ends a line
+LINE_BREAK = "\r\n|[\n\r\x0b\x0c\x1c\x1d\x1e\x85\u2028\u2029]"
+
+
 def line_array(c: Column) -> Column:
     """Lines of a text; one trailing line break adds no empty line."""
-    return F.split(F.regexp_replace(unix_lines(c), "\n\\z", ""), "\n", -1)
+    return F.split(F.regexp_replace(c, f"(?:{LINE_BREAK})\\z", ""), LINE_BREAK, -1)
 
 
 def to_number(c: Column) -> Column:
@@ -144,10 +148,12 @@ def window_snippet(text: Column, start: Column, end: Column, window: int = 140)
 
 def token_grams(c: Column, n: int = 4) -> Column:
     """Distinct token n-grams of the normalised text (empty when fewer than n tokens)."""
-    tokens = F.filter(F.split(norm_label(c), " "), lambda t: t != "")
-    count = F.size(tokens) - (n - 1)
-    starts = F.when(count > 0, F.sequence(F.lit(1), count)).otherwise(F.array().cast("array<int>"))
-    return F.array_distinct(F.transform(starts, lambda i: F.array_join(F.slice(tokens, i, n), " ")))
+    def grams(tokens):
+        count = F.size(tokens) - (n - 1)
+        starts = F.when(count > 0, F.sequence(F.lit(1), count)).otherwise(F.array().cast("array<int>"))
+        return F.array_distinct(F.transform(starts, lambda i: F.array_join(F.slice(tokens, i, n), " ")))
+
+    return let(F.filter(F.split(norm_label(c), " "), lambda t: t != ""), grams)
 
 
 def gram_overlap(quote: Column, source: Column, n: int = 4) -> Column:

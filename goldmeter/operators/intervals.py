@@ -241,28 +241,57 @@ def span_clusters(spans: DataFrame, keys: list[str]) -> DataFrame:
     ).drop("_open")
 
 
-_MATCH = "document_id string, label string, user_id string, gold_id string, iou double"
-
-
-def _greedy(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Best-IoU assignment in user order; gold order settles ties; a gold span is used once."""
-    users = pdf[pdf.side == "user"].sort_values("ord")
-    gold = pdf[pdf.side == "gold"].sort_values("ord")
-    taken, rows = set(), []
-    for u in users.itertuples():
-        best, best_id = 0.0, None
-        for g in gold.itertuples():
-            if g.ann_id in taken:
+
+
+def _match_cluster(gold: list, users: list) -> list:
+    """Best-IoU assignment in user order; gold order settles ties; a gold span is used once.
+
+    Equal gold spans stand in one queue, so copies cost a queue step instead of a comparison.
+    """
+    queues: dict[tuple[int, int], list] = {}
+    for n, (start, end, ident) in enumerate(gold):
+        queues.setdefault((start, end), []).append((n, ident))
+    for waiting in queues.values():
+        waiting.reverse()
+    out = []
+    for start, end, ident in users:
+        best, best_rank, best_span = 0.0, None, None
+        for span, waiting in queues.items():
+            if not waiting:
                 continue
-            inter = max(0, min(u.end, g.end) - max(u.start, g.start))
-            union = (u.end - u.start) + (g.end - g.start) - inter
+            inter = max(0, min(end, span[1]) - max(start, span[0]))
+            union = (end - start) + (span[1] - span[0]) - inter
             score = inter / union if union > 0 else 0.0
-            if score > best:
-                best, best_id = score, g.ann_id
-        if best_id is not None and best >= 0.5:
-            taken.add(best_id)
-            rows.append((u.document_id, u.label, u.ann_id, best_id, best))
-    return pd.DataFrame(rows, columns=["document_id", "label", "user_id", "gold_id", "iou"])
+            if score > best or (score == best and best_rank is not None and waiting[-1][0] < best_rank):
+                best, best_rank, best_span = score, waiting[-1][0], span
+        if best_span is not None and best >= 0.5:
+            out.append((ident, queues[best_span].pop()[1], best))
+    return out
+
+
+def _greedy_stream(batches):
+    """Stream sorted rows, cluster by cluster; only one cluster is in memory at a time."""
+    key, sides = None, {"gold": [], "user": []}
+    names = ["document_id", "label", "user_id", "gold_id", "iou"]
+
+    def flush():
+        return [(key[0], key[1], *m) for m in _match_cluster(sides["gold"], sides["user"])]
+
+    for pdf in batches:
+        rows = []
+        columns = [pdf[c].tolist() for c in ("document_id", "label", "cluster", "side", "start", "end", "ann_id")]
+        for doc, label, cluster, side, start, end, ident in zip(*columns):
+            if (doc, label, cluster) != key:
+                if key is not None:
+                    rows += flush()
+                key, sides = (doc, label, cluster), {"gold": [], "user": []}
+            sides[side].append((start, end, ident))
+        if rows:
+            yield pd.DataFrame(rows, columns=names)
+    if key is not None:
+        last = flush()
+        if last:
+            yield pd.DataFrame(last, columns=names)
 
 
 def greedy_span_match(user: DataFrame, gold: DataFrame) -> DataFrame:
@@ -276,7 +305,11 @@ def greedy_span_match(user: DataFrame, gold: DataFrame) -> DataFrame:
     marked = span_clusters(both, ["document_id", "label"])
     group = W.partitionBy("document_id", "label", "cluster")
     mixed = marked.withColumn("_sides", F.max("side").over(group) != F.min("side").over(group)).filter("_sides")
-    return mixed.groupBy("document_id", "label", "cluster").applyInPandas(_greedy, _MATCH)
+    id_type = user.schema["document_id"].dataType.simpleString()
+    schema = f"document_id {id_type}, label string, user_id string, gold_id string, iou double"
+    placed = mixed.drop("_sides").repartition("document_id", "label", "cluster").sortWithinPartitions(
+        "document_id", "label", "cluster", "side", "ord")
+    return placed.mapInPandas(_greedy_stream, schema)
 
 
 def span_scores(user: DataFrame, gold: DataFrame, matches: DataFrame) -> DataFrame:

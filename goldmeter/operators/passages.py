@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from goldmeter.functions.spans import trim_span, with_offsets
 from goldmeter.functions.text import (
-    fold_typography, norm_text, regex_escape, slice_text, squeeze, strip, text_of, window_snippet,
+    fold_typography, let, norm_text, regex_escape, slice_text, squeeze, strip, text_of, window_snippet,
 )
 from goldmeter.functions.vocabulary import FREQUENCY_SENTENCE_PATTERNS, TEMPORALITY_PATTERNS
 
@@ -146,16 +146,18 @@ def quote_is_valid(text_norm: Column, quote: Column) -> Column:
 
 def evidence_from_quote(text: Column, sentences: Column, quote: Column) -> Column:
     """Evidence array of one quote: empty unless valid; offsets only for an exact find."""
-    at = F.when(F.instr(text, quote) > 0, F.instr(text, quote) - 1)
-    end = at + F.length(quote)
-    home = F.filter(sentences, lambda s: (s["char_start"] <= at) & (end <= s["char_end"]))
-    made = F.array(F.struct(
-        quote.alias("quote"), F.get(home, F.lit(0))["sentence_id"].alias("sentence_id"),
-        at.cast("int").alias("char_start"), end.cast("int").alias("char_end"),
-    ))
+    def made(at):
+        start = F.when(at > 0, at - 1)
+        end = start + F.length(quote)
+        home = F.filter(sentences, lambda s: (s["char_start"] <= start) & (end <= s["char_end"]))
+        return F.array(F.struct(
+            quote.alias("quote"), F.get(home, F.lit(0))["sentence_id"].alias("sentence_id"),
+            start.cast("int").alias("char_start"), end.cast("int").alias("char_end"),
+        ))
+
     empty = F.array().cast("array<struct<quote:string,sentence_id:string,char_start:int,char_end:int>>")
     usable = (text_of(quote) != "") & F.coalesce(quote_is_valid(norm_text(text), quote), F.lit(False))
-    return F.when(usable, made).otherwise(empty)
+    return F.when(usable, let(F.instr(text, quote), made)).otherwise(empty)
 
 
 def quote_place(text: Column, quote: Column) -> Column:

@@ -13,6 +13,7 @@ from goldmeter.functions import vocabulary as V
 from goldmeter.functions.text import any_of, let, norm_label, strip, text_of
 from goldmeter.operators import records as R
 from goldmeter.operators.passages import evidence_from_quote
+from goldmeter.sources.schemas import CANONICAL
 
 # ---- responses --------------------------------------------------------------------------
 
@@ -236,10 +237,10 @@ def project_payloads(payloads: DataFrame, evidence_items: bool = False, require_
                     *[F.lit(False).alias(n) for n in ("repair_attempted", "repair_succeeded")])
     record = F.struct(
         F.col("document_id").alias("document_id"), F.lit("evidence_projection" if evidence_items else "relaxed_projection").alias("pipeline_id"),
-        fields.alias("fields"), F.array().cast(f"array<{R.CANONICAL_SCHEMA['events'].dataType.elementType.simpleString()}>").alias("events"),
+        fields.alias("fields"), F.array().cast(f"array<{CANONICAL['events'].dataType.elementType.simpleString()}>").alias("events"),
         meta.alias("metadata"))
     keep = [c for c in payloads.columns if c not in ("sentences",)]
-    return s.select(*keep, record.cast(R.CANONICAL_SCHEMA).alias("record"))
+    return s.select(*keep, record.cast(CANONICAL).alias("record"))
 
 
 # ---- sectioned free-text answers --------------------------------------------------------

@@ -8,7 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from goldmeter.functions.text import line_array, norm_rate_text, rstrip, strip
+from goldmeter.functions.text import let, line_array, norm_rate_text, rstrip, strip
 
 
 @dataclass(frozen=True)
@@ -29,9 +29,11 @@ def sections(text: Column) -> Column:
 
 def reorder_sections(text: Column) -> Column:
     """Sections after the header reversed; fewer than four sections stay as they are."""
-    s = sections(text)
-    body = F.concat(F.slice(s, 1, 1), F.reverse(F.slice(s, F.lit(2), F.greatest(F.size(s) - 1, F.lit(0)))))
-    return F.when(F.size(s) < 4, text).otherwise(F.array_join(body, "\n\n"))
+    def turn(s):
+        body = F.concat(F.slice(s, 1, 1), F.reverse(F.slice(s, F.lit(2), F.greatest(F.size(s) - 1, F.lit(0)))))
+        return F.when(F.size(s) < 4, text).otherwise(F.array_join(body, "\n\n"))
+
+    return let(sections(text), turn)
 
 
 def remove_headings(text: Column) -> Column:
@@ -48,20 +50,21 @@ def bullets_to_prose(text: Column) -> Column:
 
     A bullet that follows a bullet is glued to it; everything else starts a new line.
     """
-    lines = line_array(text)
-
     def is_bullet(x):
-        return strip(x).rlike(r"\A[-*•]")
+        return strip(x).rlike(r"\A[-*\u2022]")
 
     def said(x):
-        return F.concat(F.rtrim(F.ltrim(strip(x), F.lit("-*• ")), F.lit(".")), F.lit("."))
+        return F.concat(F.rtrim(F.ltrim(strip(x), F.lit("-*\u2022 ")), F.lit(".")), F.lit("."))
+
+    def rewrite(lines):
+        def glue(x, i):
+            follows = F.coalesce(is_bullet(F.get(lines, i - 1)), F.lit(False))
+            lead = F.when(i == 0, "").when(is_bullet(x) & follows, " ").otherwise("\n")
+            return F.concat(lead, F.when(is_bullet(x), said(x)).otherwise(x))
 
-    def glue(x, i):
-        before = F.get(lines, i - 1)
-        lead = F.when(i == 0, "").when(is_bullet(x) & F.coalesce(is_bullet(before), F.lit(False)), " ").otherwise("\n")
-        return F.concat(lead, F.when(is_bullet(x), said(x)).otherwise(x))
+        return F.array_join(F.transform(lines, glue), "")
 
-    return F.array_join(F.transform(lines, glue), "")
+    return let(line_array(text), rewrite)
 
 
 def append_note(note: str, newline: bool = True) -> Callable[[Column], Column]:

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from goldmeter.functions import normalize as N
 from goldmeter.functions import vocabulary as V
 from goldmeter.functions.frequency import frequency_parts
-from goldmeter.functions.text import norm_label, norm_text, norm_value, text_of
+from goldmeter.functions.text import let, norm_label, norm_text, norm_value, text_of
 from goldmeter.operators.passages import quote_is_valid
 
 MED_LISTS = ["current_anti_seizure_medications", "previous_anti_seizure_medications"]
@@ -239,10 +239,14 @@ def _downgrade(missingness: Column, evidence: Column) -> Column:
 
 def suffixed_ids(ids: Column) -> Column:
     """Repeated ids get _2, _3, ... in order of appearance."""
-    return F.transform(ids, lambda x, i: F.when(
-        x.isNotNull() & (F.size(F.filter(F.slice(ids, F.lit(1), i), lambda y: y == x)) > 0),
-        F.concat(x, F.lit("_"), (F.size(F.filter(F.slice(ids, F.lit(1), i), lambda y: y == x)) + 1).cast("string")),
-    ).otherwise(x))
+    def rename(all_ids):
+        def one(x, i):
+            earlier = F.size(F.filter(F.slice(all_ids, F.lit(1), i), lambda y: y == x))
+            return F.when(x.isNotNull() & (earlier > 0), F.concat(x, F.lit("_"), (earlier + 1).cast("string"))).otherwise(x)
+
+        return F.transform(all_ids, one)
+
+    return let(ids, rename)
 
 
 def recode_record(record: Column) -> Column:
@@ -262,9 +266,9 @@ def recode_record(record: Column) -> Column:
 
     ids = suffixed_ids(F.transform(record["events"], lambda e: e["id"]))
 
-    def event(e, i):
+    def event(e, new_id):
         return (
-            e.withField("id", F.get(ids, i)).withField("temporality", recoded_temporality(e["temporality"]))
+            e.withField("id", new_id).withField("temporality", recoded_temporality(e["temporality"]))
             .withField("status", recoded_status(e["status"])).withField("result", recoded_result(e["result"]))
             .withField("investigation_type", F.when(e["investigation_type"].isin("EEG", "MRI"), e["investigation_type"]))
             .withField("value", F.coalesce(e["value"], e["medication_name"], e["result"]))
@@ -285,7 +289,7 @@ def recode_record(record: Column) -> Column:
     for k in ("input_tokens", "output_tokens"):
         meta = meta.withField(k, F.coalesce(record["metadata"][k], F.lit(0.0)))
     return record.withField("fields", F.when(f.isNotNull(), fields)).withField(
-        "events", F.transform(record["events"], event)).withField("metadata", meta)
+        "events", F.zip_with(record["events"], ids, event)).withField("metadata", meta)
 
 
 # ---- building fields --------------------------------------------------------------------
@@ -473,15 +477,16 @@ def temporal_checks(record: Column) -> Column:
     return F.filter(F.concat(_fill(meds, "array<boolean>"), F.array(*singles)), lambda x: x.isNotNull())
 
 
-def quote_counts(record: Column, text: Column) -> Column:
-    """(quotes, valid) of all evidence in a record against its letter."""
-    quotes = evidence_of(record)
-    folded = norm_text(text)
-    valid = F.filter(quotes, lambda q: quote_is_valid(folded, q["quote"]))
-    return F.struct(F.size(quotes).cast("long").alias("quotes"), F.size(valid).cast("long").alias("valid"))
+def quote_counts(record: Column, folded: Column) -> Column:
+    """(quotes, valid) of all evidence in a record against its normalised letter (a column, not an expression)."""
+    def count(quotes):
+        valid = F.filter(quotes, lambda q: quote_is_valid(folded, q["quote"]))
+        return F.struct(F.size(quotes).cast("long").alias("quotes"), F.size(valid).cast("long").alias("valid"))
+
+    return let(evidence_of(record), count)
 
 
-def invalid_quote_paths(record: Column, text: Column) -> Column:
-    folded = norm_text(text)
+def invalid_quote_paths(record: Column, folded: Column) -> Column:
+    """Paths of quotes that do not occur in the normalised letter (a column, not an expression)."""
     bad = F.filter(evidence_of(record), lambda q: ~quote_is_valid(folded, q["quote"]))
     return F.transform(bad, lambda q: q["path"])

@@ -49,12 +49,13 @@ def document_facts(records: DataFrame, require_evidence: bool = True) -> DataFra
     r = F.col("record")
     present = F.filter(R.fields_of(r), lambda x: x["missingness"] == "present")
     checks = R.temporal_checks(r)
-    quotes = R.quote_counts(r, F.col("text"))
+    quotes = F.col("_quotes")
 
     def n(array: Column) -> Column:
         return F.size(array).cast("long")
 
-    return records.select(
+    staged = records.withColumn("_folded", norm_text(F.col("text"))).withColumn("_quotes", R.quote_counts(r, F.col("_folded")))
+    return staged.select(
         *KEY, (F.size(R.violations(r, require_evidence)) == 0).alias("schema_valid"),
         n(present).alias("present_fields"), n(F.filter(present, lambda x: x["with_evidence"])).alias("with_evidence"),
         quotes["quotes"].alias("quotes"), quotes["valid"].alias("valid_quotes"),
@@ -195,7 +196,7 @@ def support_claims(records: DataFrame) -> DataFrame:
     """Present claims with group, keys and their evidence, each quote already validated."""
     r, f = F.col("record"), F.col("record.fields")
     p = R.scalar_predictions(r)
-    folded = norm_text(F.col("text"))
+    folded = F.col("_folded")
 
     def checked(evidence: Column) -> Column:
         made = F.transform(evidence, lambda e: F.struct(
@@ -227,7 +228,8 @@ def support_claims(records: DataFrame) -> DataFrame:
     empty = F.slice(F.array(singles[0]), F.lit(1), F.lit(0))
     all_claims = F.concat(F.coalesce(F.transform(f["current_anti_seizure_medications"], med), empty),
                           F.coalesce(F.transform(f["seizure_types"], styp), empty), F.array(*singles))
-    return records.select(*KEY, F.explode(F.filter(all_claims, lambda c: c.isNotNull())).alias("c")).select(*KEY, "c.*")
+    staged = records.withColumn("_folded", norm_text(F.col("text")))
+    return staged.select(*KEY, F.explode(F.filter(all_claims, lambda c: c.isNotNull())).alias("c")).select(*KEY, "c.*")
 
 
 def evidence_support(records: DataFrame, gold: dict[str, DataFrame], scalars: DataFrame) -> DataFrame:

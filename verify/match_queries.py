@@ -293,9 +293,9 @@ def split_documents(spark, d):
     return SEL.documents_of(doc, doc_splits(spark, d), "validation", "doc_id").groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("unknown_request_ids", "SELECT l_partkey % 3000 AS p_partkey FROM lineitem WHERE l_partkey % 3000 NOT IN (SELECT p_partkey FROM part)")
+@query("unknown_request_ids", "SELECT l_partkey * 2 AS p_partkey FROM lineitem WHERE l_partkey * 2 NOT IN (SELECT p_partkey FROM part)")
 def unknown_request_ids(spark, d):
-    return SEL.unknown_ids(table(spark, d, "lineitem").select((F.col("l_partkey") % 3000).alias("p_partkey")), table(spark, d, "part"), "p_partkey")
+    return SEL.unknown_ids(table(spark, d, "lineitem").select((F.col("l_partkey") * 2).alias("p_partkey")), table(spark, d, "part"), "p_partkey")
 
 
 @query("union_of_runs", """SELECT run, run_ord, count(*) AS n, count(note) AS notes FROM (SELECT 'a' AS run, 0 AS run_ord, event_id, NULL AS note FROM events WHERE event_type = 'view' UNION ALL SELECT 'b', 1, event_id, props FROM events WHERE event_type <> 'click') GROUP BY 1, 2""")

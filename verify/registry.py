@@ -1,4 +1,4 @@
 """All registered queries."""
 
-from verify import function_queries, match_queries  # noqa: F401
+from verify import function_queries, match_queries, text_queries  # noqa: F401
 from verify.base import ORACLES, QUERIES  # noqa: F401
