@@ -210,7 +210,7 @@ def check_expectations(expectations: DataFrame, values: DataFrame) -> DataFrame:
         return F.lower(norm_text(c))
 
     return expectations.join(values.select("document_id", "path", "value"), ["document_id", "path"], "left").withColumn(
-        "met", F.coalesce(fold(F.col("expected")) == fold(F.col("value")), F.lit(False)))
+        "met", F.col("value").isNotNull() & (fold(F.col("expected")) == fold(F.col("value"))))
 
 
 # ---- recoding provider output to the contract ------------------------------------------

@@ -44,9 +44,13 @@ def _sql_letter() -> str:
 def base(spark: SparkSession, d: str) -> DataFrame:
     """Flat values of every order; `text` is the letter (written from the values of system A)."""
     k, c, t = F.col("k"), F.col("c"), F.col("t")
-    o = table(spark, d, "orders").select(F.col("o_orderkey").alias("k"), F.col("o_custkey").alias("c"), F.floor("o_totalprice").alias("t"))
+    o = table(spark, d, "orders").select(
+        F.concat(F.lit("O"), F.col("o_orderkey").cast("string")).alias("document_id"), F.col("o_orderkey").alias("k"), F.col("o_custkey").alias("c"),
+        F.floor("o_totalprice").alias("t"))
+    # narrow rows are placed by document before letters and records are written, so later joins on the document find them in place
+    o = o.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "document_id")
     o = o.select(
-        F.concat(F.lit("O"), k.cast("string")).alias("document_id"), "k", "c", "t", pick(MEDS, c).alias("m1"), pick(DOSE, k).alias("d1"), pick(UNIT, k).alias("u1"),
+        "document_id", "k", "c", "t", pick(MEDS, c).alias("m1"), pick(DOSE, k).alias("d1"), pick(UNIT, k).alias("u1"),
         pick(SCHED, t).alias("s1"), pick(FREQ, k).alias("fq"), pick(TYPE, t).alias("ty"), pick(RESULT, c).alias("eeg"), pick(RESULT, t).alias("mri"),
         pick(DX, c + t).alias("dx"), F.when(k % 5 == 0, TRAP).otherwise("").alias("trap"))
     return o.withColumn("text", _spark_letter())
