@@ -78,9 +78,9 @@ def predicted_labels(parsed: DataFrame, text: str = "text") -> DataFrame:
     label, quote = alias_value(payload, LABEL_KEYS), alias_value(payload, QUOTE_KEYS)
     first_line = strip(F.btrim(strip(F.substring_index(strip(text_of(F.col(text))), "\n", 1)), F.lit('"')))
     is_object = payload.startswith("{")
-    said = F.when(is_object, F.coalesce(norm_label(label), F.lit("unknown"))).otherwise(
+    said = F.when(is_object, F.coalesce(F.nullif(norm_label(label), F.lit("")), F.lit("unknown"))).otherwise(
         F.when(first_line == "", "unknown").otherwise(norm_label(first_line)))
-    return parsed.withColumn("predicted_label", F.when(F.coalesce(label, F.lit("x")) == "", "unknown").otherwise(said)).withColumn(
+    return parsed.withColumn("predicted_label", said).withColumn(
         "quote", F.when(F.coalesce(is_object, F.lit(False)), F.coalesce(quote, F.lit(""))).otherwise(""))
 
 

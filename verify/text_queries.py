@@ -153,11 +153,9 @@ def synonym_quote_location(spark, d):
     return C.base(spark, d).select("document_id", G.synonym_quote(F.col("text"), F.lit("levetiracetam"), MEDICATION_SYNONYMS).alias("quote"))
 
 
-@query("phrasing_quote_location", f"""WITH {C.BASE} SELECT document_id, CASE WHEN t % 5 = 0 AND k % 5 <> 0 THEN 'focal seizures' WHEN c % 6 IS NOT NULL AND lower(dx) = 'focal epilepsy' THEN dx WHEN t % 5 = 0 THEN 'focal seizures' END AS quote FROM bl
-WHERE (t % 5 = 0 AND lower(dx) <> 'focal epilepsy') OR (t % 5 <> 0)""")
+@query("phrasing_quote_location", f"""WITH {C.BASE} SELECT document_id, CASE WHEN lower(dx) = 'focal epilepsy' THEN dx WHEN t % 5 = 0 THEN 'focal seizures' END AS quote FROM bl""")
 def phrasing_quote_location(spark, d):
-    b = C.base(spark, d).filter(~((F.col("t") % 5 == 0) & (F.lower("dx") == "focal epilepsy")))
-    return b.select("document_id", G.phrasing_quote(F.col("text"), F.lit("focal seizure"), SEIZURE_TYPE_PHRASINGS).alias("quote"))
+    return C.base(spark, d).select("document_id", G.phrasing_quote(F.col("text"), F.lit("focal seizure"), SEIZURE_TYPE_PHRASINGS).alias("quote"))
 
 
 @query("prompt_inputs", f"""WITH {C.BASE} SELECT document_id, length(text) AS letter_chars FROM bl""")
