@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from goldmeter.functions import vocabulary as V
-from goldmeter.functions.text import any_of, let, norm_label, norm_value, recode, to_number
+from goldmeter.functions.text import any_of, let, lookup, norm_label, norm_value, recode, to_number
 
 
 def parts(count, period_count, unit, cls) -> Column:
@@ -123,8 +123,7 @@ _QUANTITY_WORDS = {
 
 
 def _word_or_number(t: Column) -> Column:
-    table = F.create_map(*[F.lit(v) for p in _QUANTITY_WORDS.items() for v in p])
-    return F.coalesce(F.try_element_at(table, t), to_number(t))
+    return F.coalesce(lookup(t, _QUANTITY_WORDS).cast("double"), to_number(t))
 
 
 def _token_quantity(t: Column) -> Column:

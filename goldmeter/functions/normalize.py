@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from goldmeter.functions import vocabulary as V
-from goldmeter.functions.text import any_of, let, norm_value, recode, squeeze, strip, text_of
+from goldmeter.functions.text import any_of, let, lookup, norm_value, recode, squeeze, strip, text_of
 
 
 def longest_surface(text: Column, surfaces: dict[str, str]) -> Column:
@@ -17,18 +17,16 @@ def longest_surface(text: Column, surfaces: dict[str, str]) -> Column:
     """
     ordered = sorted(surfaces, key=len, reverse=True)
     pattern = r"\b(" + "|".join(s.replace(".", r"\.") for s in ordered) + r")\b"
-    rank = F.create_map(*[F.lit(v) for i, s in enumerate(ordered) for v in (s, -i)])
-    concept = F.create_map(*[F.lit(v) for pair in surfaces.items() for v in pair])
+    rank = {s: -i for i, s in enumerate(ordered)}
     hits = F.transform(
-        F.regexp_extract_all(text, F.lit(pattern), 1), lambda m: F.struct(F.try_element_at(rank, m).alias("r"), m.alias("m"))
+        F.regexp_extract_all(text, F.lit(pattern), 1), lambda m: F.struct(lookup(m, rank).cast("int").alias("r"), m.alias("m"))
     )
-    return F.try_element_at(concept, F.array_max(hits)["m"])
+    return lookup(F.array_max(hits)["m"], surfaces)
 
 
 def dictionary_name(text: Column, surfaces: dict[str, str]) -> Column:
     """Exact lookup, then the longest surface in the text, then the text itself."""
-    table = F.create_map(*[F.lit(v) for p in surfaces.items() for v in p])
-    return let(text, lambda t: F.coalesce(F.try_element_at(table, t), longest_surface(t, surfaces), t))
+    return let(text, lambda t: F.coalesce(lookup(t, surfaces), longest_surface(t, surfaces), t))
 
 
 def medication_surface(c: Column) -> Column:
@@ -60,9 +58,9 @@ def singular_unit(c: Column) -> Column:
 
 def seizure_type(c: Column) -> Column:
     t = F.replace(norm_value(c), F.lit("generalised"), F.lit("generalized"))
-    return let(squeeze(F.regexp_replace(t, r"\bfits?\b", "seizure")), lambda t: (
-        F.when(t.isin(list(V.SEIZURE_TYPE_SYNONYMS)), recode(t, V.SEIZURE_TYPE_SYNONYMS))
-        .when(t.contains("focal") & t.contains("bilateral") & t.contains("tonic clonic"),
+    return let(squeeze(F.regexp_replace(t, r"\bfits?\b", "seizure")), lambda t: F.coalesce(
+        lookup(t, V.SEIZURE_TYPE_SYNONYMS),
+        F.when(t.contains("focal") & t.contains("bilateral") & t.contains("tonic clonic"),
               "focal to bilateral tonic clonic seizure")
         .when(t.contains("complex partial") | (t.contains("focal") & t.contains("impaired awareness")),
               "focal impaired awareness seizure")
@@ -76,9 +74,9 @@ def seizure_type(c: Column) -> Column:
 
 
 def diagnosis(c: Column) -> Column:
-    return let(F.replace(norm_value(c), F.lit("generalised"), F.lit("generalized")), lambda t: (
-        F.when(t.isin(list(V.DIAGNOSIS_SYNONYMS)), recode(t, V.DIAGNOSIS_SYNONYMS))
-        .when(any_of(t, ["temporal lobe", "focal", "partial"]), "focal epilepsy")
+    return let(F.replace(norm_value(c), F.lit("generalised"), F.lit("generalized")), lambda t: F.coalesce(
+        lookup(t, V.DIAGNOSIS_SYNONYMS),
+        F.when(any_of(t, ["temporal lobe", "focal", "partial"]), "focal epilepsy")
         .when(any_of(t, ["generalized", "idiopathic general"]), "generalized epilepsy")
         .when(t.contains("epilepsy"), "epilepsy")
         .otherwise(t)
@@ -87,9 +85,9 @@ def diagnosis(c: Column) -> Column:
 
 def coarse_seizure_of(canonical: Column) -> Column:
     """Three-class label of an already canonical seizure type."""
-    return (
+    return F.coalesce(
+        lookup(canonical, V.COARSE_SEIZURE),
         F.when(canonical == "", "")
-        .when(canonical.isin(list(V.COARSE_SEIZURE)), recode(canonical, V.COARSE_SEIZURE))
         .when(any_of(canonical, ["focal", "partial"]), "focal seizure or epilepsy")
         .when(any_of(canonical, ["generalized", "tonic clonic", "absence", "myoclonic"]),
               "generalized seizure or epilepsy")
@@ -102,9 +100,9 @@ def coarse_seizure(c: Column) -> Column:
 
 
 def coarse_diagnosis_of(canonical: Column) -> Column:
-    return (
+    return F.coalesce(
+        lookup(canonical, V.COARSE_DIAGNOSIS),
         F.when(canonical == "", "")
-        .when(canonical.isin(list(V.COARSE_DIAGNOSIS)), recode(canonical, V.COARSE_DIAGNOSIS))
         .when(canonical.contains("focal"), "focal_epilepsy")
         .when(canonical.contains("generalized"), "generalized_epilepsy")
         .when(canonical.contains("combined"), "combined_generalized_and_focal_epilepsy")

@@ -51,10 +51,20 @@ def any_of(c: Column, terms: list[str]) -> Column:
     return reduce(lambda a, b: a | b, [c.contains(F.lit(t)) for t in terms])
 
 
+def literal_map(mapping: dict) -> Column:
+    """map<string,string> literal written as one expression that Catalyst folds to a constant."""
+    pairs = "\x02".join(f"{k}\x01{v}" for k, v in mapping.items())
+    return F.str_to_map(F.lit(pairs), F.lit("\x02"), F.lit("\x01"))
+
+
+def lookup(c: Column, mapping: dict) -> Column:
+    """Dictionary value as text, NULL when the key is unknown."""
+    return F.try_element_at(literal_map(mapping), c)
+
+
 def recode(c: Column, mapping: dict[str, str], default: Column | None = None) -> Column:
-    """Dictionary lookup with a fallback; the literal map is folded by Catalyst."""
-    table = F.create_map(*[F.lit(v) for pair in mapping.items() for v in pair])
-    return F.coalesce(F.try_element_at(table, c), c if default is None else default)
+    """Dictionary lookup with a fallback."""
+    return F.coalesce(lookup(c, mapping), c if default is None else default)
 
 
 def norm_value(c: Column) -> Column:

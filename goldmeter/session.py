@@ -42,3 +42,9 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     """Reliable checkpoint for a frame that several branches re-read."""
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def spread_small_scan(df: DataFrame) -> DataFrame:
+    """Use all cores on an input that is a single small split; a scan with enough splits is left alone."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df

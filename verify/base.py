@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from goldmeter.session import spread_small_scan
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
@@ -23,8 +25,13 @@ def query(name: str, sql: str | None = None):
     return add
 
 
+# tables whose rows carry long texts or feed heavy expressions
+WIDE = ("documents", "conversations", "events")
+
+
 def table(spark: SparkSession, d: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{d}/{name}.parquet")
+    df = spark.read.parquet(f"{d}/{name}.parquet")
+    return spread_small_scan(df) if name in WIDE else df
 
 
 def lit_sql(v) -> str:
