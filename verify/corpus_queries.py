@@ -174,7 +174,7 @@ def condition_log_rows(spark, d):
     return out
 
 
-@query("csv_round_trip", "SELECT p_type, count(*) AS n, sum(p_size) AS sizes, max(p_name || ' \"quoted\", ' || p_type) AS text FROM part GROUP BY 1")
+@query("csv_round_trip", "SELECT p_type, count(*) AS n, CAST(sum(p_size) AS BIGINT) AS sizes, max(p_name || ' \"quoted\", ' || p_type) AS text FROM part GROUP BY 1")
 def csv_round_trip(spark, d):
     path = scratch(spark) + "/csv"
     AR.write_table(table(spark, d, "part").select("p_type", "p_size", F.concat("p_name", F.lit(' "quoted", '), "p_type").alias("text")), path, "csv")

@@ -68,7 +68,7 @@ def document_facts(spark, d):
     return S.document_facts(C.records(spark, d)).select(*_FACT_COLS)
 
 
-@query("present_fields", f"WITH {FACTS} SELECT system, sum(present_fields) AS present, sum(with_evidence) AS with_evidence FROM fx GROUP BY 1")
+@query("present_fields", f"WITH {FACTS} SELECT system, CAST(sum(present_fields) AS BIGINT) AS present, CAST(sum(with_evidence) AS BIGINT) AS with_evidence FROM fx GROUP BY 1")
 def present_fields(spark, d):
     return R.flatten_present_fields(C.records(spark, d).drop("text")).groupBy("system").agg(F.count(F.lit(1)).alias("present"), F.count_if("with_evidence").alias("with_evidence"))
 

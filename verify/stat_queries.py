@@ -213,7 +213,7 @@ def cheapest_system(spark, d):
     return ST.cheapest(summaries(spark, d), "m3", 2).select("system")
 
 
-@query("metric_pivot", f"WITH {SUM} SELECT 'm3' AS metric, max(CASE system WHEN 'view' THEN m3 END) AS view, max(CASE system WHEN 'click' THEN m3 END) AS click, 'unavailable_metric' AS view_missing, NULL AS click_missing FROM sm UNION ALL SELECT 'm1', max(CASE system WHEN 'view' THEN m1 END), max(CASE system WHEN 'click' THEN m1 END), NULL, NULL FROM sm")
+@query("metric_pivot", f"WITH {SUM} SELECT 'm3' AS metric, max(CASE system WHEN 'view' THEN m3 END) AS view, max(CASE system WHEN 'click' THEN m3 END) AS click, 'unavailable_metric' AS view_missing, CAST(NULL AS VARCHAR) AS click_missing FROM sm UNION ALL SELECT 'm1', max(CASE system WHEN 'view' THEN m1 END), max(CASE system WHEN 'click' THEN m1 END), NULL, NULL FROM sm")
 def metric_pivot(spark, d):
     lg = long_rows(spark, d).filter(F.col("metric").isin("m1", "m3"))
     return RV.metric_pivot(lg, "metric", ["view", "click"])

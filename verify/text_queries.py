@@ -39,7 +39,7 @@ CUT = "regexp_replace({0}, '([.!?;])\\s+', '\\1' || chr(1), 'g')"
 
 @query("retrieval_chunks", f"""WITH {DOC}, ln AS (SELECT document_id, trim(unnest(string_split(text, chr(10))), {WS}) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS ln FROM dc),
 ch AS (SELECT document_id, ln, trim(unnest(string_split({CUT.format('line')}, chr(1))), {WS}) AS chunk, generate_subscripts(string_split({CUT.format('line')}, chr(1)), 1) AS pn FROM ln)
-SELECT document_id, count(*) AS chunks, sum(length(chunk)) AS chars, count(*) FILTER (regexp_matches(chunk, '[0-9]+|[A-Z][a-z]+ing')) AS hits FROM ch WHERE chunk <> '' GROUP BY 1""")
+SELECT document_id, count(*) AS chunks, CAST(sum(length(chunk)) AS BIGINT) AS chars, count(*) FILTER (regexp_matches(chunk, '[0-9]+|[A-Z][a-z]+ing')) AS hits FROM ch WHERE chunk <> '' GROUP BY 1""")
 def retrieval_chunks(spark, d):
     t = docs(spark, d).select("document_id", P.retrieval_chunks(F.col("text")).alias("c"))
     hits = F.filter("c", lambda x: x.rlike("[0-9]+|[A-Z][a-z]+ing"))
