@@ -265,11 +265,11 @@ def error_budget(spark, d):
     return ST.error_budget(u, f)
 
 
-@query("document_utility", f"""WITH {C.SET_SCORES}, {FACTS.split(C.SYS + ',')[1]} SELECT ss.system, ss.document_id, (avg(f1) + any_value(CAST(schema_valid AS INT)) + any_value(temporal_correct / temporal_checked) + any_value(valid_quotes / quotes)) / 4 AS score FROM ss JOIN fx USING (system, document_id) GROUP BY 1, 2""")
+@query("document_utility", f"""WITH {C.SET_SCORES}, {FACTS.split(C.SYS + ',')[1]} SELECT ss.system, ss.document_id, round((avg(f1) + any_value(CAST(schema_valid AS INT)) + any_value(temporal_correct / temporal_checked) + any_value(valid_quotes / quotes)) / 4, 9) AS score FROM ss JOIN fx USING (system, document_id) GROUP BY 1, 2""")
 def document_utility(spark, d):
     r, _, facts, _, sets, _ = parts(spark, d)
     scores = sets.select("system", "document_id", F.col("f1").alias("utility"))
-    return ST.document_utility(scores, facts.withColumn("available", F.lit(True)))
+    return ST.document_utility(scores, facts.withColumn("available", F.lit(True))).withColumn("score", F.round("score", 9))
 
 
 WRONG = f"{C.SET_SCORES}, wr AS (SELECT system, document_id, string_agg(CASE WHEN fp > 0 OR fn > 0 THEN metric END, '|' ORDER BY metric) AS incorrect, count(*) FILTER (fp > 0 OR fn > 0) AS incorrect_count FROM ss GROUP BY 1, 2)"
