@@ -7,8 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from goldmeter.llm import licences, sharding
-from goldmeter.llm.common import table
+from goldmeter.llm import licences, media, sharding, tokens
+from goldmeter.llm.common import shared_folder, table
+
+VOCABULARIES = "/opt/tokenizers"
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -31,6 +33,34 @@ def _quoted(s: str) -> str:
 _KNOWN_SQL = " UNION ALL ".join(f"SELECT {_quoted(n)} AS licence, {_quoted(t)} AS body" for n, t in licences.KNOWN)
 
 
+def vocabulary(name: str) -> str:
+    """A public vocabulary's file; the folder of the installed package if there is one, else VOCABULARIES."""
+    import importlib.util
+
+    found = importlib.util.find_spec("public_tokenizers")
+    return f"{found.submodule_search_locations[0] if found else VOCABULARIES}/{name}"
+
+
+@query("op1_media_columns")
+def op1(spark, d):
+    """Every text stored as an image in tar shards and read back; rows of one digest share the image."""
+    folder = shared_folder(spark, "media")
+    index = media.write_shards(table(spark, d, "documents"), folder)
+    facts = media.read_features(media.fill_metadata(media.spread(media.objects(index)), folder), folder)
+    return index.select("doc_id", "n_bytes", "digest").join(facts, "digest").select(
+        "doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature",
+        "width", "height", "bits", "digest", "shard", "offset", "length")
+
+
+@query("op8_token_automaton")
+def op8(spark, d):
+    """Digests of every text's token ids and of the text decoded from them."""
+    path = vocabulary("byte_bpe_50k.json")
+    coded = tokens.decode(tokens.encode(table(spark, d, "documents"), path), path)
+    ids = F.array_join(F.col("ids").cast("array<string>"), ",")
+    return coded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(ids, 256).alias("ids_sha256"), F.sha2(F.col("decoded"), 256).alias("decoded_sha256"))
+
+
 @query("op9_licence_digests", f"""WITH known AS (SELECT sha256({licences.canonical_sql('body')}) AS digest, min(licence) AS licence FROM ({_KNOWN_SQL}) GROUP BY 1),
  whole AS (SELECT doc_id, sha256({licences.canonical_sql('text')}) AS digest FROM documents),
  lines AS (SELECT doc_id, sha256({licences.canonical_sql('line')}) AS digest FROM (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line FROM documents) WHERE regexp_matches(line, '(?i)licen|permission|redistribut')),
