@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from goldmeter.llm import licences, media, sharding, tokens
+from goldmeter.llm import licences, media, packing, sharding, tokens
 from goldmeter.llm.common import shared_folder, table
 
 VOCABULARIES = "/opt/tokenizers"
@@ -52,6 +52,12 @@ def op1(spark, d):
         "width", "height", "bits", "digest", "shard", "offset", "length")
 
 
+@query("op6_vector_packing")
+def op6(spark, d):
+    """All documents packed into sequences of at most 4096 tokens."""
+    return packing.pack(table(spark, d, "documents"), vocabulary("word_bpe_49k.json"))
+
+
 @query("op8_token_automaton")
 def op8(spark, d):
     """Digests of every text's token ids and of the text decoded from them."""

@@ -374,3 +374,59 @@ def decode(encoded: DataFrame, path: str, key: str = "doc_id", ids: str = "ids")
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in encoded.schema)
     return encoded.mapInArrow(run, f"{schema}, decoded string")
+
+
+# Characters whose composed form, lower case and class do not depend on a tokenizer's tables: printable ASCII and Latin letters.
+_PLAIN = re.compile(r"[!-~À-ÖØ-öø-ĮıĲ-ɏ]+").fullmatch
+_SEPARATORS = re.compile(r"[\x1c-\x1f]")
+
+
+class WordEncoder:
+    """Encoder for the lower-case word vocabulary with word ends; equal to the public tokenizer of the same file.
+
+    White space is dropped by that tokenizer and no piece spans it, so a text is the sum of its words. Words of plain characters
+    go through the automaton; any other word, and texts with control separators, go to the tokenizer itself.
+    """
+
+    def __init__(self, path: str):
+        import os
+
+        import regex
+
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        from tokenizers import Tokenizer
+
+        self.machine, self.library = automaton(path), Tokenizer.from_file(path)
+        self.library.no_padding()
+        self.library.no_truncation()
+        # fixed value: the pattern of this vocabulary's pieces
+        self.pattern = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
+        self.pieces: dict[str, bytes] = {}
+        self.memory = Memory(self._learn)
+
+    def _public(self, texts: list[str]) -> list[bytes]:
+        return [np.array(e.ids, "<u4").tobytes() for e in self.library.encode_batch(texts, add_special_tokens=False)]
+
+    def _learn(self, words: list[str]) -> list[bytes]:
+        split = {w: self.pattern.findall(w.lower()) for w in words if _PLAIN(w) and "<|" not in w}
+        if len(self.pieces) > self.memory.limit // 2:
+            self.pieces.clear()
+        new = list({p for x in split.values() for p in x}.difference(self.pieces))
+        self.pieces.update((p, i.tobytes()) for p, i in zip(new, self.machine.encode_words([p.encode() for p in new])))
+        ids = {w: b"".join(map(self.pieces.__getitem__, x)) for w, x in split.items()}
+        rest = [w for w in words if w not in ids]
+        ids.update(zip(rest, self._public(rest)))
+        return [ids[w] for w in words]
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        out: list[bytes] = []
+        for a in range(0, len(texts), 512):
+            block = texts[a: a + 512]
+            found = self.memory.look_up([[] if _SEPARATORS.search(t) else t.split() for t in block])
+            out += [self._public([t])[0] if _SEPARATORS.search(t) else ids for t, ids in zip(block, found)]
+        return out
+
+
+@functools.lru_cache(maxsize=4)
+def word_encoder(path: str) -> WordEncoder:
+    return WordEncoder(path)
