@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from goldmeter.llm import licences, media, packing, sharding, tokens
-from goldmeter.llm.common import shared_folder, table
+from goldmeter.llm import language, licences, media, packing, quality, sharding, tokens
+from goldmeter.llm.common import remainder, shared_folder, table
 
 VOCABULARIES = "/opt/tokenizers"
 
@@ -52,6 +52,25 @@ def op1(spark, d):
         "width", "height", "bits", "digest", "shard", "offset", "length")
 
 
+def _held_out(df: DataFrame, modulus: int) -> DataFrame:
+    return df.withColumn("held_out", remainder(F.col("doc_id"), modulus) == 0)
+
+
+@query("op2_language_ppm")
+def op2(spark, d):
+    """Language of every text, learned from the rows not held out."""
+    docs = table(spark, d, "documents")
+    return _held_out(language.identify(docs, language.train(docs)), 5)
+
+
+@query("op4_quality_pu")
+def op4(spark, d):
+    """Quality score of every text, learned from labels of the rows not held out."""
+    docs = table(spark, d, "documents")
+    scored = quality.score(docs, quality.train(docs, table(spark, d, "labels")))
+    return _held_out(scored, 5).withColumn("predicted", (F.col("score") >= quality.THRESHOLD).cast("int"))
+
+
 @query("op6_vector_packing")
 def op6(spark, d):
     """All documents packed into sequences of at most 4096 tokens."""
