@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from goldmeter.llm import language, licences, media, packing, quality, sharding, tokens
+from goldmeter.llm import dedup, language, licences, media, packing, quality, sharding, tokens
 from goldmeter.llm.common import remainder, shared_folder, table
 
 VOCABULARIES = "/opt/tokenizers"
@@ -77,6 +77,26 @@ def op6(spark, d):
     return packing.pack(table(spark, d, "documents"), vocabulary("word_bpe_49k.json"))
 
 
+_TOKENS = "regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+')"
+
+
+@query("op7_minhash_components", f"""WITH RECURSIVE w AS (SELECT doc_id, {_TOKENS} AS t FROM documents),
+ s AS (SELECT DISTINCT doc_id, CASE WHEN len(t) = 1 THEN t[1] ELSE t[i] || ' ' || t[i + 1] END AS g FROM (SELECT doc_id, t, unnest(range(1, greatest(len(t), 2))) AS i FROM w WHERE len(t) > 0)),
+ sizes AS (SELECT doc_id, count(*) AS n FROM s GROUP BY 1),
+ sets AS (SELECT doc_id, md5(string_agg(g, chr(10) ORDER BY g)) AS h FROM s GROUP BY 1),
+ reps AS (SELECT h, min(doc_id) AS cid FROM sets GROUP BY 1),
+ rs AS (SELECT s.doc_id, s.g, z.n FROM s JOIN reps ON reps.cid = s.doc_id JOIN sizes z ON z.doc_id = s.doc_id),
+ shared AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c, any_value(a.n) AS nx, any_value(b.n) AS ny FROM rs a JOIN rs b ON a.g = b.g AND a.doc_id < b.doc_id AND a.n * 100 >= b.n * 80 AND b.n * 100 >= a.n * 80 GROUP BY 1, 2),
+ e AS (SELECT x, y FROM shared WHERE 100 * c >= 80 * (nx + ny - c)),
+ reach(x, y) AS (SELECT cid, cid FROM reps UNION SELECT r.x, CASE WHEN e.x = r.y THEN e.y ELSE e.x END FROM reach r JOIN e ON r.y = e.x OR r.y = e.y),
+ comp AS (SELECT x AS cid, min(y) AS comp FROM reach GROUP BY 1)
+ SELECT d.doc_id, coalesce(z.n, 0) AS n_shingles, coalesce(c.comp, d.doc_id) AS component_id, d.doc_id = coalesce(c.comp, d.doc_id) AS kept
+ FROM documents d LEFT JOIN sizes z ON z.doc_id = d.doc_id LEFT JOIN sets t ON t.doc_id = d.doc_id LEFT JOIN reps USING (h) LEFT JOIN comp c USING (cid)""")
+def op7(spark, d):
+    """Component of every document under links of similarity 0.8 or more."""
+    return dedup.near_duplicates(table(spark, d, "documents"))
+
+
 @query("op8_token_automaton")
 def op8(spark, d):
     """Digests of every text's token ids and of the text decoded from them."""

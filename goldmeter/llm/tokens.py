@@ -36,21 +36,24 @@ def _byte_chars() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(others)}
 
 
+def token_labels(ids: dict[str, int]) -> dict[int, bytes]:
+    """The bytes each token stands for, a word's end mark included; tokens outside the byte alphabet have none."""
+    chars = _byte_chars()
+    return {i: bytes(chars[c] for c in token) for token, i in ids.items() if token and all(c in chars for c in token)}
+
+
 class Automaton:
     """Compiled form of a vocabulary: `ids` by token string, `merges` in order; `suffix` marks a word's last symbol."""
 
     def __init__(self, ids: dict[str, int], merges: list[tuple[str, str]], suffix: str = ""):
         n = max(ids.values()) + 1
-        chars = _byte_chars()
         self.size, self.suffix = n, suffix
         self.born, self.left, self.right = np.full(n, -1, np.int64), np.full(n, -1, np.int64), np.full(n, -1, np.int64)
         symbols: list[tuple[int, ...]] = [()] * n
-        self.labels: list[bytes] = [b""] * n
-        for token, i in ids.items():
-            body, last = (token[: -len(suffix)], 256) if suffix and token.endswith(suffix) else (token, 0)
-            if body and all(c in chars for c in body):
-                self.labels[i] = bytes(chars[c] for c in body)
-                symbols[i] = (*self.labels[i][:-1], self.labels[i][-1] + last)
+        for i, label in token_labels(ids).items():
+            last = 256 if suffix and len(label) > len(suffix) and label.endswith(suffix.encode()) else 0
+            body = label[: -len(suffix)] if last else label
+            symbols[i] = (*body[:-1], body[-1] + last)
         pairs = [(ids[a], ids[b], ids[a + b]) for a, b in merges]
         if len({w for _, _, w in pairs}) != len(pairs):
             raise ValueError("a token is made by two merges")
@@ -227,11 +230,15 @@ class Automaton:
         return token[sort].astype("<u4"), np.cumsum(np.bincount(lane, minlength=n))
 
 
+def _model(path: str) -> dict:
+    with open(path, encoding="utf-8") as f:
+        return json.load(f)["model"]
+
+
 @functools.lru_cache(maxsize=4)
 def automaton(path: str) -> Automaton:
     """Compiled once per Python worker from the vocabulary file, which every worker must be able to read."""
-    with open(path, encoding="utf-8") as f:
-        model = json.load(f)["model"]
+    model = _model(path)
     merges = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in model["merges"]]
     return Automaton(model["vocab"], merges, model.get("end_of_word_suffix") or "")
 
@@ -252,7 +259,7 @@ def _split_pattern():
 class Memory:
     """Ids of words seen so far, as bytes of little-endian integers. Emptied when `limit` words are held."""
 
-    def __init__(self, learn: Callable[[list[str]], list[bytes]], limit: int = 500_000):
+    def __init__(self, learn: Callable[[list[str]], list[bytes]], limit: int = 300_000):
         self.learn, self.limit, self.known = learn, limit, {}
 
     def look_up(self, docs: list[list[str]]) -> list[bytes]:
@@ -338,10 +345,8 @@ def encode(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text")
 @functools.lru_cache(maxsize=4)
 def arc_labels(path: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Label bytes of all arcs in one buffer, with the start and size of each."""
-    labels = list(automaton(path).labels)
-    for token, i in added_tokens(path).items():
-        labels += [b""] * (i + 1 - len(labels))
-        labels[i] = token.encode()
+    by_id = token_labels(_model(path)["vocab"]) | {i: token.encode() for token, i in added_tokens(path).items()}
+    labels = [by_id.get(i, b"") for i in range(max(by_id) + 1)]
     sizes = np.array([len(x) for x in labels], np.int64)
     return np.frombuffer(b"".join(labels), np.uint8), np.cumsum(sizes) - sizes, sizes
 
