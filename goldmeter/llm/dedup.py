@@ -24,78 +24,29 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from goldmeter.llm.common import partitions, stored
+from goldmeter.llm.words import BASE, SECOND, blocks, mix, word_hashes
 
 BANDS, ROWS = 48, 6
 #: Agreeing 8-bit minima of 288 that a pair must have: six deviations below the mean at similarity 0.8.
 LEAST_AGREEING = 188
 BLOCK = 1024
 
-_random = np.random.default_rng(20)
-_TABLE = _random.integers(0, 2**64, 256, dtype=np.uint64)
-_BASE = np.uint64(0x9E3779B97F4A7C15)
-_BASE_INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 2**64))
-_SECOND = np.uint64(0xC2B2AE3D27D4EB4F)
+_random = np.random.default_rng(21)
 _FACTORS = _random.integers(0, 2**64, BANDS * ROWS, dtype=np.uint64) | np.uint64(1)
 _SHIFTS = _random.integers(0, 2**64, BANDS * ROWS, dtype=np.uint64)
-_FOLD = np.arange(256, dtype=np.uint8)
-_FOLD[65:91] += 32
-_SPACE = np.zeros(256, bool)
-_SPACE[[32, *range(9, 14)]] = True
 
 
-def _mix(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(33))) * np.uint64(0xFF51AFD7ED558CCD)
-    x = (x ^ (x >> np.uint64(33))) * np.uint64(0xC4CEB9FE1A85EC53)
-    return x ^ (x >> np.uint64(33))
-
-
-def _powers(base: np.uint64, n: int) -> np.ndarray:
-    return np.cumprod(np.r_[np.uint64(1), np.full(n, base, np.uint64)], dtype=np.uint64)
-
-
-_powers_of: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-
-
-def _tables(n: int) -> tuple[np.ndarray, np.ndarray]:
-    size = 1 << max(16, n.bit_length())
-    if size not in _powers_of:
-        _powers_of.clear()
-        _powers_of[size] = _powers(_BASE, size), _powers(_BASE_INVERSE, size)
-    return _powers_of[size]
-
-
-def _sets(block: list[bytes]) -> list[np.ndarray]:
-    flat = _FOLD[np.frombuffer(b"\n" + b"\n".join(block) + b"\n", np.uint8)]
-    up, down = _tables(len(flat))
-    space = _SPACE[flat]
-    starts = np.flatnonzero(space[:-1] & ~space[1:]) + 1
-    ends = np.flatnonzero(~space[:-1] & space[1:]) + 1
-    sums = np.r_[np.uint64(0), np.cumsum(_TABLE[flat] * up[: len(flat)], dtype=np.uint64)]
-    words = _mix((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64))
-    doc_ends = np.cumsum([len(x) + 1 for x in block])
-    first = np.r_[0, np.searchsorted(starts, doc_ends)]
+def shingle_sets(texts: list[str]) -> list[np.ndarray]:
+    """Sorted distinct hashes of each text's 2-word shingles; a lone word is a shingle, no word gives the empty set."""
     out = []
-    pairs = _mix(words[:-1] * _SECOND + words[1:])
-    for a, b in zip(first.tolist(), first[1:].tolist()):
-        out.append(np.unique(pairs[a: b - 1]) if b - a > 1 else _mix(words[a:b] + _SECOND))
+    for block in blocks(texts):
+        words, first = word_hashes(block)
+        pairs = mix(words[:-1] * SECOND + words[1:])
+        for a, b in zip(first.tolist(), first[1:].tolist()):
+            out.append(np.unique(pairs[a: b - 1]) if b - a > 1 else mix(words[a:b] + SECOND))
     return out
 
 
-def shingle_sets(texts: list[str], block_bytes: int = 1 << 20) -> list[np.ndarray]:
-    """Sorted distinct hashes of each text's 2-word shingles; a lone word is a shingle, no word gives the empty set."""
-    out: list[np.ndarray] = []
-    block: list[bytes] = []
-    size = 0
-    for t in texts:
-        raw = t.encode("utf-8", "surrogatepass")
-        if block and size + len(raw) > block_bytes:
-            out += _sets(block)
-            block, size = [], 0
-        block.append(raw)
-        size += len(raw)
-    return out + _sets(block) if block else out
-
-
 def minima(shingles: np.ndarray) -> np.ndarray:
     """Smallest upper half of factor * x + shift, for every hash function."""
     least = np.full(BANDS * ROWS, np.uint64(2**64 - 1))
@@ -108,9 +59,9 @@ def minima(shingles: np.ndarray) -> np.ndarray:
 
 def band_keys(sig: np.ndarray) -> np.ndarray:
     rows = sig.reshape(BANDS, ROWS).astype(np.uint64)
-    key = np.arange(1, BANDS + 1, dtype=np.uint64) * _BASE
+    key = np.arange(1, BANDS + 1, dtype=np.uint64) * BASE
     for r in range(ROWS):
-        key = _mix(key * _SECOND + rows[:, r])
+        key = mix(key * SECOND + rows[:, r])
     return key.view(np.int64)
 
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from goldmeter.llm import dedup, language, licences, media, packing, quality, sharding, tokens
+from goldmeter.llm import dedup, language, licences, lm, media, packing, quality, sharding, tokens
 from goldmeter.llm.common import remainder, shared_folder, table
 
 VOCABULARIES = "/opt/tokenizers"
@@ -71,6 +71,12 @@ def op4(spark, d):
     return _held_out(scored, 5).withColumn("predicted", (F.col("score") >= quality.THRESHOLD).cast("int"))
 
 
+@query("op5_deleted_interpolation")
+def op5(spark, d):
+    """Scores of every text by the model learned from nine tenths of the documents."""
+    return lm.score(table(spark, d, "documents"))
+
+
 @query("op6_vector_packing")
 def op6(spark, d):
     """All documents packed into sequences of at most 4096 tokens."""
