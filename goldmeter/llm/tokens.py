@@ -257,19 +257,21 @@ def _split_pattern():
 
 
 class Memory:
-    """Ids of words seen so far, as bytes of little-endian integers. Emptied when `limit` words are held."""
+    """Ids of words seen lately, as bytes of little-endian integers, in two generations of at most `limit` words: when the younger
+    is full it becomes the older, and words met again come back from there."""
 
-    def __init__(self, learn: Callable[[list[str]], list[bytes]], limit: int = 300_000):
-        self.learn, self.limit, self.known = learn, limit, {}
+    def __init__(self, learn: Callable[[list[str]], list[bytes]], limit: int = 200_000):
+        self.learn, self.limit, self.known, self.older = learn, limit, {}, {}
 
     def look_up(self, docs: list[list[str]]) -> list[bytes]:
-        known = self.known
-        missing = {w for words in docs for w in words if w not in known}
-        if len(known) + len(missing) > self.limit:
-            known.clear()
-            missing = {w for words in docs for w in words}
+        missing = set().union(*docs).difference(self.known)
+        if missing and len(self.known) + len(missing) > self.limit:
+            self.known, self.older = {}, self.known
+            missing = set().union(*docs)
+        known, older = self.known, self.older
         if missing:
-            new = list(missing)
+            known.update((w, older[w]) for w in missing if w in older)
+            new = list(missing.difference(known))
             known.update(zip(new, self.learn(new)))
         return [b"".join(map(known.__getitem__, words)) for words in docs]
 
@@ -407,7 +409,7 @@ class WordEncoder:
         # fixed value: the pattern of this vocabulary's pieces
         self.pattern = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
         self.pieces: dict[str, bytes] = {}
-        self.memory = Memory(self._learn)
+        self.memory = Memory(self._learn, 450_000)
 
     def _public(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.library.encode_batch(texts, add_special_tokens=False)]
