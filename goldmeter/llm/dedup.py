@@ -2,15 +2,14 @@
 
 1. One scan turns each text into its shingle set (64-bit hashes), 288 minima of universal hash functions, 48 band keys of 6
    minima each and an 8-bit signature. A pair at similarity 0.8 misses all bands with probability below 5e-7.
-2. Documents with equal sets form a class; the class with its smallest id is the node from here on, so exact copies cost nothing.
-3. In each bucket every member is paired with the smallest one only. Pairs whose set sizes and signatures allow the similarity
-   are confirmed on full sets, and components of the confirmed links are built.
-4. Buckets that still hold several components are compared in full, block by block, for members of different components; what
-   the signatures allow is confirmed too. So no link between members of a bucket is lost, and a large group of copies, one
-   component by then, is never compared pair by pair.
+2. Equal sets are one node (64-bit digest), so exact copies cost nothing from here on.
+3. Members of a bucket are compared by signature, in blocks of bounded size, and joined into groups where the signatures allow
+   the similarity. Only a forest of each group is given out, never all its pairs; buckets with the same members count once.
+4. The groups' components are closed under possible links. Each is confirmed on full sets, again block by block: a forest of the
+   exact links of every pair of blocks is given out, so no link between different components is lost.
 5. Components by alternating large-star and small-star until the edges are stars.
 
-Only ids, band keys and 288-byte signatures of all documents are shuffled; texts follow for documents in pairs to be confirmed.
+Only ids, band keys and 288-byte signatures of all documents are shuffled, and texts once, of which those in groups stay.
 """
 
 from __future__ import annotations
@@ -30,6 +29,8 @@ BANDS, ROWS = 48, 6
 #: Agreeing 8-bit minima of 288 that a pair must have: six deviations below the mean at similarity 0.8.
 LEAST_AGREEING = 188
 BLOCK = 1024
+#: Shingles of the texts in a block, about.
+BLOCK_SHINGLES = 500_000
 
 _random = np.random.default_rng(21)
 _FACTORS = _random.integers(0, 2**64, BANDS * ROWS, dtype=np.uint64) | np.uint64(1)
@@ -65,8 +66,13 @@ def band_keys(sig: np.ndarray) -> np.ndarray:
     return key.view(np.int64)
 
 
+def digest(shingles: np.ndarray) -> int | None:
+    """64 bits that stand for a whole set; none for the empty set."""
+    return int.from_bytes(hashlib.blake2b(shingles.tobytes(), digest_size=8).digest(), "little", signed=True) if len(shingles) else None
+
+
 def sketch(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, digest (of the set; null where it is empty), bands, sig."""
+    """doc_id, n_shingles, node (digest of the set), bands, sig."""
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -76,135 +82,139 @@ def sketch(docs: DataFrame) -> DataFrame:
                 sets = shingle_sets(["" if t is None else t for t in part.column(1).to_pylist()])
                 sigs = [minima(s) for s in sets]
                 yield pa.RecordBatch.from_arrays([
-                    part.column(0), pa.array([len(s) for s in sets], pa.int64()),
-                    pa.array([hashlib.blake2b(s.tobytes(), digest_size=16).hexdigest() if len(s) else None for s in sets], pa.string()),
+                    part.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([digest(s) for s in sets], pa.int64()),
                     pa.array([band_keys(g) for g in sigs], pa.list_(pa.int64())), pa.array([(g & 255).astype(np.uint8).tobytes() for g in sigs], pa.binary())],
-                    names=["doc_id", "n_shingles", "digest", "bands", "sig"])
+                    names=["doc_id", "n_shingles", "node", "bands", "sig"])
+
+    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n_shingles bigint, node bigint, bands array<bigint>, sig binary")
+
+
+def shared_buckets(nodes: DataFrame) -> DataFrame:
+    """bucket, node, m for buckets of several nodes; of buckets with the same members one stays."""
+    rows = nodes.select(F.explode("bands").alias("bucket"), "node")
+    several = rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("m"), F.bit_xor("node").alias("x"), F.min("node").alias("least")).filter("m > 1")
+    one = several.groupBy("m", "x", "least").agg(F.min("bucket").alias("bucket")).select("bucket", "m")
+    return rows.join(one, "bucket")
+
+
+def in_block_pairs(rows: DataFrame, group: str, blocks: Column) -> DataFrame:
+    """Rows dealt into `blocks` blocks of their group by the node's hash, and repeated for each pair of blocks (p, q) their own
+    is in; `second` marks rows of block q where p < q."""
+    rows = rows.withColumn("blocks", blocks.cast("int")).withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    rows = rows.select(F.col(group).alias("grp"), F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"), (F.col("own") > F.col("other")).alias("second"), *(c for c in rows.columns if c not in (group, "own", "other", "blocks", "m")))
+    n = partitions(rows.sparkSession)
+    return rows.repartition(n, "grp", "p", "q").sortWithinPartitions("grp", "p", "q")
+
+
+def forest(n: int, left: int, links) -> list[tuple[int, int]]:
+    """Edges (i, j) of a spanning forest of 0..n-1 where links(i, rest) gives those of `rest` linked with i. With left < n only
+    links between 0..left-1 and the others count. Every node is asked about once, about nodes not reached yet."""
+    open_ = np.ones(n, bool)
+    edges = []
+    for start in range(left if left < n else n):
+        if not open_[start]:
+            continue
+        open_[start] = False
+        queue = [start]
+        while queue:
+            i = queue.pop()
+            rest = np.flatnonzero(open_[left:]) + left if i < left < n else np.flatnonzero(open_[:left])
+            if len(rest):
+                near = links(i, rest)
+                open_[near] = False
+                edges += [(i, int(j)) for j in near]
+                queue += near.tolist()
+    return edges
+
+
+def _by_group(rows: DataFrame, join) -> DataFrame:
+    """Edges a, b of `join(left, right)` for every (grp, p, q); left and right are lists of the remaining columns, right is None
+    inside a block. A group is one pair of blocks, so its size is bounded."""
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n_shingles bigint, digest string, bands array<bigint>, sig binary")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at: tuple | None = None
+        left: list[tuple] = []
+        right: list[tuple] = []
+
+        def edges() -> pa.RecordBatch:
+            found = join(left, right if at[1] != at[2] else None) if at and left and (right or at[1] == at[2]) else []
+            a, b = list(zip(*found)) or ((), ())
+            left.clear()
+            right.clear()
+            return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
+        for whole in batches:
+            for z in range(0, whole.num_rows, 1024):
+                for *key, second, in_ in ((*r[:3], r[3], r[4:]) for r in zip(*(c.to_pylist() for c in whole.slice(z, 1024).columns))):
+                    if tuple(key) != at:
+                        yield edges()
+                        at = tuple(key)
+                    (right if second else left).append(in_)
+        yield edges()
 
-def classes(sketches: DataFrame) -> DataFrame:
-    """One row per distinct non-empty set: cid (smallest doc_id), n, bands, sig."""
-    return sketches.filter("digest IS NOT NULL AND doc_id IS NOT NULL").groupBy("digest").agg(F.min("doc_id").alias("cid"), F.min("n_shingles").alias("n"), F.min("sig").alias("sig"), F.min("bands").alias("bands")).drop("digest")
+    return rows.mapInArrow(run, "a bigint, b bigint")
 
 
-def _similar_size(a: str, b: str) -> Column:
-    return (F.col(a) * 100 >= F.col(b) * 80) & (F.col(b) * 100 >= F.col(a) * 80)
+def _similar_sizes(n: np.ndarray, m: int) -> np.ndarray:
+    return (n * 100 >= m * 80) & (m * 100 >= n * 80)
 
 
-def _agree(pairs: DataFrame) -> DataFrame:
-    """Pairs (a, b, sig_a, sig_b) whose signatures allow the similarity."""
+def possible_links(nodes: DataFrame) -> DataFrame:
+    """Edges (a, b) of forests over nodes that share a bucket and whose sizes and signatures allow the similarity."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            if b.num_rows:
-                x, y = (np.frombuffer(b"".join(b.column(i).to_pylist()), np.uint8).reshape(b.num_rows, -1) for i in (2, 3))
-                yield b.select(["a", "b"]).filter(pa.array((x == y).sum(axis=1) >= LEAST_AGREEING))
+    def join(left: list[tuple], right: list[tuple] | None) -> list[tuple[int, int]]:
+        both = left + (right or [])
+        node, n = [r[0] for r in both], np.array([r[1] for r in both])
+        sig = np.frombuffer(b"".join(r[2] for r in both), np.uint8).reshape(len(both), -1)
 
-    return pairs.select("a", "b", "sig_a", "sig_b").mapInArrow(run, "a bigint, b bigint")
+        def links(i: int, rest: np.ndarray) -> np.ndarray:
+            rest = rest[_similar_sizes(n[rest], n[i])]
+            return rest[(sig[rest] == sig[i]).sum(axis=1) >= LEAST_AGREEING]
 
+        return [(node[i], node[j]) for i, j in forest(len(both), len(left), links)]
 
-def hub_pairs(nodes: DataFrame, buckets: DataFrame) -> DataFrame:
-    """Each member of a bucket with the bucket's smallest member."""
-    hubs = buckets.groupBy("bucket").agg(F.min("cid").alias("a"), F.count(F.lit(1)).alias("m")).filter("m > 1").drop("m")
-    pairs = buckets.join(hubs, "bucket").filter("a < cid").select("a", F.col("cid").alias("b")).distinct()
-    side = lambda x: nodes.select(F.col("cid").alias(x), F.col("n").alias(f"n_{x}"), F.col("sig").alias(f"sig_{x}"))
-    return _agree(pairs.join(side("a"), "a").join(side("b"), "b").filter(_similar_size("n_a", "n_b")))
+    rows = shared_buckets(nodes).join(nodes.select("node", F.col("n_shingles").alias("n"), "sig"), "node")
+    dealt = in_block_pairs(rows.select("bucket", "m", "node", "n", "sig"), "bucket", F.ceil(F.col("m") / BLOCK))
+    return _by_group(dealt, join).distinct()
 
 
-def open_pairs(nodes: DataFrame, buckets: DataFrame, components: DataFrame) -> DataFrame:
-    """All pairs in buckets of several components that are in different ones and may be similar.
+def confirmed_links(docs: DataFrame, nodes: DataFrame, groups: DataFrame) -> DataFrame:
+    """Edges (a, b) of forests of the links 100 * intersection >= 80 * union on full sets, between nodes of one group.
 
-    Members of a bucket are dealt into blocks of about BLOCK; each pair of blocks is a group of rows of its own, compared as
-    arrays, and only pairs that the signatures allow are given out.
+    A group's texts, one per node, are dealt into blocks of about BLOCK_SHINGLES shingles. groups: cid (node), comp.
     """
-    placed = buckets.join(components, "cid", "left").withColumn("comp", F.coalesce("comp", "cid"))
-    several = placed.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.lit(1)).alias("m")).filter("lo < hi")
-    blocks = F.ceil(F.col("m") / BLOCK).cast("int")
-    own = F.pmod(F.xxhash64("cid"), F.col("blocks")).cast("int")
-    rows = placed.join(several.select("bucket", blocks.alias("blocks")), "bucket").withColumn("own", own)
-    rows = rows.join(nodes.select("cid", "n", "sig"), "cid").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    rows = rows.select("bucket", F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"), (F.col("own") > F.col("other")).alias("second"), "cid", "comp", "n", "sig")
-    n = partitions(nodes.sparkSession)
-    rows = rows.repartition(n, "bucket", "p", "q").sortWithinPartitions("bucket", "p", "q")
-
-    def compare(group: list[tuple]) -> list[tuple[int, int]]:
-        p, q = group[0][1], group[0][2]
-        left = [r for r in group if not r[3]]
-        right = [r for r in group if r[3]] if p != q else left
-        if not left or not right:
+    wanted = groups.select(F.col("cid").alias("node"), "comp").join(nodes.select("node", "n_shingles", "doc_id"), "node")
+    sizes = wanted.groupBy("comp").agg(F.ceil(F.sum("n_shingles") / BLOCK_SHINGLES).alias("m"))
+    rows = docs.select("doc_id", "text").join(wanted.join(sizes, "comp").select("doc_id", "node", "comp", "m"), "doc_id")
+    dealt = in_block_pairs(rows.select("comp", "m", "node", "text"), "comp", F.col("m"))
+
+    def join(left: list[tuple], right: list[tuple] | None) -> list[tuple[int, int]]:
+        sets = [[(r[0], s) for r, s in zip(side, shingle_sets([r[1] or "" for r in side])) if digest(s) == r[0]] for side in (left, right or [])]
+        both = sets[0] + sets[1]  # a row whose doc_id repeats with another text is no node of this group
+        if not both:
             return []
-        sides = [(np.array([r[4] for r in x]), np.array([r[5] for r in x]), np.array([r[6] for r in x]), np.frombuffer(b"".join(r[7] for r in x), np.uint8).reshape(len(x), -1)) for x in (left, right)]
-        (ca, ka, na, sa), (cb, kb, nb, sb) = sides
-        out = []
-        for i in range(len(ca)):
-            may = (kb != ka[i]) & (na[i] * 100 >= nb * 80) & (nb * 100 >= na[i] * 80) & ((cb > ca[i]) if p == q else True)
-            j = np.flatnonzero(may)
-            j = j[(sb[j] == sa[i]).sum(axis=1) >= LEAST_AGREEING]
-            out += [(min(int(ca[i]), int(c)), max(int(ca[i]), int(c))) for c in cb[j]]
-        return out
+        node, n = [k for k, _ in both], np.array([len(s) for _, s in both])
+        every, flat = np.unique(np.concatenate([s for _, s in both]), return_inverse=True)
+        starts = np.r_[0, np.cumsum(n)[:-1]]
+        mark = np.zeros(len(every), np.int64)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        group: list[tuple] = []
-        found: list[tuple[int, int]] = []
-
-        def batch() -> pa.RecordBatch:
-            a, b = list(zip(*found)) or ((), ())
-            found.clear()
-            return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
-
-        for b in batches:
-            for row in zip(*(c.to_pylist() for c in b.columns)):
-                if group and row[:3] != group[0][:3]:
-                    found += compare(group)
-                    group = []
-                    if len(found) > 50_000:
-                        yield batch()
-                group.append(row)
-        if group:
-            found += compare(group)
-        yield batch()
-
-    return rows.mapInArrow(run, "a bigint, b bigint").distinct()
+        def links(i: int, rest: np.ndarray) -> np.ndarray:
+            rest = rest[_similar_sizes(n[rest], n[i])]
+            if not len(rest):
+                return rest
+            own = flat[starts[i]: starts[i] + n[i]]
+            mark[own] = 1
+            if len(rest) * 4 > len(n):
+                shared = np.add.reduceat(mark[flat], starts)[rest]
+            else:
+                shared = np.array([mark[flat[starts[j]: starts[j] + n[j]]].sum() for j in rest])
+            mark[own] = 0
+            return rest[100 * shared >= 80 * (n[rest] + n[i] - shared)]
 
+        return [(node[i], node[j]) for i, j in forest(len(both), len(sets[0]), links)]
 
-def confirm(docs: DataFrame, pairs: DataFrame) -> DataFrame:
-    """Pairs (a, b) whose full sets have 100 * intersection >= 80 * union.
-
-    Texts are fetched for ids in pairs only. The left text goes to every salt that its pairs use (64 pairs a salt on average), so
-    a smallest member with many partners is spread over tasks.
-    """
-    salts = F.pmod(F.xxhash64("b"), F.greatest(F.lit(1), F.ceil(F.col("m") / 64))).cast("int")
-    pairs = pairs.join(pairs.groupBy("a").agg(F.count(F.lit(1)).alias("m")), "a").select("a", "b", salts.alias("salt"))
-    ends = pairs.select(F.col("a").alias("doc_id"), "a", "salt", F.lit(True).alias("left")).distinct().unionByName(pairs.select(F.col("b").alias("doc_id"), "a", "salt", F.lit(False).alias("left")))
-    texts = docs.select("doc_id", "text")
-    wanted = ends.select("doc_id").distinct()
-    rows = ends.join(texts.join(wanted, "doc_id"), "doc_id").select("a", "salt", "left", "doc_id", "text")
-    rows = rows.repartition(partitions(docs.sparkSession), "a", "salt").sortWithinPartitions("a", "salt", F.col("left").desc())
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        head, own = None, []
-        for batch in batches:
-            for z in range(0, batch.num_rows, 512):
-                part = batch.slice(z, 512)
-                a, salt, left, doc, text = (c.to_pylist() for c in part.columns)
-                sets = shingle_sets(["" if t is None else t for t in text])
-                links = []
-                for i in range(len(a)):
-                    if left[i]:
-                        own = own if head == (a[i], salt[i]) else []
-                        head, own = (a[i], salt[i]), [*own, sets[i]]  # several texts only if an id repeats
-                        continue
-                    for mine in own:
-                        both = len(np.intersect1d(mine, sets[i], assume_unique=True))
-                        if 100 * both >= 80 * (len(mine) + len(sets[i]) - both):
-                            links.append((a[i], doc[i]))
-                            break
-                x, y = list(zip(*links)) or ((), ())
-                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()), pa.array(y, pa.int64())], names=["a", "b"])
-
-    return rows.mapInArrow(run, "a bigint, b bigint").distinct()
+    return _by_group(dealt, join).distinct()
 
 
 def connect(edges: DataFrame, most: int = 60) -> DataFrame:
@@ -234,23 +244,22 @@ def connect(edges: DataFrame, most: int = 60) -> DataFrame:
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for every row.
 
-    Null or wordless texts have the empty set and a component of their own. Rows that repeat a doc_id are one document: their
-    components are the same, and each row is given out. A null doc_id takes part in nothing and has no component. Ties have one
-    outcome, the smallest id. An empty table gives no rows; only doc_id and text are read.
+    Null or wordless texts have the empty set and a component of their own. Each row is judged by its own text, repeated rows
+    included. A null doc_id takes part in nothing and has no component. Ties have one outcome, the smallest id. An empty table
+    gives no rows; only doc_id and text are read. Two different sets share a digest with a probability of one in 2**64 a pair.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     sketches = stored(sketch(docs), "sketches")
-    nodes = stored(classes(sketches), "nodes")
-    buckets = nodes.select(F.explode("bands").alias("bucket"), "cid")
-    first = stored(confirm(docs, stored(hub_pairs(nodes, buckets), "hub-pairs")), "hub-links")
-    components = connect(first)
-    rest = confirm(docs, stored(open_pairs(nodes, buckets, components), "open-pairs"))
-    final = connect(first.unionByName(rest))
-    owner = sketches.filter("digest IS NOT NULL").groupBy("digest").agg(F.min("doc_id").alias("cid"))
-    of_class = owner.join(final, "cid", "left").select("digest", F.coalesce("comp", "cid").alias("comp"))
-    placed = sketches.select("doc_id", "n_shingles", "digest").join(of_class, "digest", "left")
-    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("comp", "doc_id"))
-    return placed.select("doc_id", "n_shingles", component.alias("component_id"), (F.col("doc_id") == component).alias("kept"))
+    owners = sketches.filter("node IS NOT NULL AND doc_id IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("doc_id"))
+    nodes = stored(sketches.join(owners, ["node", "doc_id"]).dropDuplicates(["node"]), "nodes")
+    groups = connect(possible_links(nodes))
+    final = connect(confirmed_links(docs, nodes, groups))
+    placed = owners.join(final.select(F.col("cid").alias("node"), "comp"), "node", "left").select("node", F.coalesce("comp", "node").alias("comp"), "doc_id")
+    least = placed.groupBy("comp").agg(F.min("doc_id").alias("least"))
+    component = placed.join(least, "comp").select("node", "least")
+    rows = sketches.select("doc_id", "n_shingles", "node").join(component, "node", "left")
+    component_id = F.when(F.col("doc_id").isNotNull(), F.coalesce("least", "doc_id"))
+    return rows.select("doc_id", "n_shingles", component_id.alias("component_id"), (F.col("doc_id") == component_id).alias("kept"))
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
