@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from goldmeter.llm import dedup, language, licences, lm, media, packing, quality, sharding, tokens
+from goldmeter.llm import dedup, language, licences, lm, media, nearest, packing, quality, sharding, tokens
 from goldmeter.llm.common import remainder, shared_folder, table
 
 VOCABULARIES = "/opt/tokenizers"
@@ -63,6 +63,12 @@ def op2(spark, d):
     return _held_out(language.identify(docs, language.train(docs)), 5)
 
 
+@query("op3_multiprobe_neighbours")
+def op3(spark, d):
+    """The 20 nearest of every twentieth vector."""
+    return nearest.search(table(spark, d, "embeddings"), F.col("id") % 20 == 0)
+
+
 @query("op4_quality_pu")
 def op4(spark, d):
     """Quality score of every text, learned from labels of the rows not held out."""
