@@ -2,15 +2,23 @@
 
 from __future__ import annotations
 
+import importlib.util
 import uuid
-from collections.abc import Callable, Iterator
 
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from goldmeter.session import ensure_checkpoint_dir
 
+#: Folder of the public vocabularies where their package is not installed.
+VOCABULARIES = "/opt/tokenizers"
+
+
+def vocabulary(name: str, folder: str | None = None) -> str:
+    """File of a public vocabulary: in `folder` if given, else in the installed package, else in VOCABULARIES."""
+    found = None if folder else importlib.util.find_spec("public_tokenizers")
+    return f"{folder or (found.submodule_search_locations[0] if found else VOCABULARIES)}/{name}"
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -37,19 +45,3 @@ def stored(df: DataFrame, name: str) -> DataFrame:
 def partitions(spark: SparkSession) -> int:
     """Partition count the session is sized for; used where tiny rows stand for heavy work and size-based coalescing would misjudge it."""
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
-
-
-def texts(batch: pa.RecordBatch, name: str = "text") -> list[str]:
-    """A batch's texts, null as the empty text."""
-    return ["" if t is None else t for t in batch.column(name).to_pylist()]
-
-
-def per_batch(fn: Callable[[pa.RecordBatch], pa.RecordBatch]):
-    """mapInArrow function from a function of one batch."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            if b.num_rows:
-                yield fn(b)
-
-    return run

@@ -8,9 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from goldmeter.llm import dedup, language, licences, lm, media, nearest, packing, quality, sharding, tokens
-from goldmeter.llm.common import remainder, shared_folder, table
-
-VOCABULARIES = "/opt/tokenizers"
+from goldmeter.llm.common import remainder, shared_folder, table, vocabulary
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -33,14 +31,6 @@ def _quoted(s: str) -> str:
 _KNOWN_SQL = " UNION ALL ".join(f"SELECT {_quoted(n)} AS licence, {_quoted(t)} AS body" for n, t in licences.KNOWN)
 
 
-def vocabulary(name: str) -> str:
-    """A public vocabulary's file; the folder of the installed package if there is one, else VOCABULARIES."""
-    import importlib.util
-
-    found = importlib.util.find_spec("public_tokenizers")
-    return f"{found.submodule_search_locations[0] if found else VOCABULARIES}/{name}"
-
-
 @query("op1_media_columns")
 def op1(spark, d):
     """Every text stored as an image in tar shards and read back; rows of one digest share the image."""
