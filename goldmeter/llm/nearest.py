@@ -178,7 +178,10 @@ class Best:
             self.id = np.r_[self.id, np.full((grow, self.most), np.iinfo(np.int64).max)]
         at = np.fromiter((self.row[q] for q in queries.tolist()), np.int64, len(queries))
         s, i = np.c_[self.score[at], score], np.c_[self.id[at], ids]
-        order = np.lexsort((i, -s), axis=1)[:, : self.most]
+        order = np.lexsort((i, -s), axis=1)
+        s, i = np.take_along_axis(s, order, 1), np.take_along_axis(i, order, 1)
+        s[:, 1:][i[:, 1:] == i[:, :-1]] = -np.inf  # met in another table too
+        order = np.argsort(-s, axis=1, kind="stable")[:, : self.most]
         self.score[at], self.id[at] = np.take_along_axis(s, order, 1), np.take_along_axis(i, order, 1)
 
     def batch(self) -> pa.RecordBatch:
