@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from goldmeter.llm.common import partitions, stored
-from goldmeter.llm.words import BASE, SECOND, blocks, mix, word_hashes
+from goldmeter.llm.words import BASE, SECOND, mix, runs, word_hashes
 
 BANDS, ROWS = 48, 6
 #: Agreeing 8-bit minima of 288 that a pair must have: six deviations below the mean at similarity 0.8.
@@ -40,8 +40,8 @@ _SHIFTS = _random.integers(0, 2**64, BANDS * ROWS, dtype=np.uint64)
 def shingle_sets(texts: list[str]) -> list[np.ndarray]:
     """Sorted distinct hashes of each text's 2-word shingles; a lone word is a shingle, no word gives the empty set."""
     out = []
-    for block in blocks(texts):
-        words, first = word_hashes(block)
+    for run in runs([t.encode("utf-8", "surrogatepass") for t in texts]):
+        words, first = word_hashes(run)
         pairs = mix(words[:-1] * SECOND + words[1:])
         for a, b in zip(first.tolist(), first[1:].tolist()):
             out.append(np.unique(pairs[a: b - 1]) if b - a > 1 else mix(words[a:b] + SECOND))

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from goldmeter.llm.common import remainder, shared_folder, stored
-from goldmeter.llm.words import SECOND, blocks, mix, word_hashes
+from goldmeter.llm.words import SECOND, mix, runs, word_hashes
 
 BLOCK_BYTES = 8 << 20
 SLICE_TOKENS = 1 << 20
@@ -55,10 +55,13 @@ class Block:
 
     @staticmethod
     def of(texts: list[bytes], rests: list[int]) -> Block:
-        words, first = word_hashes(texts)
-        tokens = np.insert(words, first[1:], END)
-        vocabulary, places = np.unique(tokens, return_inverse=True)
-        return Block(vocabulary, places.astype(np.uint32), (np.diff(first) + 1).astype(np.uint32), np.array(rests, np.uint8))
+        tokens, sizes = [], []
+        for part in runs(texts):
+            words, first = word_hashes(part)
+            tokens.append(np.insert(words, first[1:], END))
+            sizes.append(np.diff(first) + 1)
+        vocabulary, places = np.unique(np.concatenate(tokens), return_inverse=True)
+        return Block(vocabulary, places.astype(np.uint32), np.concatenate(sizes).astype(np.uint32), np.array(rests, np.uint8))
 
     def pack(self) -> bytes:
         parts = [zlib.compress(_planes(x), 1) for x in (np.diff(self.vocabulary, prepend=np.uint64(0)), self.tokens, self.sizes, self.rests)]

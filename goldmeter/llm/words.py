@@ -53,16 +53,15 @@ def word_hashes(block: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return words, np.r_[0, np.searchsorted(starts, np.cumsum([len(x) + 1 for x in block]))]
 
 
-def blocks(texts: list[str], block_bytes: int = 1 << 20):
-    """Lists of encoded texts of about `block_bytes` together; a longer text is a list of its own."""
-    block: list[bytes] = []
+def runs(texts: list[bytes], most: int = 1 << 20):
+    """Neighbouring texts of about `most` bytes together; a longer text is a run of its own."""
+    run: list[bytes] = []
     size = 0
     for t in texts:
-        raw = t.encode("utf-8", "surrogatepass")
-        if block and size + len(raw) > block_bytes:
-            yield block
-            block, size = [], 0
-        block.append(raw)
-        size += len(raw)
-    if block:
-        yield block
+        if run and size + len(t) > most:
+            yield run
+            run, size = [], 0
+        run.append(t)
+        size += len(t)
+    if run:
+        yield run
