@@ -38,30 +38,63 @@ def without_trailing_commas(json_text: Column) -> Column:
 
 
 def is_json(text: Column) -> Column:
-    """Does the whole text parse as a JSON object or array?"""
-    shaped = text.rlike(r"(?s)\A\s*[\[{].*[\]}]\s*\z")
-    return shaped & F.coalesce(F.try_parse_json(text).isNotNull(), F.lit(False))
+    """Is the whole text one JSON value other than null?
+
+    The text stands as first of two array elements, so trailing data and joined values change the length. Repeated keys and raw
+    line breaks in strings are accepted.
+    """
+    one = F.json_array_length(F.concat(F.lit("["), text, F.lit(",0]"))) == 2
+    return F.coalesce(one & (strip(text) != "") & (strip(text) != "null"), F.lit(False))
+
+
+def nan_to_null(json_text: Column) -> Column:
+    """Bare NaN and infinities, which lenient JSON readers accept, as null."""
+    return F.regexp_replace(json_text, r"([:\[,]\s*)-?(?:NaN|Infinity)(?=\s*[,\]}])", "$1null")
+
+
+def _readable(text: Column) -> Column:
+    """The text, or its form without bare NaN, if that is JSON; NULL otherwise."""
+    return F.when(is_json(text), text).otherwise(let(nan_to_null(text), lambda t: F.when(is_json(t), t)))
 
 
 def parse_responses(responses: DataFrame, text: str = "text") -> DataFrame:
     """Add payload (JSON text or NULL) and the parse status of every response.
 
-    parse_success / repair_attempted / repair_succeeded follow the two-step attempt: the cut
-    text as it is, then without trailing commas.
+    parse_success / repair_attempted / repair_succeeded follow the attempts in turn: the cut text as it is, then without
+    trailing commas, then with escaped quotes unescaped. A JSON null is an empty response.
     """
-    staged = responses.withColumn("_raw", outer_json(F.col(text))).withColumn("_first", is_json(F.col("_raw")))
-    staged = staged.withColumn("_fixed", F.when(~F.col("_first"), without_trailing_commas(F.col("_raw"))))
-    staged = staged.withColumn("_second", F.when(F.col("_first"), F.lit(False)).otherwise(is_json(F.col("_fixed"))))
-    blank = strip(text_of(F.col(text))) == ""
+    staged = responses.withColumn("_raw", outer_json(F.col(text))).withColumn("_first", _readable(F.col("_raw")))
+    fixed = without_trailing_commas(F.col("_raw"))
+    staged = staged.withColumn("_fixed", F.when(F.col("_first").isNull(), fixed))
+    staged = staged.withColumn("_second", F.coalesce(_readable(F.col("_fixed")), _readable(F.replace("_fixed", F.lit('\\"'), F.lit('"')))))
+    blank = (strip(text_of(F.col(text))) == "") | (F.coalesce(strip(F.col("_raw")), F.lit("")) == "null")
+    found = F.coalesce("_first", "_second")
     return staged.select(
-        *responses.columns,
-        F.when(F.col("_first"), F.col("_raw")).when(F.col("_second"), F.col("_fixed")).alias("payload"),
-        (F.col("_first") | F.col("_second")).alias("parse_success"),
-        (~F.col("_first") & ~blank).alias("repair_attempted"), F.col("_second").alias("repair_succeeded"),
-        F.when(blank, "empty response").when(~(F.col("_first") | F.col("_second")), "not parseable").alias("error"),
+        *responses.columns, found.alias("payload"), found.isNotNull().alias("parse_success"),
+        (F.col("_first").isNull() & ~blank).alias("repair_attempted"), F.col("_second").isNotNull().alias("repair_succeeded"),
+        F.when(blank, "empty response").when(found.isNull(), "not parseable").alias("error"),
     )
 
 
+# fixed values: keys under which an object may hold the list of events
+LIST_KEYS = ["events", "event_list", "items", "results"]
+
+
+def parse_event_lists(responses: DataFrame, text: str = "text") -> DataFrame:
+    """Add events (JSON array text or NULL) and error: the stretch from the first [ to the last ], else an object that holds the
+    list under a known key."""
+    cut = outer_json(F.col(text), "[", "]")
+    listed = let(cut, lambda c: F.when(c.startswith("["), _readable(c)))
+    whole = unfenced(F.col(text))
+    held = F.coalesce(*[F.when(x.startswith("["), x) for x in (F.get_json_object("_whole", f"$.{k}") for k in LIST_KEYS)])
+    staged = responses.withColumn("_whole", F.when(is_json(whole), whole)).withColumn("_listed", listed)
+    blank = strip(text_of(F.col(text))) == ""
+    nested = F.col("_whole").startswith("{") & held.isNotNull()
+    events = F.when(nested, held).otherwise(F.col("_listed"))
+    return staged.withColumn("events", events).select(
+        *responses.columns, "events", F.when(blank, "empty response").when(F.col("events").isNull(), "not parseable").alias("error"))
+
+
 def alias_value(payload: Column, paths: list[str]) -> Column:
     """First non-empty value among alias paths, as JSON text or plain text."""
     return F.coalesce(*[F.nullif(F.get_json_object(payload, p), F.lit("")) for p in paths])

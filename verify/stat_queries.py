@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -346,12 +348,37 @@ def stage_statistics(spark, d):
 # ---- payload shaping --------------------------------------------------------------------
 
 
-@query("response_parse", """SELECT event_id, event_id % 4 < 3 AS parse_success, event_id % 4 > 0 AND event_id % 4 <> 1 AS repair_attempted, event_id % 4 = 2 AS repair_succeeded, CASE WHEN event_id % 4 < 3 THEN CAST(json_extract_string(props, '$.k') AS BIGINT) END AS k FROM events""")
+# (form of the response, parse_success, repair_attempted, repair_succeeded, is the event's k in the payload)
+RESPONSES = [
+    ("{p}", True, False, False, True), ("```json\n{p}\n```", True, False, False, True), ("Here: {c} done", True, True, True, True), ("no json here", False, True, False, False),
+    ("{p} and {p}", False, True, False, False), ("{p},{p}", False, True, False, False), ("{d}", True, False, False, True), ("{n}", True, False, False, True),
+    ("", False, False, False, False), ("null", False, False, False, False), ("{p}] or [{p}", False, True, False, False), ("{e}", True, True, True, True), ("{x}", True, False, False, True), ("42", True, False, False, False),
+]
+
+
+@query("response_parse", "SELECT event_id, CASE event_id % 14 " + " ".join(f"WHEN {i} THEN {r[1]}" for i, r in enumerate(RESPONSES)) + " END AS parse_success, CASE event_id % 14 "
+       + " ".join(f"WHEN {i} THEN {r[2]}" for i, r in enumerate(RESPONSES)) + " END AS repair_attempted, CASE event_id % 14 " + " ".join(f"WHEN {i} THEN {r[3]}" for i, r in enumerate(RESPONSES))
+       + " END AS repair_succeeded, CASE WHEN event_id % 14 IN (" + ", ".join(str(i) for i, r in enumerate(RESPONSES) if r[4]) + ") THEN CAST(json_extract_string(props, '$.k') AS BIGINT) END AS k FROM events")
 def response_parse(spark, d):
-    m = F.col("event_id") % 4
-    text = (F.when(m == 0, F.col("props")).when(m == 1, F.concat(F.lit("```json\n"), F.col("props"), F.lit("\n```"))).when(m == 2, F.concat(F.lit("Here: "), F.replace("props", F.lit("}"), F.lit(",}")), F.lit(" done"))).otherwise("no json here"))
-    p = PL.parse_responses(table(spark, d, "events").select("event_id", text.alias("text")))
-    return p.select("event_id", "parse_success", "repair_attempted", "repair_succeeded", F.get_json_object("payload", "$.k").cast("bigint").alias("k"))
+    p = F.col("props")
+    more = lambda tail: F.concat(F.substring_index(p, "}", 1), F.lit(tail))
+    parts = {"p": p, "c": more(",}"), "d": more(', "z": 1, "z": 2}'), "n": more(', "z": "a\nb"}'), "e": F.replace(p, F.lit('"'), F.lit('\\"')), "x": more(', "z": NaN}')}
+    text = F.lit(None).cast("string")
+    for i, (form, *_) in enumerate(RESPONSES):
+        pieces = [parts[x] if x in parts else F.lit(x) for x in re.split(r"\{(\w)\}", form)]
+        text = F.when(F.col("event_id") % 14 == i, F.concat(*pieces)).otherwise(text)
+    out = PL.parse_responses(table(spark, d, "events").select("event_id", text.alias("text")))
+    return out.select("event_id", "parse_success", "repair_attempted", "repair_succeeded", F.get_json_object("payload", "$.k").cast("bigint").alias("k"))
+
+
+@query("event_list_parse", """SELECT event_id, CASE event_id % 5 WHEN 0 THEN 2 WHEN 1 THEN 1 WHEN 2 THEN 3 END AS n, CASE WHEN event_id % 5 < 3 THEN CAST(json_extract_string(props, '$.k') AS BIGINT) END AS k,
+ CASE event_id % 5 WHEN 3 THEN 'not parseable' WHEN 4 THEN 'empty response' END AS error FROM events""")
+def event_list_parse(spark, d):
+    m, p = F.col("event_id") % 5, F.col("props")
+    text = (F.when(m == 0, F.concat(F.lit("```json\n["), p, F.lit(", {}]\n```"))).when(m == 1, F.concat(F.lit('{"note": [1], "events": ['), p, F.lit("]}")))
+            .when(m == 2, F.concat(F.lit("Events: ["), p, F.lit(", 1, 2] end"))).when(m == 3, F.concat(F.lit("["), p, F.lit(" and more]"))).otherwise(" "))
+    out = PL.parse_event_lists(table(spark, d, "events").select("event_id", text.alias("text")))
+    return out.select("event_id", F.json_array_length("events").cast("bigint").alias("n"), F.get_json_object("events", "$[0].k").cast("bigint").alias("k"), "error")
 
 
 @query("predicted_labels", """SELECT event_id, CASE event_id % 3 WHEN 0 THEN '2 3 per month' WHEN 1 THEN 'twice a week' ELSE 'unknown' END AS predicted_label, CASE event_id % 3 WHEN 0 THEN 'said so' ELSE '' END AS quote FROM events""")
