@@ -136,10 +136,6 @@ def display_number(c: Column, digits: int = 3) -> Column:
     return F.when(c.isNull(), F.lit("n/a")).otherwise(F.format_string(f"%.{digits}f", c.cast("double")))
 
 
-def display_delta(c: Column, digits: int = 3) -> Column:
-    return F.when(c.isNull(), F.lit("n/a")).otherwise(F.format_string(f"%+.{digits}f", c.cast("double")))
-
-
 def find_text(haystack: Column, needle: Column) -> Column:
     """0-based offset of the first case-insensitive occurrence, NULL when absent."""
     at = F.instr(F.lower(haystack), F.lower(needle))

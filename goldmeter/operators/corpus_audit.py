@@ -58,8 +58,8 @@ def span_integrity(annotations: DataFrame, letters: DataFrame) -> DataFrame:
     severity = F.create_map(*[F.lit(v) for p in SPAN_SEVERITY.items() for v in p])
     out = staged.withColumn("issue_type", issue)
     return out.select(
-        "document_id", "ann_id", "label", "char_start", "char_end", F.substring("annotation_text", 1, 80).alias("span_text"),
-        F.substring("source_slice", 1, 80).alias("source_slice"), "issue_type",
+        "document_id", "ann_id", "label", "char_start", "char_end", F.col("annotation_text").alias("span_text"),
+        "source_slice", "issue_type",
         F.try_element_at(severity, F.col("issue_type")).alias("severity"),
         F.when(F.col("issue_type") == "truncated_span", F.length("_m") - F.length("_n")).otherwise(0).alias("missing_chars"))
 
@@ -77,7 +77,7 @@ def prescriptions(annotations: DataFrame) -> DataFrame:
     numbers = F.regexp_extract_all("annotation_text", F.lit(r"\d+\.?\d*"), 0)
     found = F.exists(numbers, lambda n: F.abs(n.cast("double") - value) < 0.01)
     return annotations.filter(F.col("label") == "Prescription").select(
-        "document_id", "ann_id", F.substring("annotation_text", 1, 80).alias("span_text"), attr("DrugName").alias("drug_name"),
+        "document_id", "ann_id", F.col("annotation_text").alias("span_text"), attr("DrugName").alias("drug_name"),
         dose.alias("drug_dose"), attr("DoseUnit").alias("dose_unit"), attr("Frequency").alias("frequency"),
         stated(attr("DrugName")).alias("has_drug_name"), stated(dose).alias("has_dose"), stated(attr("DoseUnit")).alias("has_dose_unit"),
         stated(attr("Frequency")).alias("has_frequency"),
@@ -106,7 +106,7 @@ def frequency_statements(annotations: DataFrame) -> DataFrame:
         F.when(~count & ~period & ~scope, F.lit("no_count_no_period_no_scope")),
         F.when(~stated(attr("CUIPhrase")), F.lit("missing_cuiphrase")))
     return annotations.filter(F.col("label") == "SeizureFrequency").select(
-        "document_id", "ann_id", F.substring("annotation_text", 1, 80).alias("span_text"), count.alias("has_count"), period.alias("has_period"),
+        "document_id", "ann_id", F.col("annotation_text").alias("span_text"), count.alias("has_count"), period.alias("has_period"),
         scope.alias("has_temporal_scope"), free.alias("is_seizure_free"), active.alias("is_active"),
         F.array_join(F.filter(issues, lambda x: x.isNotNull()), "; ").alias("issues"),
         F.when(free, "free").when(active, "active").otherwise("other").alias("state"),

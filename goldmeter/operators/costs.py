@@ -10,18 +10,15 @@ from goldmeter.operators.selection import latest_rows
 from goldmeter.operators.statistics import mean_present
 
 
-def bounded_broadcast(small: DataFrame, limit_rows: int = 100_000) -> DataFrame:
-    """Mark a contract table for broadcast; the limit is part of the plan, and a larger table is joined by shuffle.
-
-    Only tables whose size is fixed by contract (prices, weights, targets) come here; the count reads
-    at most limit_rows + 1 rows.
-    """
-    return F.broadcast(small) if small.limit(limit_rows + 1).count() <= limit_rows else small
+def one_price(prices: DataFrame) -> DataFrame:
+    """A price list with one row per model label; a label listed more than once has the larger of its prices."""
+    rest = [c for c in prices.columns if c != "model_label"]
+    return prices.groupBy("model_label").agg(*[F.max(c).alias(c) for c in rest])
 
 
 def call_costs(calls: DataFrame, prices: DataFrame) -> DataFrame:
     """Cost of each call from its token usage; status complete or missing_price_or_usage."""
-    joined = calls.join(bounded_broadcast(prices), "model_label", "left")
+    joined = calls.join(one_price(prices), "model_label", "left")
     kinds = [("input_tokens", "input_per_million", True), ("output_tokens", "output_per_million", True),
              ("cache_read_tokens", "cache_read_per_million", False), ("cache_write_tokens", "cache_write_per_million", False)]
     total, missing = F.lit(0.0), F.lit(False)
@@ -51,7 +48,7 @@ def combined_usage(calls: DataFrame, keys: list[str]) -> DataFrame:
 
 def condition_plan(plan: DataFrame, prices: DataFrame) -> DataFrame:
     """Planned calls, tokens and cost of every selected condition."""
-    joined = plan.join(bounded_broadcast(prices), F.col("model") == F.col("model_label"), "left")
+    joined = plan.join(one_price(prices), F.col("model") == F.col("model_label"), "left")
     n_in, n_out = F.col("documents") * F.col("input_tokens"), F.col("documents") * F.col("output_tokens")
     cost = n_in / F.lit(1_000_000.0) * F.col("input_per_million") + n_out / F.lit(1_000_000.0) * F.col("output_per_million")
     return joined.select(

@@ -190,17 +190,6 @@ def contradiction_counts(statements: DataFrame) -> DataFrame:
     )
 
 
-def contradiction_pairs(statements: DataFrame) -> DataFrame:
-    """The pairs themselves, for corpora small enough to read them (use the counts at scale)."""
-    f = statements.filter(F.col("state") == "free").select(
-        "document_id", F.col("ann_id").alias("free_id"), F.col("scope").alias("free_scope"))
-    a = statements.filter(F.col("state") == "active").select(
-        "document_id", F.col("ann_id").alias("active_id"), F.col("scope").alias("active_scope"))
-    return f.join(a, "document_id").withColumn(
-        "resolvable", (F.col("free_scope") != "") & (F.col("active_scope") != "") & (F.col("free_scope") != F.col("active_scope"))
-    )
-
-
 def segments(texts: DataFrame, spans: DataFrame) -> DataFrame:
     """Cut every text at all span edges; per segment the covering labels and sides.
 

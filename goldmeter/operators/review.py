@@ -214,7 +214,3 @@ def first_nonzero(*columns: Column) -> Column:
 def missing_cells(pivot: DataFrame, row: str, systems: list[str]) -> DataFrame:
     cells = F.array(*[F.struct(F.lit(s).alias("system"), F.col(f"{s}_missing").alias("reason")) for s in systems])
     return pivot.select(row, F.inline(cells)).filter(F.col("reason").isNotNull())
-
-
-def excerpt(c: Column, n: int = 240) -> Column:
-    return F.substring(c, 1, n)

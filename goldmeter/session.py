@@ -4,9 +4,7 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame, SparkSession
-
-BROADCAST_LIMIT_BYTES = 64 << 20
+from pyspark.sql import SparkSession
 
 
 def local_session(cores: str = "8", app: str = "goldmeter") -> SparkSession:
@@ -33,18 +31,9 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     current = spark.sparkContext.getCheckpointDir()
     if current:
         return current
+    master = spark.sparkContext.master
+    if master != "local" and not master.startswith("local["):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     scratch = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
     spark.sparkContext.setCheckpointDir(scratch)
     return scratch
-
-
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint for a frame that several branches re-read."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
-def spread_small_scan(df: DataFrame) -> DataFrame:
-    """Use all cores on an input that is a single small split; a scan with enough splits is left alone."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df

@@ -4,27 +4,34 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from goldmeter.functions import normalize as N
 from goldmeter.functions.text import norm_value, slice_text, strip
 from goldmeter.sources.letters import file_stem
 
-WIDTH = 40
-_END = "\x01end"
+# a field is quoted from its first character on, quotes doubled inside, or runs to the next comma or line end
+_FIELD = r'(?:[ \t]*"[^"]*+(?:""[^"]*+)*+"[^,\n]*+|[^,\n]*+)'
+
+
+def split_cells(row: Column) -> Column:
+    """Cells of a row, as many as it has; quotes around a field go, doubled quotes inside become one."""
+    def plain(c):
+        body = F.regexp_extract(c, r'(?s)^[ \t]*"(.*)"[^"]*$', 1)
+        return strip(F.when(c.rlike(r'(?s)^[ \t]*".*"'), F.replace(body, F.lit('""'), F.lit('"'))).otherwise(c))
+
+    return F.transform(F.regexp_extract_all(F.concat(F.lit(","), row), F.lit(f",({_FIELD})"), 1), plain)
 
 
 def parse_markup_lines(lines: DataFrame) -> DataFrame:
-    """(row_no, line) -> (row_no, cells): trimmed cells, as many as the line really has."""
-    schema = ", ".join(f"c{i} string" for i in range(WIDTH))
-    row = F.from_csv(F.concat(F.col("line"), F.lit("," + _END)), schema, {"quote": '"', "escape": '"'})
-    cells = F.array(*[F.coalesce(row[f"c{i}"], F.lit("")) for i in range(WIDTH)])
-    width = F.array_position(cells, _END) - 1
-    return lines.filter(F.col("line") != "").select(
-        *[c for c in lines.columns if c != "line"],
-        F.transform(F.slice(cells, F.lit(1), width.cast("int")), strip).alias("cells"),
-    )
+    """(row_no, line) -> (row_no, cells): trimmed cells, as many as the row really has."""
+    return lines.filter(F.col("line") != "").select(*[c for c in lines.columns if c != "line"], split_cells(F.col("line")).alias("cells"))
+
+
+def split_rows(text: Column) -> Column:
+    """Rows of a table's text; a line break inside a quoted field does not end its row."""
+    return F.regexp_extract_all(F.concat(F.lit("\n"), text), F.lit(rf"\n({_FIELD}(?:,{_FIELD})*+)"), 1)
 
 
 def markup_rows(spark: SparkSession, path: str, glob: str = "*.csv") -> DataFrame:
@@ -33,9 +40,7 @@ def markup_rows(spark: SparkSession, path: str, glob: str = "*.csv") -> DataFram
     utf8 = F.is_valid_utf8(F.col("content").cast("string"))
     text = F.when(utf8, F.decode("content", "UTF-8")).otherwise(F.decode("content", "ISO-8859-1"))
     text = F.regexp_replace(F.regexp_replace(text, "^﻿", ""), "\r\n?", "\n")
-    lines = files.select(
-        F.regexp_extract("path", "([^/]+)$", 1).alias("file_name"), F.posexplode(F.split(text, "\n", -1)).alias("row_no", "line")
-    )
+    lines = files.select(F.regexp_extract("path", "([^/]+)$", 1).alias("file_name"), F.posexplode(split_rows(text)).alias("row_no", "line"))
     return parse_markup_lines(lines)
 
 
@@ -72,7 +77,7 @@ def gold_frequencies(rows: DataFrame, letters: DataFrame) -> DataFrame:
     unit, n_units = N.singular_unit(_cell(10)), norm_value(_cell(11))
     first = F.when(exact != "", exact).when(lower != "", lower).otherwise(upper)
     count = F.when((lower != "") & (upper != ""), F.concat_ws("-", lower, upper)).otherwise(first)
-    scope = F.filter(F.slice("cells", 13, WIDTH), lambda c: F.lower(c) != "null")
+    scope = F.filter(F.slice("cells", F.lit(13), F.greatest(F.size("cells"), F.lit(0))), lambda c: F.lower(c) != "null")
     surface = F.when(
         _digits(start) & _digits(end) & F.col("text").isNotNull(),
         slice_text(F.col("text"), start.try_cast("int"), end.try_cast("int")),

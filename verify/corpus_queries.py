@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import Window as W
@@ -24,13 +23,8 @@ from verify.match_queries import ANN, annotations
 
 
 def scratch(spark) -> str:
-    """A fresh folder below the shared one the cluster names (below /tmp only where none is set)."""
-    root = ensure_checkpoint_dir(spark)
-    if root.startswith("/tmp"):
-        return tempfile.mkdtemp(prefix="spark-", dir="/tmp")
-
-
-    return f"{root.rstrip('/')}/goldmeter-{uuid.uuid4().hex}"
+    """A fresh folder below the shared one the cluster names (below /tmp only in a local session without one)."""
+    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/goldmeter-{uuid.uuid4().hex}"
 
 
 # ---- sources ----------------------------------------------------------------------------
@@ -73,12 +67,15 @@ def fragment_free_spans(spark, d):
     return SA.parse_annotations(ann_files(spark, d), fragments=False).groupBy("ann_id").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("markup_table_parse", """SELECT p_partkey, 5 + p_size % 2 AS width, p_name AS name, 'a, "' || p_type || '"' AS quoted FROM part""")
+@query("markup_table_parse", """SELECT p_partkey, CASE p_partkey % 3 WHEN 0 THEN 3 WHEN 1 THEN 40 ELSE 200 END AS width, p_name AS name, 'a, "' || p_type || '"' || chr(10) || 'b' AS quoted, CASE WHEN p_partkey % 3 > 0 THEN 'last' END AS last FROM part""")
 def markup_table_parse(spark, d):
-    tail = F.when(F.col("p_size") % 2 == 1, ",last").otherwise("")
-    line = F.concat(F.col("p_partkey").cast("string"), F.lit(", "), F.col("p_name"), F.lit(' ,"a, ""'), F.col("p_type"), F.lit('""",,x'), tail)
-    rows = MK.parse_markup_lines(table(spark, d, "part").select("p_partkey", line.alias("line")))
-    return rows.select("p_partkey", F.size("cells").alias("width"), F.col("cells")[1].alias("name"), F.col("cells")[2].alias("quoted"))
+    width = F.when(F.col("p_partkey") % 3 == 1, 36).otherwise(196)
+    tail = F.when(F.col("p_partkey") % 3 > 0, F.concat(F.repeat(F.lit(","), width), F.lit(", last"))).otherwise("")
+    row = F.concat(F.col("p_partkey").cast("string"), F.lit(", "), F.col("p_name"), F.lit(' ,"a, ""'), F.col("p_type"), F.lit('""\nb"'), tail)
+    lines = table(spark, d, "part").select("p_partkey", F.explode(MK.split_rows(F.concat(row, F.lit("\n")))).alias("line"))
+    rows = MK.parse_markup_lines(lines)
+    return rows.select("p_partkey", F.size("cells").alias("width"), F.col("cells")[1].alias("name"), F.col("cells")[2].alias("quoted"),
+                       F.when(F.size("cells") > 3, F.element_at("cells", -1)).alias("last"))
 
 
 def markup_lines(spark, d, cells):

@@ -197,12 +197,12 @@ def diagnosis_and_results(spark, d):
 
 @query("text_normalisers", f"""
 SELECT doc_id, {norm_text_sql("text || '–“x”'")} AS folded, length({norm_label_sql('text')}) AS label_chars,
- trim(regexp_replace(lower(substr(text, 1, 400)), '[^a-z0-9.]+', ' ', 'g')) AS rate_text FROM documents""")
+ trim(regexp_replace(lower(text), '[^a-z0-9.]+', ' ', 'g')) AS rate_text FROM documents""")
 def text_normalisers(spark, d):
     t = F.col("text")
     return table(spark, d, "documents").select(
         "doc_id", T.norm_text(F.concat(t, F.lit("–“x”"))).alias("folded"), F.length(T.norm_label(t)).alias("label_chars"),
-        T.norm_rate_text(F.substring(t, 1, 400)).alias("rate_text"))
+        T.norm_rate_text(t).alias("rate_text"))
 
 
 # ---- frequency grammar ----------------------------------------------------------------

@@ -75,13 +75,14 @@ def temporality_summary(spark, d):
     return P.temporality_summary(P.temporality_matches(C.letters(spark, d)))
 
 
-# quotes of the benchmark's sentences are looked for in the documents of the same residue
-QUOTES = "bq AS (SELECT d.doc_id, d.text, b.text AS q FROM documents d JOIN benchmark b ON b.item_id = d.doc_id % 40)"
+# every benchmark passage is looked for in the documents of its residue
+QUOTES = "bq AS (SELECT d.doc_id, d.text, d.lang, b.text AS q FROM documents d JOIN benchmark b ON b.item_id = d.doc_id % (SELECT max(item_id) + 1 FROM benchmark))"
 
 
 def quote_pairs(spark, d):
     b = table(spark, d, "benchmark").select("item_id", F.col("text").alias("q"))
-    return table(spark, d, "documents").select("doc_id", "text", (F.col("doc_id") % 40).alias("item_id")).join(b, "item_id").select("doc_id", "text", "q")
+    docs = table(spark, d, "documents").crossJoin(F.broadcast(b.agg((F.max("item_id") + 1).alias("items"))))
+    return docs.select("doc_id", "text", "lang", (F.col("doc_id") % F.col("items")).alias("item_id")).join(b, "item_id").select("doc_id", "text", "lang", "q")
 
 
 @query("exact_quote_location", f"""WITH {QUOTES}, w AS (SELECT doc_id, text, upper(split_part(q, ' ', 2)) AS v FROM bq), f AS (SELECT *, instr(lower(text), lower(v)) AS pos_ FROM w)
@@ -107,20 +108,20 @@ def tolerant_quote_location(spark, d):
     return b.select("document_id", P.tolerant_quote(F.col("text"), q).alias("quote"))
 
 
-@query("quote_validity", f"""WITH {QUOTES}, v AS (SELECT doc_id, {norm_text_sql('text')} AS tn, {norm_text_sql("substr(q, 1, 3 + doc_id % 30)")} AS qn FROM bq)
+@query("quote_validity", f"""WITH {QUOTES}, v AS (SELECT doc_id, {norm_text_sql('text')} AS tn, {norm_text_sql("CASE WHEN doc_id % 2 = 0 THEN q ELSE split_part(text, chr(10), -1) END")} AS qn FROM bq)
 SELECT doc_id, contains(tn, qn) AS valid FROM v""")
 def quote_validity(spark, d):
-    q = F.substring(F.col("q"), F.lit(1), (3 + F.col("doc_id") % 30).cast("int"))
+    q = F.when(F.col("doc_id") % 2 == 0, F.col("q")).otherwise(F.split_part("text", F.lit("\n"), F.lit(-1)))
     return quote_pairs(spark, d).select("doc_id", P.quote_is_valid(T.norm_text(F.col("text")), q).alias("valid"))
 
 
-GRAM = f"""{QUOTES}, g AS (SELECT doc_id, {norm_label_sql('text')} AS tn, {norm_label_sql("CASE WHEN doc_id % 5 = 0 THEN substr(q, 1, 9) ELSE q END")} AS qn, q FROM bq),
+GRAM = f"""{QUOTES}, g AS (SELECT doc_id, {norm_label_sql('text')} AS tn, {norm_label_sql("CASE WHEN doc_id % 5 = 0 THEN lang ELSE q END")} AS qn, q FROM bq),
 tk AS (SELECT doc_id, tn, qn, list_filter(string_split(tn, ' '), lambda x: x <> '') AS tt, list_filter(string_split(qn, ' '), lambda x: x <> '') AS qt FROM g),
 gr AS (SELECT doc_id, tn, qn, len(qt) AS nq, list_transform(range(1, len(tt) - 2), lambda i: array_to_string(tt[i:i + 3], ' ')) AS tg, list_transform(range(1, len(qt) - 2), lambda i: array_to_string(qt[i:i + 3], ' ')) AS qg FROM tk)"""
 
 
 def gram_pairs(spark, d):
-    return quote_pairs(spark, d).withColumn("quote", F.when(F.col("doc_id") % 5 == 0, F.substring("q", 1, 9)).otherwise(F.col("q"))).withColumnRenamed("doc_id", "document_id")
+    return quote_pairs(spark, d).withColumn("quote", F.when(F.col("doc_id") % 5 == 0, F.col("lang")).otherwise(F.col("q"))).withColumnRenamed("doc_id", "document_id")
 
 
 @query("gram_overlap", f"WITH {GRAM} SELECT doc_id AS document_id, CASE WHEN nq < 4 THEN contains(tn, qn) ELSE list_has_any(tg, qg) END AS overlap FROM gr")
