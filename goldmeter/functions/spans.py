@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from goldmeter.functions.text import strip, text_of, WHITESPACE
+from goldmeter.functions.text import WHITESPACE, let, strip, text_of
 
 
 def overlap_chars(a0: Column, a1: Column, b0: Column, b1: Column) -> Column:
@@ -36,21 +36,37 @@ def attribute_agreement(a: Column, b: Column, skipped=("CUI", "CUIPhrase")) -> C
     return F.when(F.size(keys) == 0, 1.0).otherwise(F.size(same) / F.size(keys))
 
 
-def with_offsets(pieces: Column) -> Column:
-    """Array of (start, end, text) for pieces that tile a text from its beginning.
+#: Elements summed in one fold; a fold copies its array at each step, so blocks keep the work near linear.
+RUN = 64
+
+
+def running_ends(lengths: Column) -> Column:
+    """Running sums of an array of lengths."""
+    none = F.array().cast("array<int>")
+
+    def add(acc, n):
+        return F.concat(acc, F.array((F.element_at(acc, -1) + n).cast("int")))
+
+    def sums(x):
+        blocks = F.transform(F.sequence(F.lit(0), ((F.size(x) - 1) / RUN).cast("int")), lambda i: F.slice(x, i * RUN + 1, F.lit(RUN)))
 
-    The fold keeps one growing array per document; documents are folded where they
-    lie, so no text is shuffled to number its sentences.
-    """
-    zero = F.array().cast("array<struct<start:int,end:int,text:string>>")
+        def placed(bs):
+            totals = F.transform(bs, lambda y: F.aggregate(y, F.lit(0), lambda acc, n: acc + n))
+            starts = F.aggregate(totals, F.array(F.lit(0)), add)
+            return F.flatten(F.zip_with(bs, F.slice(starts, F.lit(1), F.size(bs)), lambda y, at: F.slice(F.aggregate(y, F.array(at), add), F.lit(2), F.size(y))))
 
-    def step(acc, piece):
-        start = F.coalesce(F.try_element_at(acc, F.lit(-1))["end"], F.lit(0))
-        return F.concat(acc, F.array(F.struct(
-            start.cast("int").alias("start"), (start + F.length(piece)).cast("int").alias("end"), piece.alias("text")
-        )))
+        return F.when(F.size(x) > 0, let(blocks, placed)).otherwise(none)
+
+    return let(lengths, sums)
+
+
+def with_offsets(pieces: Column) -> Column:
+    """Array of (start, end, text) for pieces that tile a text from its beginning; done inside the row, so no text is shuffled."""
+    def tile(ps):
+        return F.zip_with(ps, running_ends(F.transform(ps, F.length)), lambda p, end: F.struct(
+            (end - F.length(p)).cast("int").alias("start"), end.cast("int").alias("end"), p.alias("text")))
 
-    return F.aggregate(pieces, zero, step)
+    return let(pieces, tile)
 
 
 def trim_span(span: Column, base: Column) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from goldmeter.functions.spans import trim_span, with_offsets
+from goldmeter.functions.spans import running_ends, trim_span, with_offsets
 from goldmeter.functions.text import (
     fold_typography, let, norm_text, regex_escape, slice_text, squeeze, strip, text_of, window_snippet,
 )
@@ -64,21 +64,17 @@ def retrieve_chunks(letters: DataFrame, patterns: list[str] | None = None) -> Da
 
 def pattern_spans(text: Column, pattern: str) -> Column:
     """All matches with offsets: lengths of the pieces between matches place the matches."""
-    gaps = F.transform(F.split(text, pattern, -1), F.length)
     hits = F.regexp_extract_all(text, F.lit(pattern), 0)
-    tiles = F.flatten(F.zip_with(
-        gaps, F.concat(hits, F.array(F.lit(""))), lambda g, h: F.array(F.struct(g.alias("n"), F.lit(False).alias("hit"), F.lit("").alias("m")), F.struct(F.length(h).alias("n"), F.lit(True).alias("hit"), h.alias("m")))
-    ))
-    start = F.array().cast("array<struct<char_start:int,char_end:int,text:string>>")
-    state = F.struct(F.lit(0).alias("at"), start.alias("out"))
+    gaps = F.transform(F.split(text, pattern, -1), F.length)
+    tiles = F.flatten(F.zip_with(gaps, F.concat(hits, F.array(F.lit(""))), lambda g, h: F.array(
+        F.struct(g.alias("n"), F.lit("").alias("m")), F.struct(F.length(h).alias("n"), h.alias("m")))))
 
-    def step(acc, t):
-        end = acc["at"] + t["n"]
-        found = F.concat(acc["out"], F.array(F.struct(
-            acc["at"].alias("char_start"), end.alias("char_end"), t["m"].alias("text"))))
-        return F.struct(end.alias("at"), F.when(t["hit"] & (t["n"] > 0), found).otherwise(acc["out"]).alias("out"))
+    def placed(ts):
+        ends = running_ends(F.transform(ts, lambda t: t["n"]))
+        spans = F.zip_with(ts, ends, lambda t, end: F.struct((end - t["n"]).cast("int").alias("char_start"), end.cast("int").alias("char_end"), t["m"].alias("text")))
+        return F.filter(spans, lambda s: s["text"] != "")
 
-    return F.when(F.size(hits) == 0, start).otherwise(F.aggregate(tiles, state, step, lambda acc: acc["out"]))
+    return F.when(F.size(hits) == 0, F.array().cast("array<struct<char_start:int,char_end:int,text:string>>")).otherwise(let(tiles, placed))
 
 
 def mine_patterns(letters: DataFrame, patterns: list[tuple[str, str]], window: int = 140) -> DataFrame:

@@ -29,7 +29,7 @@ def _iterations(n: int) -> Column:
 def poisson_weight(h: Column) -> Column:
     """Poisson(1) count of a uniform 32-bit hash, by inversion of the cumulative probabilities."""
     # fixed values: cumulative Poisson(1) probabilities times 2^32, rounded down
-    cuts = [1580030168, 3160060337, 3950075421, 4213413783, 4279248373, 4292415291, 4294609778, 4294923276, 4294962463]
+    cuts = [1580030168, 3160060337, 3950075421, 4213413783, 4279248373, 4292415291, 4294609777, 4294923276, 4294962463, 4294966817, 4294967252, 4294967292, 4294967295]
     out = F.lit(len(cuts)).cast("long")
     for k in range(len(cuts) - 1, -1, -1):
         out = F.when(h < cuts[k], F.lit(k).cast("long")).otherwise(out)
@@ -49,10 +49,20 @@ def bootstrap(doc_stats: DataFrame, by: list[str], id_column: str, iterations: i
 
 
 def resample_exact(doc_stats: DataFrame, by: list[str], id_column: str, iterations: int, seed: int, sums: list[str]) -> DataFrame:
-    """Exact-size bootstrap: n draws with replacement per iteration through a hashed position join."""
-    size = F.count(F.lit(1)).over(W.partitionBy(*by))
-    pos = F.row_number().over(W.partitionBy(*by).orderBy(id_column)) - 1
-    placed = doc_stats.select(*by, id_column, *sums).withColumn("_n", size).withColumn("_pos", pos)
+    """Exact-size bootstrap: n draws with replacement per iteration through a hashed position join.
+
+    Positions are numbered inside 4,096 hash buckets; the buckets' sizes (at most 4,096 rows per group) give their offsets. It
+    shuffles iterations x documents rows; `bootstrap` needs no join and is the form for large tables.
+    """
+    rows = doc_stats.select(*by, id_column, *sums).withColumn("_b", F.conv(F.substring(F.md5(F.col(id_column).cast("string")), 1, 3), 16, 10).cast("int"))
+    order = W.partitionBy(*by).orderBy("_b")
+    running = F.sum("_n").over(order.rowsBetween(W.unboundedPreceding, W.currentRow))
+    total = F.sum("_n").over(order.rowsBetween(W.unboundedPreceding, W.unboundedFollowing))
+    sizes = rows.groupBy(*by, "_b").agg(F.count(F.lit(1)).alias("_n"))
+    offsets = sizes.select(*by, "_b", (running - F.col("_n")).alias("_start"), total.alias("_all"))
+    inside = F.row_number().over(W.partitionBy(*by, "_b").orderBy(id_column)) - 1
+    placed = rows.withColumn("_i", inside).join(offsets, [*by, "_b"]).select(
+        *by, id_column, *sums, F.col("_all").alias("_n"), (F.col("_start") + F.col("_i")).cast("int").alias("_pos"))
     draws = placed.select(*by, "_n", F.col("_pos").alias("slot"), _iterations(iterations).alias("iteration"))
     h = hash_number(F.lit(str(seed)), F.col("iteration").cast("string"), F.col("slot").cast("string"))
     draws = draws.withColumn("_pos", (h % F.col("_n")).cast("int"))

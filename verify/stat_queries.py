@@ -28,8 +28,8 @@ def latency_percentiles(spark, d):
 
 IT, SEED = 50, 42
 H = "CAST('0x' || substr(md5('42:' || i || ':' || {0}), 1, 8) AS BIGINT)"
-CUTS = [1580030168, 3160060337, 3950075421, 4213413783, 4279248373, 4292415291, 4294609778, 4294923276, 4294962463]
-POIS = "(CASE " + " ".join(f"WHEN h < {c} THEN {k}" for k, c in enumerate(CUTS)) + " ELSE 9 END)"
+CUTS = [1580030168, 3160060337, 3950075421, 4213413783, 4279248373, 4292415291, 4294609777, 4294923276, 4294962463, 4294966817, 4294967252, 4294967292, 4294967295]
+POIS = "(CASE " + " ".join(f"WHEN h < {c} THEN {k}" for k, c in enumerate(CUTS)) + " ELSE 13 END)"
 
 
 def label_stats(spark, d):
@@ -42,7 +42,7 @@ def poisson_bootstrap(spark, d):
     return ST.bootstrap(label_stats(spark, d), ["system"], "doc_id", IT, SEED, ["tp", "fp"])
 
 
-RES = f"""ps AS (SELECT doc_id, quality, toxic, row_number() OVER (ORDER BY doc_id) - 1 AS pos, count(*) OVER () AS n FROM labels), dr AS (SELECT i, {H.format('pos')} % n AS pick FROM ps, range({IT}) r(i)),
+RES = f"""ps AS (SELECT doc_id, quality, toxic, row_number() OVER (ORDER BY substr(md5(CAST(doc_id AS VARCHAR)), 1, 3), doc_id) - 1 AS pos, count(*) OVER () AS n FROM labels), dr AS (SELECT i, {H.format('pos')} % n AS pick FROM ps, range({IT}) r(i)),
 rs AS (SELECT i AS iteration, count(*) AS n, sum(quality) AS tp, sum(toxic) AS fp FROM dr JOIN ps ON ps.pos = dr.pick GROUP BY 1)"""
 
 
