@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from goldmeter.functions import normalize as N
@@ -77,20 +78,21 @@ def error_rows(flags: DataFrame) -> DataFrame:
         *KEY, "metric", "key", F.when(F.col("in_pred"), "fp").otherwise("fn").alias("error_type"))
 
 
-def attribute_errors(errors: DataFrame, flags: DataFrame, event_values: DataFrame | None = None, event_system: str = "E2") -> DataFrame:
-    """Failure source of set errors: normalizer, event aggregation or extraction, or prompt extraction.
+def attribute_errors(flags: DataFrame, event_values: DataFrame | None = None, event_system: str = "E2") -> DataFrame:
+    """Errors of set flags (`error_rows`) and their failure source: normalizer, event aggregation or extraction, or prompt
+    extraction.
 
-    A wrong full medication whose name occurs on the other side, or a type whose coarse class does,
-    is a normaliser error; for the event system a missed value that was extracted is an aggregation error.
+    A wrong full medication whose name occurs on the other side, or a type whose coarse class does, is a normaliser error; both
+    sides of a part are seen by a window over the flags, so they are computed once. For the event system a missed value that was
+    extracted is an aggregation error.
     """
     name = F.substring_index("key", " | ", 1)
-    coarse = F.when(F.col("metric") == "medication_full", name).otherwise(N.failure_label(F.col("key")))
-    keyed = errors.withColumn("_part", F.when(F.col("metric").isin("medication_full", "seizure_type"), coarse))
-    sides = flags.filter(F.col("metric").isin("medication_full", "seizure_type")).withColumn("_part", coarse)
-    sides = sides.filter(F.col("_part").isNotNull()).groupBy(*KEY, "metric", "_part").agg(
-        F.max("in_pred").alias("_p"), F.max("in_gold").alias("_g"))
-    joined = keyed.join(sides, [*KEY, "metric", "_part"], "left")
-    other = F.when(F.col("error_type") == "fp", F.col("_g")).otherwise(F.col("_p"))
+    part = F.when(F.col("metric") == "medication_full", name).when(F.col("metric") == "seizure_type", N.failure_label(F.col("key")))
+    sides = W.partitionBy(*KEY, "metric", "_part")
+    keyed = flags.select(*KEY, "metric", "key", "in_pred", "in_gold", part.alias("_part"))
+    keyed = keyed.withColumn("_p", F.max("in_pred").over(sides)).withColumn("_g", F.max("in_gold").over(sides))
+    joined = keyed.filter(F.col("in_pred") != F.col("in_gold")).withColumn("error_type", F.when(F.col("in_pred"), "fp").otherwise("fn"))
+    other = F.col("_part").isNotNull() & F.when(F.col("error_type") == "fp", F.col("_g")).otherwise(F.col("_p"))
     ev = F.col("system") == event_system
     if event_values is not None:
         seen = event_values.select("document_id", F.col("value").alias("_value")).distinct().withColumn("_seen", F.lit(True))
@@ -100,7 +102,7 @@ def attribute_errors(errors: DataFrame, flags: DataFrame, event_values: DataFram
     else:
         source = F.when(F.lit(False), "")
     source = source.when(F.coalesce(other, F.lit(False)), "normalizer").when(ev, "event_extraction").otherwise("prompt_extraction")
-    return joined.select(*errors.columns, source.alias("failure_source"))
+    return joined.select(*KEY, "metric", "key", "error_type", source.alias("failure_source"))
 
 
 def compare_runs(runs: DataFrame) -> DataFrame:

@@ -302,8 +302,8 @@ at_ AS (SELECT er.*, CASE WHEN er.metric <> 'medication_name' AND EXISTS (SELECT
 
 def _attributed(spark, d):
     flags = S.set_score_flags(C.records(spark, d), C.gold(spark, d))
-    errors = RV.error_rows(flags).filter(F.col("metric").isin("medication_name", "medication_full", "seizure_type"))
-    return RV.attribute_errors(errors, flags, None, "B")
+    errors = RV.attribute_errors(flags, None, "B")
+    return errors.filter(F.col("metric").isin("medication_name", "medication_full", "seizure_type"))
 
 
 @query("attributed_errors", f"WITH {ATTR} SELECT * FROM at_")
