@@ -260,7 +260,7 @@ class Memory:
     """Ids of words seen lately, as bytes of little-endian integers, in two generations of at most `limit` words: when the younger
     is full it becomes the older, and words met again come back from there."""
 
-    def __init__(self, learn: Callable[[list[str]], list[bytes]], limit: int = 200_000):
+    def __init__(self, learn: Callable[[list[str]], list[bytes]], limit: int = 120_000):
         self.learn, self.limit, self.known, self.older = learn, limit, {}, {}
 
     def look_up(self, docs: list[list[str]]) -> list[bytes]:
@@ -336,8 +336,8 @@ def encode(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text")
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = byte_encoder(path)
         for b in batches:
-            for a in range(0, b.num_rows, 1024):
-                part = b.slice(a, 1024)
+            for a in range(0, b.num_rows, 512):
+                part = b.slice(a, 512)
                 ids = coder.encode(["" if t is None else t for t in part.column(1).to_pylist()])
                 yield pa.RecordBatch.from_arrays([part.column(0), id_lists(ids)], names=["key", "ids"])
 
@@ -359,7 +359,8 @@ def emit_labels(path: str, ids: np.ndarray) -> np.ndarray:
     sizes = size[ids]
     ends = np.cumsum(sizes)
     source = np.repeat(start[ids] - (ends - sizes), sizes)
-    return buffer[source + np.arange(len(source))]
+    source += np.arange(len(source))
+    return buffer[source]
 
 
 def decode(encoded: DataFrame, path: str, key: str = "doc_id", ids: str = "ids") -> DataFrame:
@@ -368,8 +369,8 @@ def decode(encoded: DataFrame, path: str, key: str = "doc_id", ids: str = "ids")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for a in range(0, b.num_rows, 1024):
-                part = b.slice(a, 1024)
+            for a in range(0, b.num_rows, 256):
+                part = b.slice(a, 256)
                 lists = part.column(part.schema.get_field_index(ids))
                 counts = np.asarray(lists.value_lengths().fill_null(0))
                 flat = np.asarray(lists.flatten()).astype(np.int64)
