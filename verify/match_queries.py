@@ -220,13 +220,29 @@ def span_sides(spark, d):
     return a.filter("l_returnflag <> 'R'"), a.filter("l_returnflag = 'R'")
 
 
-# greedy assignment in user order has no plain SQL form; tests compare it with a brute-force run
-@query("greedy_span_match")
+# user spans in order, each with the gold ids its predecessors have taken
+GREEDY = f"""RECURSIVE {ANN}, us AS (SELECT *, row_number() OVER (PARTITION BY d, label ORDER BY n) AS i FROM ann WHERE rf <> 'R'), gs AS (SELECT * FROM ann WHERE rf = 'R'),
+iv AS (SELECT u.d, u.label, u.i, u.n AS un, g.n AS gn, u.dose = g.dose AS same, greatest(0, least(u.e, g.e) - greatest(u.s, g.s)) AS common, (u.e - u.s) + (g.e - g.s) AS both_ FROM us u JOIN gs g ON u.d = g.d AND u.label = g.label),
+cd AS (SELECT *, common / (both_ - common) AS iou FROM iv WHERE common / (both_ - common) >= 0.5), total AS (SELECT d, label, max(i) AS n FROM us GROUP BY 1, 2),
+st(d, label, i, used, un, gn, same, iou) AS (SELECT d, label, CAST(0 AS BIGINT), CAST([] AS BIGINT[]), CAST(NULL AS BIGINT), CAST(NULL AS BIGINT), false, CAST(NULL AS DOUBLE) FROM total
+ UNION ALL SELECT s.d, s.label, s.i + 1, CASE WHEN p.gn IS NULL THEN s.used ELSE list_append(s.used, p.gn) END, p.un, p.gn, p.same, p.iou FROM st s JOIN total t ON t.d = s.d AND t.label = s.label AND s.i < t.n
+ LEFT JOIN LATERAL (SELECT un, gn, same, iou FROM cd c WHERE c.d = s.d AND c.label = s.label AND c.i = s.i + 1 AND NOT list_contains(s.used, c.gn) ORDER BY iou DESC, gn LIMIT 1) p ON true),
+gm AS (SELECT * FROM st WHERE gn IS NOT NULL)"""
+
+
+@query("greedy_span_match", f"WITH {GREEDY} SELECT d AS document_id, label, 'T' || un AS user_id, 'T' || gn AS gold_id, iou FROM gm")
 def greedy_span_match(spark, d):
     return I.greedy_span_match(*span_sides(spark, d))
 
 
-@query("span_scores")
+_F1 = "CASE WHEN {0} + {1} > 0 THEN 2 * {0} * {1} / ({0} + {1}) ELSE 0.0 END"
+
+
+@query("span_scores", f"""WITH {GREEDY}, al AS (SELECT label, 1 AS u, 0 AS g, 0 AS m, 0 AS f FROM us UNION ALL SELECT label, 0, 1, 0, 0 FROM gs UNION ALL SELECT label, 0, 0, 1, CAST(same AS INT) FROM gm),
+sm AS (SELECT coalesce(label, '__all__') AS label, sum(u) AS u, sum(g) AS g, sum(m) AS m, sum(f) AS f FROM al GROUP BY ROLLUP (label)),
+sh AS (SELECT *, CASE WHEN u > 0 THEN m / u ELSE 0.0 END AS sp, CASE WHEN g > 0 THEN m / g ELSE 0.0 END AS sr, CASE WHEN u > 0 THEN f / u ELSE 0.0 END AS fp, CASE WHEN g > 0 THEN f / g ELSE 0.0 END AS fr FROM sm)
+SELECT label, CAST(m AS BIGINT) AS span_tp, CAST(u - m AS BIGINT) AS span_fp, CAST(g - m AS BIGINT) AS span_fn, CAST(f AS BIGINT) AS full_tp, CAST(u - f AS BIGINT) AS full_fp, CAST(g - f AS BIGINT) AS full_fn,
+ sp AS span_precision, sr AS span_recall, fp AS full_precision, fr AS full_recall, {_F1.format('sp', 'sr')} AS span_f1, {_F1.format('fp', 'fr')} AS full_f1 FROM sh""")
 def span_scores(spark, d):
     user, gold = span_sides(spark, d)
     return I.span_scores(user, gold, I.greedy_span_match(user, gold))
