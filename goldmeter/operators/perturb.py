@@ -8,7 +8,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from goldmeter.functions.text import let, line_array, norm_rate_text, rstrip, strip
+from goldmeter.functions.text import find_text, let, line_array, norm_rate_text, norm_text, rstrip, strip
+from goldmeter.operators.passages import exact_quote, quote_is_valid
 
 
 @dataclass(frozen=True)
@@ -164,6 +165,25 @@ def trap_quotes(grounded: DataFrame, letters: DataFrame, by: list[str]) -> DataF
         F.count_if(F.col("quote").isNotNull() & ~F.col("valid")).alias("invalid_quotes"))
 
 
+def ground_exactly(claims: DataFrame) -> DataFrame:
+    """Claims with their letter in `text`: quote (first occurrence of the value, as written there), char_start, char_end, valid."""
+    at = find_text(F.col("text"), F.col("value"))
+    placed = claims.withColumn("quote", exact_quote(F.col("text"), F.col("value"))).withColumn("char_start", at)
+    return placed.withColumn("char_end", F.col("char_start") + F.length("quote")).withColumn(
+        "valid", F.coalesce(quote_is_valid(norm_text(F.col("text")), F.col("quote")), F.lit(False)))
+
+
+def trap_audit(letters: DataFrame, claims: DataFrame, perturbations: list[Perturbation], by: list[str], ground=ground_exactly) -> DataFrame:
+    """Ground the claims of each letter anew in its perturbed versions and count quotes that reach into the appended trap.
+
+    `letters`: document_id, text; `claims`: document_id, value and further columns; `by`: columns of the counts, perturbation_id
+    or claim columns; `ground` takes claims with `text` and adds quote, char_start, char_end, valid.
+    """
+    versions = perturb(letters, perturbations).select("source_document_id", "perturbation_id", "text")
+    asked = claims.withColumnRenamed("document_id", "source_document_id").join(versions, "source_document_id")
+    return trap_quotes(ground(asked).drop("text"), letters, by)
+
+
 def robust_deltas(robust: DataFrame, clean: DataFrame, keys: list[str]) -> DataFrame:
     """Long perturbed metrics minus long clean metrics per (keys..., metric); perturbation stays a column."""
     c = clean.select(*keys, "metric", F.col("value").alias("clean_value"))

@@ -15,7 +15,8 @@ from goldmeter.operators import review as RV
 from goldmeter.operators import selection as SEL
 from goldmeter.operators import statistics as ST
 from goldmeter.streaming.run_log import read_table, run_stream
-from verify.base import pick, pick_sql, query, table
+from verify import clinic as C
+from verify.base import WS, lit_sql, pick, pick_sql, query, table
 from verify.corpus_queries import scratch
 
 # ---- percentiles, resampling, tests -----------------------------------------------------
@@ -182,14 +183,33 @@ def trap_quotes(spark, d):
     return X.trap_quotes(g, p.select(F.col("p_partkey").alias("document_id"), F.concat("p_name", F.lit(" \n ")).alias("text")), ["perturbation_id"])
 
 
+# fixed values: the trap texts as literals of the oracle
+TRAPS = [
+    ("planned_medication_trap", "Planned change: If seizures worsen in future, we may consider adding levetiracetam 250 mg twice daily. No change is being made today."),
+    ("negated_investigation_trap", "Investigation note: There is no report of an abnormal MRI in this letter."),
+    ("gan_historical_frequency_trap", "Historical seizure frequency: Several years ago seizures were weekly, but this is not the current reporting interval."),
+]
+
+
+@query("trap_audit", f"""WITH {C.BASE}, tr(perturbation_id, note) AS (VALUES {", ".join(f"({lit_sql(a)}, {lit_sql(b)})" for a, b in TRAPS)}),
+pt AS (SELECT bl.document_id, perturbation_id, length(rtrim(text, {WS})) AS edge, rtrim(text, {WS}) || chr(10) || chr(10) || note || chr(10) AS text, unnest(['abnormal MRI', 'weekly', 'levetiracetam', m1, 'nowhere said']) AS v FROM bl, tr),
+f AS (SELECT *, instr(lower(text), lower(v)) AS at_ FROM pt)
+SELECT perturbation_id, v AS value, count(*) FILTER (at_ > 0) AS quotes, count(*) FILTER (at_ > 0 AND at_ - 1 + length(v) > edge) AS trap_quotes, CAST(0 AS BIGINT) AS invalid_quotes FROM f GROUP BY 1, 2""")
+def trap_audit(spark, d):
+    b = C.base(spark, d)
+    claims = b.select("document_id", F.explode(F.array(F.lit("abnormal MRI"), F.lit("weekly"), F.lit("levetiracetam"), F.col("m1"), F.lit("nowhere said"))).alias("value"))
+    listed = [p for p in X.LETTER_PERTURBATIONS + X.LABEL_PERTURBATIONS if p.id in dict(TRAPS)]
+    return X.trap_audit(b.select("document_id", "text"), claims, listed, ["perturbation_id", "value"])
+
+
 @query("quality_cost_frontier", """SELECT p_partkey, p_size, p_retailprice FROM part a WHERE NOT EXISTS (SELECT 1 FROM part b WHERE b.p_size >= a.p_size AND b.p_retailprice <= a.p_retailprice AND (b.p_size > a.p_size OR b.p_retailprice < a.p_retailprice))""")
 def quality_cost_frontier(spark, d):
     return ST.cost_frontier(table(spark, d, "part").select("p_partkey", "p_size", "p_retailprice"), "p_size", "p_retailprice")
 
 
-@query("eligible_frontier_rows", f"WITH {SUM} SELECT system FROM sm WHERE m1 >= 0.5 AND m2 >= 0.5 * m1")
+@query("eligible_frontier_rows", f"WITH {SUM} SELECT system FROM sm WHERE m1 >= 0.5 AND m2 >= 0.45 * m1")
 def eligible_frontier_rows(spark, d):
-    s = summaries(spark, d).select("system", F.lit("canonical_scored").alias("scoring_status"), F.lit("available").alias("availability_note"), F.col("m1").alias("call_success_rate"), F.lit(1.0).alias("parse_success_rate"), F.when(F.col("m2") >= F.lit(0.5) * F.col("m1"), 1.0).otherwise(0.0).alias("schema_valid_rate"))
+    s = summaries(spark, d).select("system", F.lit("canonical_scored").alias("scoring_status"), F.lit("available").alias("availability_note"), F.col("m1").alias("call_success_rate"), F.lit(1.0).alias("parse_success_rate"), F.when(F.col("m2") >= F.lit(0.45) * F.col("m1"), 1.0).otherwise(0.0).alias("schema_valid_rate"))
     return ST.eligible_pairs(s, 0.5).select("system")
 
 
@@ -454,10 +474,10 @@ def raw_payload_keys(spark, d):
     return keys.groupBy("metric", "key").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("sectioned_lines", """WITH l AS (SELECT doc_id, pos, trim(line) AS line FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS pos FROM documents)), h AS (SELECT *, contains(line, ':') AS hd FROM l WHERE trim(ltrim(line, '-*•·0123456789. ')) <> '')
+@query("sectioned_lines", """WITH l AS (SELECT doc_id, pos, trim(line) AS line FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS pos FROM (SELECT doc_id, replace(text, '.' || chr(10), ':' || chr(10)) AS text FROM documents))), h AS (SELECT *, contains(line, ':') AS hd FROM l WHERE trim(ltrim(line, '-*•·0123456789. ')) <> '')
 SELECT doc_id, count(*) AS lines, count(*) FILTER (hd) AS headers FROM (SELECT *, max(CASE WHEN hd THEN pos END) OVER (PARTITION BY doc_id ORDER BY pos) AS lh FROM h) WHERE lh IS NOT NULL GROUP BY 1""")
 def sectioned_lines(spark, d):
-    lines = PL.section_lines(table(spark, d, "documents").select("doc_id", "text"), classify=lambda h: F.lit("any"))
+    lines = PL.section_lines(table(spark, d, "documents").select("doc_id", F.replace("text", F.lit(".\n"), F.lit(":\n")).alias("text")), classify=lambda h: F.lit("any"))
     return lines.groupBy("doc_id").agg(F.count(F.lit(1)).alias("lines"), F.count_if("is_header").alias("headers"))
 
 
