@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from goldmeter.llm.common import remainder, shared_folder, stored
 from goldmeter.llm.words import SECOND, mix, runs, word_hashes
 
-BLOCK_BYTES = 8 << 20
+BLOCK_BYTES = 4 << 20
 SLICE_TOKENS = 1 << 20
 EVALUATED, DELETED = 0, 1  # remainders: scored only; training, but held out from the counts when weights are learned
 STEPS = 8  # histogram bins of component probabilities per factor of two
@@ -39,6 +39,15 @@ def _planes(x: np.ndarray) -> bytes:
     return x.view(np.uint8).reshape(len(x), -1).T.tobytes()
 
 
+def _small(x: np.ndarray) -> bytes:
+    """Compressed planes, for integers that are mostly small: rows stay a few KB, and so do Arrow batches of many rows."""
+    return zlib.compress(_planes(x), 1)
+
+
+def _unsmall(data: bytes, kind: str) -> np.ndarray:
+    return _unplanes(zlib.decompress(data), kind)
+
+
 def _unplanes(data: bytes, kind: str) -> np.ndarray:
     size = np.dtype(kind).itemsize
     return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(size, -1).T).view(kind).ravel()
@@ -153,14 +162,15 @@ def count(index: DataFrame, folder: str, slices: int) -> DataFrame:
                 spans = [(i, a, b) for i, (a, b) in enumerate(zip(cuts[:-1].tolist(), cuts[1:].tolist())) if b > a]
                 yield pa.RecordBatch.from_arrays([
                     pa.array([kind] * len(spans), pa.int32()), pa.array([i for i, _, _ in spans], pa.int32()), pa.array([name] * len(spans)),
-                    *(pa.array([_planes(f(x[a:b])) for _, a, b in spans], pa.binary()) for x, f in ((key, lambda k: np.diff(k, prepend=np.uint64(0))), (kept, np.array), (deleted, np.array)))],
+                    pa.array([_planes(np.diff(key[a:b], prepend=np.uint64(0))) for _, a, b in spans], pa.binary()),
+                    *(pa.array([_small(x[a:b]) for _, a, b in spans], pa.binary()) for x in (kept, deleted))],
                     names=["kind", "slice", "block", "keys", "kept", "deleted"])
 
     return index.select("block").mapInArrow(run, "kind int, slice int, block string, keys binary, kept binary, deleted binary")
 
 
 def answer(chunks: DataFrame, slices: int) -> DataFrame:
-    """Sums of a slice's chunks. For every block: kind, slice, block, at (places in the block's chunk), kept, deleted of keys other
+    """Sums of a slice's chunks. For every block: kind, slice, block, at (gaps between places in the block's chunk), kept, deleted of keys other
     blocks hold too; and one row without block per slice and kind whose arrays are the sums (tokens kept, tokens deleted) and `at`
     the numbers of distinct keys that are kept and that are counted at all."""
 
@@ -168,17 +178,17 @@ def answer(chunks: DataFrame, slices: int) -> DataFrame:
         keys = [np.cumsum(_unplanes(k, "u8"), dtype=np.uint64) for _, k, _, _ in rows]
         every, place = np.unique(np.concatenate(keys), return_inverse=True)
         holders = np.bincount(place, minlength=len(every))
-        kept, deleted = (np.bincount(place, np.concatenate([_unplanes(r[i], "u4") for r in rows]), len(every)).astype(np.uint64) for i in (2, 3))
+        kept, deleted = (np.bincount(place, np.concatenate([_unsmall(r[i], "u4") for r in rows]), len(every)).astype(np.uint64) for i in (2, 3))
         out, start = [(None, np.array([(kept > 0).sum(), (kept + deleted > 0).sum()], np.uint32), kept.sum(keepdims=True), deleted.sum(keepdims=True))], 0
         for (name, *_), k in zip(rows, keys):
             own = place[start: start + len(k)]
             at = np.flatnonzero(holders[own] > 1)
             if len(at):
-                out.append((name, at.astype(np.uint32), kept[own[at]], deleted[own[at]]))
+                out.append((name, np.diff(at, prepend=0).astype(np.uint32), kept[own[at]], deleted[own[at]]))
             start += len(k)
         return pa.RecordBatch.from_arrays([
             pa.array([kind] * len(out), pa.int32()), pa.array([part] * len(out), pa.int32()), pa.array([r[0] for r in out], pa.string()),
-            *(pa.array([_planes(r[i]) for r in out], pa.binary()) for i in (1, 2, 3))], names=["kind", "slice", "block", "at", "kept", "deleted"])
+            *(pa.array([_small(r[i]) for r in out], pa.binary()) for i in (1, 2, 3))], names=["kind", "slice", "block", "at", "kept", "deleted"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         group: tuple[int, int] | None = None
@@ -222,15 +232,16 @@ def _per_block(index: DataFrame, answers: DataFrame, folder: str, slices: int, t
             return work(block, ids, places, context, sums)
 
         for b in batches:
-            for name, is_answer, kind, part, at, kept, deleted, ids in zip(*(c.to_pylist() for c in b.columns)):
+            for row in range(b.num_rows):
+                name, is_answer, kind, part, at, kept, deleted, ids = (c[row].as_py() for c in b.columns)
                 if not is_answer:
                     if state:
                         yield end()
                     begin(name, ids)
                     continue
-                where = state[5][kind][part] + _unplanes(at, "u4").astype(np.int64)
-                state[4][kind][0][where] = _unplanes(kept, "u8")
-                state[4][kind][1][where] = _unplanes(deleted, "u8")
+                where = state[5][kind][part] + np.cumsum(_unsmall(at, "u4"), dtype=np.int64)
+                state[4][kind][0][where] = _unsmall(kept, "u8")
+                state[4][kind][1][where] = _unsmall(deleted, "u8")
         if state:
             yield end()
 
@@ -275,8 +286,8 @@ def score(docs: DataFrame, key: str = "doc_id", text: str = "text", modulus: int
         for b in batches:
             at, kept, deleted = (c.to_pylist() for c in b.columns)
             yield pa.RecordBatch.from_arrays([
-                pa.array([int(_unplanes(x, "u4")[0]) for x in at], pa.int64()), pa.array([int(_unplanes(x, "u4")[1]) for x in at], pa.int64()),
-                pa.array([int(_unplanes(x, "u8")[0]) for x in kept], pa.int64()), pa.array([int(_unplanes(x, "u8")[0]) for x in deleted], pa.int64())], names=["v_kept", "v_all", "kept", "deleted"])
+                pa.array([int(_unsmall(x, "u4")[0]) for x in at], pa.int64()), pa.array([int(_unsmall(x, "u4")[1]) for x in at], pa.int64()),
+                pa.array([int(_unsmall(x, "u8")[0]) for x in kept], pa.int64()), pa.array([int(_unsmall(x, "u8")[0]) for x in deleted], pa.int64())], names=["v_kept", "v_all", "kept", "deleted"])
 
     got = answers.filter(f"block IS NULL AND kind = {WORDS}").select("at", "kept", "deleted").mapInArrow(numbers, "v_kept bigint, v_all bigint, kept bigint, deleted bigint")
     totals = {k: v or 0 for k, v in got.agg(*(F.sum(c).alias(c) for c in totals)).first().asDict().items()}
