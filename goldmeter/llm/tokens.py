@@ -410,7 +410,7 @@ class WordEncoder:
         # fixed value: the pattern of this vocabulary's pieces
         self.pattern = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
         self.pieces: dict[str, bytes] = {}
-        self.memory = Memory(self._learn, 450_000)
+        self.memory = Memory(self._learn, 180_000)
 
     def _public(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.library.encode_batch(texts, add_special_tokens=False)]
