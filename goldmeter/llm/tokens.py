@@ -173,18 +173,20 @@ class Automaton:
             limit, u = self.born[u], self.right[u]
         return out
 
-    def encode_words(self, words: list[bytes], cells: int = 1 << 20) -> list[np.ndarray]:
-        """Token ids of each word (non-empty byte strings; the last symbol carries the suffix mark if the vocabulary has one)."""
+    def encode_words(self, words: list[bytes], cells: int = 1 << 20) -> list[bytes]:
+        """Token ids of each word as little-endian 32-bit integers (words: non-empty byte strings; the last symbol carries the
+        suffix mark if the vocabulary has one)."""
         sizes = np.fromiter(map(len, words), np.int64, len(words))
         order = np.argsort(-sizes, kind="stable")
-        out: list[np.ndarray] = [None] * len(words)  # type: ignore[list-item]
+        out = [b""] * len(words)
         a = 0
         while a < len(words):
             b = min(len(words), a + max(1, cells // int(sizes[order[a]])))
             lanes = order[a:b]
             flat, ends = self._lanes([words[i] for i in lanes], sizes[lanes])
-            for i, x, y in zip(lanes.tolist(), [0, *ends.tolist()], ends.tolist()):
-                out[i] = flat[x:y]
+            data, ends = flat.tobytes(), (4 * ends).tolist()
+            for i, x, y in zip(lanes.tolist(), [0, *ends], ends):
+                out[i] = data[x:y]
             a = b
         return out
 
@@ -290,9 +292,9 @@ class ByteEncoder:
         self.memory = Memory(self._learn)
 
     def _learn(self, chunks: list[str]) -> list[bytes]:
-        pieces = [self.pattern.findall(c) for c in chunks]
-        new = list({p for x in pieces for p in x})
-        ids = {p: i.tobytes() for p, i in zip(new, self.machine.encode_words([p.encode("utf-8", "surrogatepass") for p in new]))}
+        pieces = list(map(self.pattern.findall, chunks))
+        new = list(set().union(*pieces))
+        ids = dict(zip(new, self.machine.encode_words([p.encode("utf-8", "surrogatepass") for p in new])))
         return [b"".join(map(ids.__getitem__, x)) for x in pieces]
 
     def _chunks(self, text: str) -> list[str]:
@@ -420,7 +422,7 @@ class WordEncoder:
         if len(self.pieces) > self.memory.limit // 2:
             self.pieces.clear()
         new = list({p for x in split.values() for p in x}.difference(self.pieces))
-        self.pieces.update((p, i.tobytes()) for p, i in zip(new, self.machine.encode_words([p.encode() for p in new])))
+        self.pieces.update(zip(new, self.machine.encode_words([p.encode() for p in new])))
         ids = {w: b"".join(map(self.pieces.__getitem__, x)) for w, x in split.items()}
         rest = [w for w in words if w not in ids]
         ids.update(zip(rest, self._public(rest)))
