@@ -3,7 +3,6 @@
 from pyspark.sql import functions as F
 
 from goldmeter.operators import costs, passages, payloads
-from goldmeter.session import ensure_checkpoint_dir
 from goldmeter.sources import markup
 from goldmeter.streaming import run_log
 
@@ -52,8 +51,8 @@ def test_offsets_of_a_long_line(spark):
         assert all(text[x["char_start"]: x["char_end"]] == x["text"] for x in (row["s"][-1], row["p"][-1], row["p"][0]))
 
 
-def test_compaction(spark):
-    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/compaction"
+def test_compaction(spark, tmp_path):
+    path = f"{tmp_path}/log"
     assert run_log.read_table(spark, path) is None and run_log.compact(spark, path) == 0
     merge = run_log.merge_batch(path, ["k"], "o", 4)
     for batch in range(3):
