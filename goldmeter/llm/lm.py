@@ -4,7 +4,7 @@ P(w | h) = l2(b) c(h,w)/c(h) + l1(b) c(w)/N + l0(b)/(V+1), where b is the power
 of each b are learned by expectation-maximisation on documents kept apart from the counts they are mixed over (the deleted
 part); the model then counts all training documents.
 
-Counts of words and word pairs outgrow any one machine, so texts are cut into blocks of some MB. A block's distinct keys
+Counts of words and word pairs outgrow any one machine, so texts are cut into blocks of 4 MB. A block's distinct keys
 (64-bit hashes) with its own counts go out in chunks to slices of the hash space; a slice adds the chunks up and answers the
 blocks with the sums of keys that other blocks hold too. A block then knows all counts its tokens need. Blocks lie in shared
 storage as files and are read by name, so texts are never shuffled; the number of slices follows the number of tokens.
@@ -22,6 +22,7 @@ import pyarrow as pa
 from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from goldmeter.llm.common import remainder, shared_folder, stored
 from goldmeter.llm.words import SECOND, mix, runs, word_hashes
@@ -272,7 +273,7 @@ def score(docs: DataFrame, key: str = "doc_id", text: str = "text", modulus: int
     Rows whose crc32(key as text) mod `modulus` is 0 are only scored. Null text counts as empty: one END token. Repeated rows
     count and are scored each; other columns are not read. Without training tokens every token has the uniform probability.
     """
-    kind = docs.schema[key].dataType.simpleString()
+    kind, key_type = docs.schema[key].dataType.simpleString(), to_arrow_type(docs.schema[key].dataType)
     folder = shared_folder(docs.sparkSession, "lm-files")
     index = write_blocks(docs, folder, key, text, modulus)
     tokens, tasks = index.agg(F.coalesce(F.sum("tokens"), F.lit(0)), F.greatest(F.count(F.lit(1)), F.lit(1))).first()
@@ -318,11 +319,8 @@ def score(docs: DataFrame, key: str = "doc_id", text: str = "text", modulus: int
         first = np.r_[0, np.cumsum(block.sizes)[:-1]].astype(np.int64)
         add = lambda x: np.add.reduceat(x, first)  # noqa: E731  no document is without tokens
         return pa.RecordBatch.from_arrays([
-            pa.array(ids, pa_kind[0] if pa_kind else None), pa.array(block.rests == EVALUATED), pa.array(block.sizes.astype(np.int64)), pa.array(add((c_word > 0).astype(np.int64))),
+            pa.array(ids, key_type), pa.array(block.rests == EVALUATED), pa.array(block.sizes.astype(np.int64)), pa.array(add((c_word > 0).astype(np.int64))),
             pa.array(np.full(len(first), n, np.int64)), pa.array(add(base)), pa.array(add(np.log10(p)))], names=["key", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 
-    from pyspark.sql.pandas.types import to_arrow_type
-
-    pa_kind = [to_arrow_type(docs.schema[key].dataType)]
     schema = f"key {kind}, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double"
     return _per_block(index, answers, folder, slices, tasks, schema, judge).withColumnRenamed("key", key)
