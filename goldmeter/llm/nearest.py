@@ -2,9 +2,10 @@
 
 A vector x becomes (x / R, sqrt(1 - |x|^2 / R^2)) with R the largest norm, a query q becomes (q / |q|, 0); nearness is then
 Euclidean. A table hashes by M functions floor((a.x + b) / w) with Gaussian a. A query visits buckets in order of estimated
-success: its neighbours' projections are normal around slope * (a.q) with a spread, both fitted on a bounded sample, so each
-bucket has a probability, and probing stops when the visited ones add up to the coverage that two tables need for the wanted
-recall. M grows with the logarithm of the table, so buckets keep their size.
+success: its neighbours' projections are normal around slope * (a.q) + extra * (last coordinate of a) with a spread, all three
+fitted on a bounded sample; extra is the neighbours' mean last coordinate, which no query has. So each bucket has a probability,
+and probing stops when the visited ones add up to the coverage that two tables need for the wanted recall. M grows with the
+logarithm of the table, so buckets keep their size.
 
 Equal vectors are one candidate that stands for its smallest ids. A bucket is compared in blocks of bounded size; a task keeps
 the best of each query over all its blocks before anything is shuffled. Scores are inner products of the original vectors in
@@ -35,7 +36,7 @@ SLACK = 4
 
 @dataclass
 class Hashes:
-    """directions [table, d + 1, M], offsets [table, M]; slope and spread of a neighbour's projection given the query's."""
+    """directions [table, d + 1, M], offsets [table, M]; slope, spread and extra (mean last coordinate) of neighbours, given the query."""
 
     directions: np.ndarray
     offsets: np.ndarray
@@ -43,6 +44,7 @@ class Hashes:
     slope: float
     spread: float
     coverage: float
+    extra: float = 0.0
 
     def rows(self, x: np.ndarray) -> np.ndarray:
         x = x / self.radius
@@ -58,7 +60,8 @@ class Hashes:
     def probes(self, q: np.ndarray, table: int) -> list[np.ndarray]:
         """Bucket keys of each query, likeliest first, until their probabilities reach the coverage."""
         at = self.queries(q) @ self.directions[table]
-        return [self._visit(self.slope * p + self.offsets[table]) for p in at]
+        shift = self.extra * self.directions[table][-1] + self.offsets[table]
+        return [self._visit(self.slope * p + shift) for p in at]
 
     def _visit(self, centre: np.ndarray) -> np.ndarray:
         m = len(centre)
@@ -124,7 +127,7 @@ def _array(column: pa.Array) -> np.ndarray:
 
 
 def fit(candidates: DataFrame, neighbours: int, recall: float, sample: int = 4000, asked: int = 200) -> Hashes:
-    """Hash functions for `candidates` (rep, v), with slope and spread from a sample of at most `sample` vectors."""
+    """Hash functions for `candidates` (rep, v), with slope, extra and spread from a sample of at most `sample` vectors."""
     n, radius = candidates.agg(F.count(F.lit(1)), F.max(F.sqrt(F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x)))).first()
     rows = candidates.orderBy(F.xxhash64("rep"), "rep").limit(sample).select("v").collect()
     x = np.array([r["v"] for r in rows], np.float64)
@@ -139,7 +142,10 @@ def fit(candidates: DataFrame, neighbours: int, recall: float, sample: int = 400
         k = max(1, min(neighbours * len(x) // n, len(x) - 1))
         best = np.argsort(-near, axis=1)[:, :k]
         made.slope = float(np.mean(np.take_along_axis(near, best, 1)))
-        length = np.linalg.norm(b[best] - made.slope * a[:, None, :], axis=2)
+        made.extra = float(np.mean(b[best, -1]))
+        rest = b[best] - made.slope * a[:, None, :]
+        rest[:, :, -1] -= made.extra
+        length = np.linalg.norm(rest, axis=2)
         made.spread = float(max(0.05, np.sqrt(np.mean(length**2))))
     return made
 

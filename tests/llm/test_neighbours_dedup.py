@@ -55,6 +55,26 @@ def test_recall_with_many_buckets(spark, monkeypatch):
     assert np.mean([len(got[q] & {i for i, _ in near}) / 20 for q, near in want.items()]) >= 0.9
 
 
+@pytest.mark.parametrize("norms", ["one_long", "uneven"])
+def test_recall_when_norms_differ(spark, norms):
+    """Clustered vectors, one three times as long as the rest or all of uneven length."""
+    rnd = np.random.default_rng(1)
+    x = rnd.normal(size=(100, 64))[rnd.integers(0, 100, 10_000)] + 0.6 * rnd.normal(size=(10_000, 64))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    x *= rnd.uniform(0.3, 1.0, (10_000, 1)) if norms == "uneven" else np.where(np.arange(10_000) == 7, 3.0, 1.0)[:, None]
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    made = nearest.fit(df.select(F.col("vec_id").alias("rep"), F.col("embedding").alias("v")), 20, 0.96)
+    assert made.offsets.shape[1] >= 2
+    got = {}
+    for r in nearest.search(df, F.col("id") % 20 == 0).collect():
+        got.setdefault(r["query_id"], set()).add(r["vec_id"])
+    asked = np.arange(0, 10_000, 20)
+    near = x[asked] @ x.T
+    near[np.arange(500), asked] = -np.inf
+    want = np.argsort(-near, axis=1)[:, :20]
+    assert np.mean([len(got[q] & set(w)) / 20 for q, w in zip(asked.tolist(), want.tolist())]) >= 0.95
+
+
 def test_probes_come_in_order_of_success():
     h = nearest.Hashes(np.eye(3)[None, :, :2], np.zeros((1, 2)), 1.0, 1.0, 0.8, 0.9)
     seen = []
