@@ -9,7 +9,7 @@ logarithm of the table, so buckets keep their size.
 
 Equal vectors are one candidate that stands for its smallest ids. A bucket is compared in blocks of bounded size; a task keeps
 the best of each query over all its blocks before anything is shuffled. Scores are inner products of the original vectors in
-double precision.
+double precision; equal ones are cut by id, however many they are.
 """
 
 from __future__ import annotations
@@ -31,7 +31,6 @@ WIDTH = 1.5
 BUCKET = 1024
 BLOCK = 4096
 HELD = 200_000
-SLACK = 4
 
 
 @dataclass
@@ -169,6 +168,28 @@ def _hashed(frame: DataFrame, hashes: Hashes, asking: bool) -> DataFrame:
     return frame.select("rep", "v").mapInArrow(run, "table int, key bigint, rep bigint, v array<double>")
 
 
+def block_best(q: np.ndarray, v: np.ndarray, own: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """score, id [query, min(most, len(own))]: the best of a block by (score falling, id), scores exact.
+
+    All that reach the k-th score of the matrix product, less its rounding, are scored anew before the cut.
+    """
+    k = min(most, len(own))
+    score, ids = np.empty((len(q), k)), np.empty((len(q), k), np.int64)
+    lengths = np.linalg.norm(q, axis=1) * np.linalg.norm(v, axis=1).max()
+    margin = 4 * v.shape[1] * np.finfo(np.float64).eps * lengths
+    for a in range(0, len(q), 64):
+        part = q[a: a + 64]
+        near = part @ v.T
+        least = np.partition(near, near.shape[1] - k, axis=1)[:, -k] - margin[a: a + 64]
+        row, at = np.nonzero(near >= least[:, None])
+        exact = np.concatenate([(v[at[z: z + 16384]] * part[row[z: z + 16384]]).sum(axis=1) for z in range(0, len(at), 16384)])
+        order = np.lexsort((own[at], -exact, row))
+        first = np.searchsorted(row, np.arange(len(part)))
+        kept = order[first[:, None] + np.arange(k)]
+        score[a: a + 64], ids[a: a + 64] = exact[kept], own[at][kept]
+    return score, ids
+
+
 class Best:
     """The best candidates of many queries: scores falling, ties to the smaller id."""
 
@@ -210,11 +231,7 @@ def compare(candidates: DataFrame, asked: DataFrame, most: int) -> DataFrame:
         group, ids, vectors = None, [], []
 
         def meet(queries: np.ndarray, q: np.ndarray) -> None:
-            v, own = np.concatenate(vectors), np.concatenate(ids)
-            near = q @ v.T
-            k = min(most, len(own))
-            at = np.argpartition(-near, k - 1, axis=1)[:, :k]
-            best.add(queries, (v[at] * q[:, None, :]).sum(axis=2), own[at])
+            best.add(queries, *block_best(q, np.concatenate(vectors), np.concatenate(ids), most))
 
         for whole in batches:
             for z in range(0, whole.num_rows, 1024):
@@ -252,7 +269,7 @@ def search(vectors: DataFrame, is_query, key: str = "vec_id", vector: str = "emb
     hashes = fit(own, neighbours, recall)
     asks = stored(rows.filter(is_query).join(own.select("v", "rep"), "v").select(F.col("id").alias("query_id"), F.col("rep").alias("q")), "vector-queries")
     asked = own.join(asks.select(F.col("q").alias("rep")).distinct(), "rep", "left_semi")
-    found = compare(_hashed(own, hashes, False), _hashed(asked, hashes, True), most + SLACK)
+    found = compare(_hashed(own, hashes, False), _hashed(asked, hashes, True), most)
     by_score = Window.partitionBy("q").orderBy(F.desc("score"), "rep")
     found = found.groupBy("q", "rep").agg(F.max("score").alias("score")).withColumn("r", F.row_number().over(by_score)).filter(F.col("r") <= most)
     ids = found.join(own.select("rep", "ids"), "rep").select("q", "score", F.explode("ids").alias("vec_id"))

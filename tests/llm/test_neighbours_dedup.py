@@ -75,6 +75,22 @@ def test_recall_when_norms_differ(spark, norms):
     assert np.mean([len(got[q] & set(w)) / 20 for q, w in zip(asked.tolist(), want.tolist())]) >= 0.95
 
 
+def test_many_equal_scores_in_a_block(spark):
+    """Binary vectors: far more of them than places share a score, the smallest ids count."""
+    rnd = np.random.default_rng(6)
+    rows = [(int(k), [float(b) for b in f"{i:010b}1"]) for i, k in enumerate(rnd.permutation(1024))]
+    got = {}
+    for r in nearest.search(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("id") % 20 == 0).orderBy("rank").collect():
+        got.setdefault(r["query_id"], []).append((r["vec_id"], r["score"]))
+    assert got == brute_neighbours(rows)
+
+
+def test_a_block_smaller_than_the_places():
+    v = np.array([[1.0, 0.0], [0.0, 1.0], [1.0, 1.0]])
+    score, ids = nearest.block_best(v[:1], v, np.array([9, 4, 2]), 21)
+    assert ids.tolist() == [[2, 9, 4]] and score.tolist() == [[1.0, 1.0, 0.0]]
+
+
 def test_probes_come_in_order_of_success():
     h = nearest.Hashes(np.eye(3)[None, :, :2], np.zeros((1, 2)), 1.0, 1.0, 0.8, 0.9)
     seen = []
