@@ -11,6 +11,9 @@ from pyspark.sql import DataFrame, SparkSession
 from goldmeter.llm import dedup, language, packing, quality
 from goldmeter.llm.common import stored, table, vocabulary
 
+#: Words in a shingle of the near-duplicate stage; op7's contract of two binds that query only.
+SHINGLE_WORDS = 5
+
 #: The classifier's scores and the learned languages have no SQL form; tests compare the stages with brute force.
 ORACLE_SQL = None
 
@@ -24,7 +27,7 @@ def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return dedup.keep_one(docs)
+    return dedup.keep_one(docs, SHINGLE_WORDS)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

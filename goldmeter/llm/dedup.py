@@ -37,14 +37,27 @@ _FACTORS = _random.integers(0, 2**64, BANDS * ROWS, dtype=np.uint64) | np.uint64
 _SHIFTS = _random.integers(0, 2**64, BANDS * ROWS, dtype=np.uint64)
 
 
-def shingle_sets(texts: list[str]) -> list[np.ndarray]:
-    """Sorted distinct hashes of each text's 2-word shingles; a lone word is a shingle, no word gives the empty set."""
+def _shingles(words: np.ndarray, width: int) -> np.ndarray:
+    """A hash of every `width` words in a row."""
+    n = max(0, len(words) - width + 1)
+    h = words[:n]
+    for i in range(1, width):
+        h = mix(h * SECOND + words[i: i + n])
+    return h
+
+
+def shingle_sets(texts: list[str], width: int = 2) -> list[np.ndarray]:
+    """Sorted distinct hashes of each text's shingles of `width` words, two at least; a text of fewer words is one shingle, no
+    word gives the empty set."""
     out = []
     for run in runs([t.encode("utf-8", "surrogatepass") for t in texts]):
         words, first = word_hashes(run)
-        pairs = mix(words[:-1] * SECOND + words[1:])
+        every = _shingles(words, width)
         for a, b in zip(first.tolist(), first[1:].tolist()):
-            out.append(np.unique(pairs[a: b - 1]) if b - a > 1 else mix(words[a:b] + SECOND))
+            if b - a >= width:
+                out.append(np.unique(every[a: b - width + 1]))
+            else:
+                out.append(_shingles(words[a:b], b - a) if b - a > 1 else mix(words[a:b] + SECOND))
     return out
 
 
@@ -71,7 +84,7 @@ def digest(shingles: np.ndarray) -> int | None:
     return int.from_bytes(hashlib.blake2b(shingles.tobytes(), digest_size=8).digest(), "little", signed=True) if len(shingles) else None
 
 
-def sketch(docs: DataFrame) -> DataFrame:
+def sketch(docs: DataFrame, width: int = 2) -> DataFrame:
     """doc_id, n_shingles, node (digest of the set), bands, sig."""
     kind = docs.schema["doc_id"].dataType.simpleString()
 
@@ -79,7 +92,7 @@ def sketch(docs: DataFrame) -> DataFrame:
         for b in batches:
             for a in range(0, b.num_rows, 512):
                 part = b.slice(a, 512)
-                sets = shingle_sets(["" if t is None else t for t in part.column(1).to_pylist()])
+                sets = shingle_sets(["" if t is None else t for t in part.column(1).to_pylist()], width)
                 sigs = [minima(s) for s in sets]
                 yield pa.RecordBatch.from_arrays([
                     part.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([digest(s) for s in sets], pa.int64()),
@@ -179,7 +192,7 @@ def possible_links(nodes: DataFrame) -> DataFrame:
     return _by_group(dealt, join).distinct()
 
 
-def confirmed_links(docs: DataFrame, nodes: DataFrame, groups: DataFrame) -> DataFrame:
+def confirmed_links(docs: DataFrame, nodes: DataFrame, groups: DataFrame, width: int = 2) -> DataFrame:
     """Edges (a, b) of forests of the links 100 * intersection >= 80 * union on full sets, between nodes of one group.
 
     A group's texts, one per node, are dealt into blocks of about BLOCK_SHINGLES shingles. groups: cid (node), comp.
@@ -190,7 +203,7 @@ def confirmed_links(docs: DataFrame, nodes: DataFrame, groups: DataFrame) -> Dat
     dealt = in_block_pairs(rows.select("comp", "m", "node", "text"), "comp", F.col("m"))
 
     def join(left: list[tuple], right: list[tuple] | None) -> list[tuple[int, int]]:
-        sets = [[(r[0], s) for r, s in zip(side, shingle_sets([r[1] or "" for r in side])) if digest(s) == r[0]] for side in (left, right or [])]
+        sets = [[(r[0], s) for r, s in zip(side, shingle_sets([r[1] or "" for r in side], width)) if digest(s) == r[0]] for side in (left, right or [])]
         both = sets[0] + sets[1]  # a row whose doc_id repeats with another text is no node of this group
         if not both:
             return []
@@ -241,19 +254,19 @@ def connect(edges: DataFrame, most: int = 60) -> DataFrame:
     raise RuntimeError(f"components not settled after {most} rounds")
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept for every row.
+def near_duplicates(docs: DataFrame, width: int = 2) -> DataFrame:
+    """doc_id, n_shingles, component_id, kept for every row, by shingles of `width` words.
 
     Null or wordless texts have the empty set and a component of their own. Each row is judged by its own text, repeated rows
     included. A null doc_id takes part in nothing and has no component. Ties have one outcome, the smallest id. An empty table
     gives no rows; only doc_id and text are read. Two different sets share a digest with a probability of one in 2**64 a pair.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    sketches = stored(sketch(docs), "sketches")
+    sketches = stored(sketch(docs, width), "sketches")
     owners = sketches.filter("node IS NOT NULL AND doc_id IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("doc_id"))
     nodes = stored(sketches.join(owners, ["node", "doc_id"]).dropDuplicates(["node"]), "nodes")
     groups = connect(possible_links(nodes))
-    final = connect(confirmed_links(docs, nodes, groups))
+    final = connect(confirmed_links(docs, nodes, groups, width))
     placed = owners.join(final.select(F.col("cid").alias("node"), "comp"), "node", "left").select("node", F.coalesce("comp", "node").alias("comp"), "doc_id")
     least = placed.groupBy("comp").agg(F.min("doc_id").alias("least"))
     component = placed.join(least, "comp").select("node", "least")
@@ -262,8 +275,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     return rows.select("doc_id", "n_shingles", component_id.alias("component_id"), (F.col("doc_id") == component_id).alias("kept"))
 
 
-def keep_one(docs: DataFrame) -> DataFrame:
+def keep_one(docs: DataFrame, width: int = 2) -> DataFrame:
     """Rows of `docs`, all columns, one per component: the one with the smallest doc_id. Rows without an id stay."""
-    kept = near_duplicates(docs).filter("kept").select("doc_id").distinct()
+    kept = near_duplicates(docs, width).filter("kept").select("doc_id").distinct()
     rows = docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
     return rows.unionByName(docs.filter("doc_id IS NULL"))

@@ -35,6 +35,40 @@ def test_query_equals_oracle(spark, name):
     assert rows_of(df.columns, [tuple(r) for r in df.collect()]) == rows_of(cols, rel.fetchall())
 
 
+def test_near_duplicate_stage_takes_five_words(spark):
+    """Against brute force: texts edited step by step, some alike on two words only, some shorter than a shingle."""
+    rnd = __import__("random").Random(7)
+    word = lambda: f"w{rnd.randrange(5000)}"
+    rows = []
+    for _ in range(8):
+        text = [word() for _ in range(60)]
+        for _ in range(12):
+            edited = list(text)
+            for at in rnd.sample(range(60), rnd.randrange(5)):
+                edited[at] = word()
+            rows.append((len(rows), " ".join(edited)))
+    rows += [(200 + i, t) for i, t in enumerate(["a b c", "a b c", "a b", "a b c d", "b c d a", "a", "A", "", None, "a b c d e"])]
+
+    def sets(width):
+        words = [(t or "").lower().split() for _, t in rows]
+        return [{tuple(w[i: i + width]) for i in range(max(1, len(w) - width + 1))} if w else set() for w in words]
+
+    def winners(width):
+        own, comp = sets(width), list(range(len(rows)))
+        for i in range(len(rows)):
+            for j in range(i):
+                if own[i] and own[j] and 100 * len(own[i] & own[j]) >= 80 * len(own[i] | own[j]) and comp[i] != comp[j]:
+                    comp = [comp[j] if c == comp[i] else c for c in comp]
+        least = {}
+        for (k, _), c in zip(rows, comp):
+            least[c] = min(k, least.get(c, k))
+        return sorted(least.values())
+
+    docs = spark.createDataFrame([(k, t, "en", "s", 1) for k, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = sorted(r["doc_id"] for r in corpus_pipeline.one_of_each(spark, docs, "").collect())
+    assert got == winners(5) != winners(2)
+
+
 def test_stages(spark, tmp_path):
     rnd = __import__("random").Random(4)
     words = "the river of stone and a house with green doors near that old mill".split()
