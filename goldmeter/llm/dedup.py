@@ -85,7 +85,7 @@ def digest(shingles: np.ndarray) -> int | None:
 
 
 def sketch(docs: DataFrame, width: int = 2) -> DataFrame:
-    """doc_id, n_shingles, node (digest of the set), bands, sig."""
+    """doc_id, n_shingles, node (digest of the set), body (hash of the text), bands, sig."""
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -95,11 +95,11 @@ def sketch(docs: DataFrame, width: int = 2) -> DataFrame:
                 sets = shingle_sets(["" if t is None else t for t in part.column(1).to_pylist()], width)
                 sigs = [minima(s) for s in sets]
                 yield pa.RecordBatch.from_arrays([
-                    part.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([digest(s) for s in sets], pa.int64()),
+                    part.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([digest(s) for s in sets], pa.int64()), part.column(2),
                     pa.array([band_keys(g) for g in sigs], pa.list_(pa.int64())), pa.array([(g & 255).astype(np.uint8).tobytes() for g in sigs], pa.binary())],
-                    names=["doc_id", "n_shingles", "node", "bands", "sig"])
+                    names=["doc_id", "n_shingles", "node", "body", "bands", "sig"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n_shingles bigint, node bigint, bands array<bigint>, sig binary")
+    return docs.select("doc_id", "text", F.xxhash64("text")).mapInArrow(run, f"doc_id {kind}, n_shingles bigint, node bigint, body bigint, bands array<bigint>, sig binary")
 
 
 def shared_buckets(nodes: DataFrame) -> DataFrame:
@@ -254,13 +254,9 @@ def connect(edges: DataFrame, most: int = 60) -> DataFrame:
     raise RuntimeError(f"components not settled after {most} rounds")
 
 
-def near_duplicates(docs: DataFrame, width: int = 2) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept for every row, by shingles of `width` words.
-
-    Null or wordless texts have the empty set and a component of their own. Each row is judged by its own text, repeated rows
-    included. A null doc_id takes part in nothing and has no component. Ties have one outcome, the smallest id. An empty table
-    gives no rows; only doc_id and text are read. Two different sets share a digest with a probability of one in 2**64 a pair.
-    """
+def components(docs: DataFrame, width: int = 2) -> DataFrame:
+    """doc_id, n_shingles, node, body, comp (smallest node of the component), least (smallest doc_id of it) for every row; comp
+    and least are null for empty sets and, where no row of the set has an id, for null ids."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     sketches = stored(sketch(docs, width), "sketches")
     owners = sketches.filter("node IS NOT NULL AND doc_id IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("doc_id"))
@@ -269,14 +265,28 @@ def near_duplicates(docs: DataFrame, width: int = 2) -> DataFrame:
     final = connect(confirmed_links(docs, nodes, groups, width))
     placed = owners.join(final.select(F.col("cid").alias("node"), "comp"), "node", "left").select("node", F.coalesce("comp", "node").alias("comp"), "doc_id")
     least = placed.groupBy("comp").agg(F.min("doc_id").alias("least"))
-    component = placed.join(least, "comp").select("node", "least")
-    rows = sketches.select("doc_id", "n_shingles", "node").join(component, "node", "left")
+    component = placed.join(least, "comp").select("node", "comp", "least")
+    return sketches.select("doc_id", "n_shingles", "node", "body").join(component, "node", "left")
+
+
+def near_duplicates(docs: DataFrame, width: int = 2) -> DataFrame:
+    """doc_id, n_shingles, component_id, kept for every row, by shingles of `width` words.
+
+    Null or wordless texts have the empty set and a component of their own. Each row is judged by its own text, repeated rows
+    included. A null doc_id takes part in nothing and has no component. Ties have one outcome, the smallest id. An empty table
+    gives no rows; only doc_id and text are read. Two different sets share a digest with a probability of one in 2**64 a pair.
+    """
+    rows = components(docs, width)
     component_id = F.when(F.col("doc_id").isNotNull(), F.coalesce("least", "doc_id"))
     return rows.select("doc_id", "n_shingles", component_id.alias("component_id"), (F.col("doc_id") == component_id).alias("kept"))
 
 
 def keep_one(docs: DataFrame, width: int = 2) -> DataFrame:
-    """Rows of `docs`, all columns, one per component: the one with the smallest doc_id. Rows without an id stay."""
-    kept = near_duplicates(docs, width).filter("kept").select("doc_id").distinct()
-    rows = docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return rows.unionByName(docs.filter("doc_id IS NULL"))
+    """Rows of `docs`, all columns, one per component: the one with the smallest doc_id, of several texts of that id the one with
+    the smallest digest. Texts that share an id but no component all stay; an id's wordless texts are one. Rows without an id
+    stay. A row is met again by its id and a 64-bit hash of its text."""
+    rows = components(docs, width).filter("doc_id IS NOT NULL")
+    alone = F.when(F.col("comp").isNull(), F.col("doc_id"))
+    kept = rows.groupBy("comp", alone.alias("alone")).agg(F.min(F.struct("doc_id", "node", "body")).alias("x")).select("x.doc_id", F.col("x.body").alias("_body"))
+    own = docs.withColumn("_body", F.xxhash64("text")).join(kept, ["doc_id", "_body"], "left_semi").dropDuplicates(["doc_id", "_body"])
+    return own.select(*docs.columns).unionByName(docs.filter("doc_id IS NULL"))

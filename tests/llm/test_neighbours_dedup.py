@@ -149,6 +149,14 @@ def test_near_duplicates_of_odd_rows(spark, odd_docs, plain, no_docs):
     assert one.filter("doc_id IS NULL").count() == 2
 
 
+def test_one_id_on_different_texts(spark):
+    """Texts of one id are judged each by itself: unrelated ones all stay, a copy never takes a unique text's place."""
+    one, two, three = (" ".join(f"{k}{i}" for i in range(30)) for k in "abc")
+    rows = [(1, one), (5, one + " end"), (5, two), (5, three), (5, three.upper()), (6, two), (5, ""), (5, "")]
+    got = dedup.keep_one(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert sorted((r["doc_id"], r["text"].lower()) for r in got.collect()) == [(1, one), (5, ""), (5, two), (5, three)]
+
+
 @pytest.mark.parametrize("small_blocks", [False, True])
 def test_families_with_chains(spark, monkeypatch, small_blocks):
     """Copies edited step by step: many links just above and below the limit, chains, a large family."""
