@@ -1,7 +1,8 @@
 """Licence scans by canonical digest: a whole text, normalised, is looked up by SHA-256 among known licence texts.
 
 DataFrame functions only. Canonical form: lower case, copyright lines removed, equivalent spellings replaced, every run of
-characters that are neither letters nor digits becomes one blank, ends trimmed.
+characters that are neither ASCII letters nor digits becomes one blank, ends trimmed. A sentence of a licence that wraps before
+`copyright` is no copyright line. All known texts are ASCII, so a text with other letters or digits is none of them.
 """
 
 from __future__ import annotations
@@ -64,14 +65,22 @@ Permission to use, copy, modify, and/or distribute this software for any purpose
 THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE."""),
 ]
 
-COPYRIGHT_LINE = r"(^|\n)[ \t]*(copyright|\(c\)|©)[^\n]*"
+# A line that opens with `copyright` and one of these words, or with nothing behind it, is the rest of a wrapped sentence.
+SENTENCE = r"[ \t\r]*(?:\n|$)|[ \t-]+(?:notices?|holders?|owners?|laws?|interests?|licen[cs]es?|statements?|and|or|in|is)\b"
+COPYRIGHT_LINE = rf"(^|\n)[ \t]*(copyright\b(?!{SENTENCE})|\(c\)|©)[^\n]*"
+FOREIGN = r"[\p{L}\p{N}&&[^\x00-\x7F]]"
 PUNCTUATION = "[^a-z0-9]+"
 
 
+def without_notices(text: Column) -> Column:
+    """ASCII letters lowered, copyright lines removed."""
+    t = F.translate(F.coalesce(text, F.lit("")), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    return F.regexp_replace(t, COPYRIGHT_LINE, "\n")
+
+
 def canonical(text: Column) -> Column:
     """Canonical form of a whole text; null counts as empty. ASCII letters are lowered; others become blanks like punctuation."""
-    t = F.translate(F.coalesce(text, F.lit("")), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-    t = F.concat(F.lit(" "), F.trim(F.regexp_replace(F.regexp_replace(t, COPYRIGHT_LINE, "\n"), PUNCTUATION, " ")), F.lit(" "))
+    t = F.concat(F.lit(" "), F.trim(F.regexp_replace(without_notices(text), PUNCTUATION, " ")), F.lit(" "))
     for left, right in SPELLINGS:
         t = F.replace(t, F.lit(f" {left} "), F.lit(f" {right} "))
     return F.trim(t)
@@ -89,15 +98,15 @@ def scan(docs: DataFrame, known: DataFrame, keys: tuple[str, ...] = ("doc_id",),
     Only the digest leaves the scan, so texts are not shuffled; the table of known digests joins by equality and Spark broadcasts
     it by its size. Repeated rows stay; null or empty texts have the digest of the empty form and match nothing known.
     """
-    digests = docs.select(*keys, F.sha2(canonical(F.col(text)), 256).alias("digest"))
-    return digests.join(known.select("digest", "licence"), "digest", "left").select(*keys, "digest", "licence")
+    digests = docs.select(*keys, F.sha2(canonical(F.col(text)), 256).alias("digest"), without_notices(F.col(text)).rlike(FOREIGN).alias("_foreign"))
+    return digests.join(known.select("digest", "licence"), "digest", "left").select(*keys, "digest", F.when(~F.col("_foreign"), F.col("licence")).alias("licence"))
 
 
 def scan_lines(docs: DataFrame, known: DataFrame, keys: tuple[str, ...] = ("doc_id",), text: str = "text") -> DataFrame:
     """Licence notices standing as whole lines in a text: keys, licence, lines (how many). Lines without the stem are skipped
     before they are hashed: every known text holds `licen`, `permission` or `redistribut`."""
     line = F.explode(F.filter(F.split(F.coalesce(F.col(text), F.lit("")), "\n"), lambda x: x.rlike("(?i)licen|permission|redistribut"))).alias("line")
-    digests = docs.select(*keys, line).select(*keys, F.sha2(canonical(F.col("line")), 256).alias("digest"))
+    digests = docs.select(*keys, line).filter(~without_notices(F.col("line")).rlike(FOREIGN)).select(*keys, F.sha2(canonical(F.col("line")), 256).alias("digest"))
     return digests.join(known.select("digest", "licence"), "digest").groupBy(*keys, "licence").agg(F.count(F.lit(1)).alias("lines"))
 
 

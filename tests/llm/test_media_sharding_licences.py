@@ -99,6 +99,29 @@ def test_canonical_texts(spark):
     assert sorted((r["doc_id"], r["licence"], r["lines"]) for r in lines) == [(1, "CC-BY-NC-4.0", 1), (1, "MIT", 1)]
 
 
+def test_wrapped_licences_and_other_scripts(spark):
+    """Files wrapped at every width are the licence; a notice within a text of another script is not all of it."""
+    import textwrap
+
+    known = licences.known_licences(spark)
+    bodies = [(n, b) for n, b in licences.KNOWN if n in ("MIT", "ISC") and len(b) > 200]
+    rows, want = [], {}
+    for n, b in bodies:
+        for width in range(30, 100):
+            text = "\n\n".join(textwrap.fill(p, width) for p in b.replace("<year>", "2020").replace("<owner>", "José").replace("<copyright holders>", "Ann").split("\n\n"))
+            want[len(rows)] = n
+            rows.append((len(rows), text))
+    for text in ("Это не лицензия.\nReleased under the MIT License.", "日本語 Released under the MIT License. テキスト", "Released under the MIT License. ２", "Это не лицензия."):
+        want[len(rows)] = None
+        rows.append((len(rows), text))
+    want[len(rows)] = "MIT"
+    rows.append((len(rows), "Copyright Jane Doe\n© 2020 Хозяин\n“Released under the MIT License.”"))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r["doc_id"]: r["licence"] for r in licences.scan(docs, known).collect()} == want
+    lines = spark.createDataFrame([(1, "Это Released under the MIT License.\nx"), (2, "x\nReleased under the MIT License.")], "doc_id long, text string")
+    assert [r["doc_id"] for r in licences.scan_lines(lines, known).collect()] == [2]
+
+
 def test_licences_of_odd_rows(spark, odd_docs, no_docs, plain):
     known = licences.known_licences(spark)
     assert licences.scan(odd_docs, known).count() == len(plain) and licences.scan(no_docs, known).count() == 0
