@@ -191,7 +191,7 @@ def contradiction_counts(statements: DataFrame) -> DataFrame:
 
 
 def segments(texts: DataFrame, spans: DataFrame) -> DataFrame:
-    """Cut every text at all span edges; per segment the covering labels and sides.
+    """Cut every text at all span edges; per segment how many spans of each side cover it.
 
     `texts` has document_id, length; `spans` has document_id, start, end, label, side
     ('gold' | 'pred'). Counting opened minus closed spans along the edges gives the

@@ -299,7 +299,7 @@ def loose_event_payload(events: DataFrame) -> DataFrame:
     """Simple event rows (document_id, ord, type, value, name, current, ...) to one payload per document.
 
     Current medications and types are kept once per canonical name in first-seen order; the
-    first frequency, investigation result and diagnosis count.
+    first frequency and diagnosis count. Investigations, doses, units and medication frequencies are not taken over.
     """
     t, v = F.col("type"), F.trim(text_of(F.col("value")))
     name = F.trim(text_of(F.coalesce(F.nullif(F.col("name"), F.lit("")), F.col("value"))))
