@@ -155,8 +155,7 @@ def pack(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text", pr
 
         for b in batches:
             key_type = b.schema.field(0).type
-            for a in range(0, b.num_rows, 256):
-                part = b.slice(a, 256)
+            for part in tokens.portions(b, 1):
                 own = coder.encode(["" if t is None else t for t in part.column(1).to_pylist()])
                 asked = coder.encode(["" if t is None else t for t in part.column(2).to_pylist()]) if prompt else [b""] * len(own)
                 for k, before, ids in zip(part.column(0).to_pylist(), asked, own):

@@ -15,6 +15,7 @@ transition table over symbols with failure links. Words of a batch advance in st
 from __future__ import annotations
 
 import functools
+import itertools
 import json
 import re
 from bisect import bisect_right, insort
@@ -22,6 +23,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -42,6 +44,20 @@ def token_labels(ids: dict[str, int]) -> dict[int, bytes]:
     return {i: bytes(chars[c] for c in token) for token, i in ids.items() if token and all(c in chars for c in token)}
 
 
+def gather(values: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The stretches of `values` that begin at `start` and are `size` long, one after another."""
+    ends = np.cumsum(size)
+    at = np.repeat(start - (ends - size), size)
+    at += np.arange(len(at))
+    return values[at]
+
+
+def cut(ids: np.ndarray, counts: np.ndarray) -> list[bytes]:
+    """Ids as little-endian 32-bit integers, `counts` of them at a time."""
+    data, ends = ids.astype("<u4").tobytes(), (4 * np.cumsum(counts)).tolist()
+    return [data[x:y] for x, y in zip([0, *ends], ends)]
+
+
 class Automaton:
     """Compiled form of a vocabulary: `ids` by token string, `merges` in order; `suffix` marks a word's last symbol."""
 
@@ -173,30 +189,33 @@ class Automaton:
             limit, u = self.born[u], self.right[u]
         return out
 
-    def encode_words(self, words: list[bytes], cells: int = 1 << 20) -> list[bytes]:
+    def encode_words(self, words: list[bytes]) -> list[bytes]:
         """Token ids of each word as little-endian 32-bit integers (words: non-empty byte strings; the last symbol carries the
         suffix mark if the vocabulary has one)."""
         sizes = np.fromiter(map(len, words), np.int64, len(words))
-        order = np.argsort(-sizes, kind="stable")
-        out = [b""] * len(words)
-        a = 0
-        while a < len(words):
-            b = min(len(words), a + max(1, cells // int(sizes[order[a]])))
-            lanes = order[a:b]
-            flat, ends = self._lanes([words[i] for i in lanes], sizes[lanes])
-            data, ends = flat.tobytes(), (4 * ends).tolist()
-            for i, x, y in zip(lanes.tolist(), [0, *ends], ends):
-                out[i] = data[x:y]
-            a = b
-        return out
+        ids, counts = self.encode_flat(np.frombuffer(b"".join(words), np.uint8), np.cumsum(sizes) - sizes, sizes)
+        return cut(ids, counts)
 
-    def _lanes(self, words: list[bytes], sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of words sorted by falling length, one after another, and where each word's ids end."""
-        n, wide = len(words), int(sizes[0])
-        text = np.frombuffer(b"".join(words), np.uint8).astype(np.int64)
-        first = np.concatenate([[0], np.cumsum(sizes)[:-1]])
+    def encode_flat(self, text: np.ndarray, first: np.ndarray, sizes: np.ndarray, cells: int = 1 << 20) -> tuple[np.ndarray, np.ndarray]:
+        """Token ids of the words that begin at `first` in the bytes `text`, one word after another, and how many each has."""
+        symbols = text.astype(np.int64)
         if self.suffix:
-            text[first + sizes - 1] += 256
+            symbols[first + sizes - 1] += 256
+        order = np.argsort(-sizes, kind="stable")
+        parts, counts = [np.zeros(0, "<u4")], np.zeros(len(sizes), np.int64)
+        a = 0
+        while a < len(order):
+            lanes = order[a: a + max(1, cells // int(sizes[order[a]]))]
+            ids, counts[lanes] = self._lanes(symbols, first[lanes], sizes[lanes])
+            parts.append(ids)
+            a += len(lanes)
+        starts = np.empty(len(order), np.int64)
+        starts[order] = np.cumsum(counts[order]) - counts[order]
+        return gather(np.concatenate(parts), starts, counts), counts
+
+    def _lanes(self, text: np.ndarray, first: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of words given by falling size, one after another, and how many each has."""
+        n, wide = len(sizes), int(sizes[0])
         last = np.full((wide + 1, n), -1, np.int32)
         node = np.zeros(n, np.int64)
         for i in range(1, wide + 1):
@@ -229,7 +248,7 @@ class Automaton:
         token, lane = np.concatenate(parts), np.concatenate(lanes)
         back = np.arange(len(token))[::-1]
         sort = back[np.argsort(lane[back], kind="stable")]  # within a lane, the first token was found last
-        return token[sort].astype("<u4"), np.cumsum(np.bincount(lane, minlength=n))
+        return token[sort].astype("<u4"), np.bincount(lane, minlength=n)
 
 
 def _model(path: str) -> dict:
@@ -258,66 +277,214 @@ def _split_pattern():
     return regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
 
 
-class Memory:
-    """Ids of words seen lately, as bytes of little-endian integers, in two generations of at most `limit` words: when the younger
-    is full it becomes the older, and words met again come back from there."""
+class _Numbers(dict):
+    """Numbers words as they come; `new` are those numbered since it was last emptied."""
+
+    def __init__(self):
+        self.new: list[str] = []
 
-    def __init__(self, learn: Callable[[list[str]], list[bytes]], limit: int = 120_000):
-        self.learn, self.limit, self.known, self.older = learn, limit, {}, {}
+    def __missing__(self, word: str) -> int:
+        self.new.append(word)
+        n = self[word] = len(self)
+        return n
 
-    def look_up(self, docs: list[list[str]]) -> list[bytes]:
-        missing = set().union(*docs).difference(self.known)
-        if missing and len(self.known) + len(missing) > self.limit:
-            self.known, self.older = {}, self.known
-            missing = set().union(*docs)
-        known, older = self.known, self.older
-        if missing:
-            known.update((w, older[w]) for w in missing if w in older)
-            new = list(missing.difference(known))
-            known.update(zip(new, self.learn(new)))
-        return [b"".join(map(known.__getitem__, words)) for words in docs]
+
+class Memory:
+    """Ids of words seen lately: a number for each word, and the ids of all numbered words in one array. `learn` gives the ids of
+    new words, one after another, and how many each has. Beyond `limit` words all are forgotten."""
+
+    def __init__(self, learn: Callable[[list[str]], tuple[np.ndarray, np.ndarray]], limit: int = 450_000):
+        self.learn, self.limit = learn, limit
+        self._forget()
+
+    def _forget(self) -> None:
+        self.known = _Numbers()
+        self.ids, self.used = np.zeros(1 << 16, "<u4"), 0
+        self.start, self.size = np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int64)
+
+    def look_up(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the words, one after another, and how many each has."""
+        if len(self.known) > self.limit:
+            self._forget()
+        before = len(self.known)
+        numbers = np.fromiter(map(self.known.__getitem__, words), np.int64, len(words))
+        if self.known.new:
+            ids, counts = self.learn(self.known.new)
+            self.known.new = []
+            n = len(self.known)
+            self.ids, self.start, self.size = _room(self.ids, self.used + len(ids)), _room(self.start, n), _room(self.size, n)
+            self.ids[self.used: self.used + len(ids)] = ids
+            self.start[before:n], self.size[before:n] = self.used + np.cumsum(counts) - counts, counts
+            self.used += len(ids)
+        counts = self.size[numbers]
+        return gather(self.ids, self.start[numbers], counts), counts
+
+
+def _room(x: np.ndarray, n: int) -> np.ndarray:
+    if n <= len(x):
+        return x
+    out = np.zeros(max(n, 2 * len(x)), x.dtype)
+    out[: len(x)] = x
+    return out
+
+
+def _blocks(texts: list[str], most: int = 1 << 21) -> Iterator[tuple[int, int]]:
+    """Neighbouring texts of about `most` characters together."""
+    a = size = 0
+    for i, t in enumerate(texts):
+        if i > a and size + len(t) > most:
+            yield a, i
+            a, size = i, 0
+        size += len(t)
+    if texts:
+        yield a, len(texts)
+
+
+# Classes of characters in the tables below: the rest are left to the tokenizers' own patterns.
+ODD, LETTER, NUMBER, OTHER = range(4)
+
+
+class _Points:
+    """Words as one array of code points: the class of each, where words and pieces begin, and which words need a pattern."""
+
+    def __init__(self, words: list[str], kinds: np.ndarray, lower: np.ndarray | None, numbers_alone: bool):
+        sizes = np.fromiter(map(len, words), np.int64, len(words))
+        points = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), "<u4")
+        kind = kinds[np.minimum(points, len(kinds) - 1)]
+        word = np.repeat(np.arange(len(words)), sizes)
+        self.odd = np.bincount(word[kind == ODD], minlength=len(words)) > 0
+        self.odd |= sizes == 0
+        keep = ~self.odd[word]
+        points, kind, word = points[keep], kind[keep], word[keep]
+        if lower is not None:
+            points = lower[points]
+        begins = np.r_[True, (word[1:] != word[:-1]) | (kind[1:] != kind[:-1])][: len(word)]
+        if numbers_alone:
+            begins |= kind == NUMBER
+        self.first_of_word = np.r_[True, word[1:] != word[:-1]][: len(word)]
+        self.points, self.word, self.begins = points, word, begins
+
+    def utf8(self) -> tuple[np.ndarray, np.ndarray]:
+        """Bytes of all characters (below U+0800) and how many each has."""
+        wide = self.points >= 0x80
+        n = 1 + wide.astype(np.int64)
+        end = np.cumsum(n)
+        out = np.empty(int(end[-1]) if len(end) else 0, np.uint8)
+        out[end - 1] = np.where(wide, 0x80 | (self.points & 0x3F), self.points)
+        out[end[wide] - 2] = 0xC0 | (self.points[wide] >> 6)
+        return out, n
+
+
+def _kinds(letter, number, space, top: int, odd: Callable[[str], bool]) -> np.ndarray:
+    """Class of each character below `top`; the last entry stands for all above."""
+    out = np.full(top + 1, ODD, np.uint8)
+    for i in range(top):
+        c = chr(i)
+        if not (space(c) or odd(c)):
+            out[i] = LETTER if letter(c) else NUMBER if number(c) else OTHER
+    return out
+
+
+def _merge(words: int, odd: np.ndarray, plain: tuple[np.ndarray, np.ndarray], rest: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Ids of words in order from those of the plain ones and of the odd ones."""
+    ids, counts = plain
+    all_counts = np.empty(words, np.int64)
+    all_counts[~odd], all_counts[odd] = counts, [len(x) // 4 for x in rest]
+    starts = np.empty(words, np.int64)
+    starts[~odd] = np.cumsum(counts) - counts
+    starts[odd] = len(ids) + np.cumsum(all_counts[odd]) - all_counts[odd]
+    return gather(np.concatenate([ids, np.frombuffer(b"".join(rest), "<u4")]), starts, all_counts), all_counts
 
 
 # A lone blank between two characters that are not white space always starts a new piece, so the text may be cut there.
 _CUT = re.compile(r"(?<=\S) (?=\S)")
+_RARE = ("  ", "\n\n", " \n", "\n ", "\0", "\1")
+
+
+def _plain_gaps(text: str) -> bool:
+    """Whether all white space is lone blanks and line breaks between other characters."""
+    if text[0].isspace() or text[-1].isspace() or any(x in text for x in _RARE):
+        return False
+    return sum(map(len, text.split())) + text.count(" ") + text.count("\n") == len(text)
 
 
 class ByteEncoder:
-    """Encoder for byte-level vocabularies that split by the pattern above; equal to the public tokenizer of the same file."""
+    """Encoder for byte-level vocabularies that split by the pattern above; equal to the public tokenizer of the same file.
+
+    A text is looked up by the words between lone blanks and line breaks. A word of the memory is named as it stands if a blank
+    is before it, with its line break if that is before it, after a zero byte if nothing is, and after a one byte if it is an
+    added token. Words of letters, numbers and signs are cut into pieces by their characters' classes, all others by the pattern.
+    """
 
     def __init__(self, path: str):
         self.path, self.machine, self.pattern = path, automaton(path), _split_pattern()
         self.added = added_tokens(path)
         self.special = re.compile("(" + "|".join(map(re.escape, sorted(self.added, key=len, reverse=True))) + ")") if self.added else None
+        import regex
+
+        test = lambda p: lambda c: regex.fullmatch(p, c) is not None
+        self.kinds = _kinds(test(r"\p{L}"), test(r"\p{N}"), test(r"\s"), 0x800, lambda c: c == "'" or c.isspace() or not c.isprintable())
         self.memory = Memory(self._learn)
 
-    def _learn(self, chunks: list[str]) -> list[bytes]:
+    def _learn(self, names: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        plain = _Points(names, self.kinds, None, False)
+        # the piece at a word's start takes the blank before it
+        text, n = plain.utf8()
+        lead = plain.first_of_word
+        width = n + lead
+        end = np.cumsum(width)
+        out = np.full(int(end[-1]) if len(end) else 0, 32, np.uint8)
+        at = end - n
+        out[at] = text[np.cumsum(n) - n]
+        out[at[n > 1] + 1] = text[np.cumsum(n)[n > 1] - 1]
+        begins = np.flatnonzero(plain.begins)
+        first = (end - width)[begins]
+        sizes = np.diff(np.r_[first, len(out)])
+        ids, counts = self.machine.encode_flat(out, first, sizes)
+        per_word = np.bincount(plain.word[begins], counts, len(names)).astype(np.int64)[~plain.odd]
+        rest = [names[i] for i in np.flatnonzero(plain.odd)]
+        chunks = ["" if x[:1] == "\1" else x[1:] if x[:1] == "\0" else x if x[:1] == "\n" else " " + x for x in rest]
+        found = [np.uint32(self.added[x[1:]]).tobytes() if x[:1] == "\1" else y for x, y in zip(rest, self._by_pattern(chunks))]
+        return _merge(len(names), plain.odd, (ids, per_word), found)
+
+    def _by_pattern(self, chunks: list[str]) -> list[bytes]:
         pieces = list(map(self.pattern.findall, chunks))
         new = list(set().union(*pieces))
         ids = dict(zip(new, self.machine.encode_words([p.encode("utf-8", "surrogatepass") for p in new])))
         return [b"".join(map(ids.__getitem__, x)) for x in pieces]
 
-    def _chunks(self, text: str) -> list[str]:
+    def _names(self, text: str) -> list[str]:
+        """The text's words as the memory names them."""
         if not text:
             return []
-        head, *rest = text.split(" ")
-        if rest and all(rest) and not re.search(r"\s |(?<= )\s|\s$", text) and head and not head[-1].isspace():
-            return [head, *[" " + c for c in rest]]
-        head, *rest = _CUT.split(text)
-        return [head, *[" " + c for c in rest]]
+        if not _plain_gaps(text):
+            head, *rest = _CUT.split(text)
+            return ["\0" + head, *["\0 " + c for c in rest]]
+        words = text.replace("\n", " \n").split(" ")
+        words[0] = "\0" + words[0]
+        return words
+
+    def encode_flat(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the texts, one after another, and how many each has."""
+        parts, counts = [np.zeros(0, "<u4")], np.zeros(len(texts), np.int64)
+        for a, b in _blocks(texts):
+            names: list[str] = []
+            of: list[int] = []
+            for i in range(a, b):
+                if self.special is not None and any(t in texts[i] for t in self.added):
+                    own = [n for p in self.special.split(texts[i]) for n in (["\1" + p] if p in self.added else self._names(p))]
+                else:
+                    own = self._names(texts[i])
+                names += own
+                of.append(len(own))
+            ids, sizes = self.memory.look_up(names)
+            ends = np.r_[0, np.cumsum(sizes)][np.cumsum(of)]
+            counts[a:b] = np.diff(np.r_[0, ends])
+            parts.append(ids)
+        return np.concatenate(parts), counts
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        out: list[bytes] = []
-        for a in range(0, len(texts), 512):
-            block = texts[a: a + 512]
-            if self.special is not None and any(t in x for x in block for t in self.added):
-                parts = [self.special.split(x) for x in block]
-                flat = self.memory.look_up([[] if p in self.added else self._chunks(p) for x in parts for p in x])
-                at = iter(flat)
-                out += [b"".join(np.uint32(self.added[p]).tobytes() + next(at) if p in self.added else next(at) for p in x) for x in parts]
-            else:
-                out += self.memory.look_up([self._chunks(x) for x in block])
-        return out
+        return cut(*self.encode_flat(texts))
 
 
 @functools.lru_cache(maxsize=4)
@@ -326,8 +493,24 @@ def byte_encoder(path: str) -> ByteEncoder:
 
 
 def id_lists(ids: list[bytes]) -> pa.Array:
-    offsets = np.concatenate([[0], np.cumsum(np.fromiter(map(len, ids), np.int64, len(ids)) // 4)])
-    return pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(np.frombuffer(b"".join(ids), "<i4")))
+    return flat_lists(np.frombuffer(b"".join(ids), "<i4"), np.fromiter(map(len, ids), np.int64, len(ids)) // 4)
+
+
+def flat_lists(ids: np.ndarray, counts: np.ndarray) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(counts)].astype(np.int32)), pa.array(ids.view("<i4")))
+
+
+def portions(batch: pa.RecordBatch, column: int, most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+    """Slices of a batch in which the lists or texts of a column take about `most` bytes; one row at least."""
+    values = batch.column(column)
+    width = 4 if pa.types.is_list(values.type) else 1
+    sizes = pc.fill_null(pc.list_value_length(values) if width == 4 else pc.binary_length(values), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    ends = np.cumsum(sizes * width)
+    a = 0
+    while a < batch.num_rows:
+        b = max(a + 1, int(np.searchsorted(ends, (ends[a - 1] if a else 0) + most, "right")))
+        yield batch.slice(a, b - a)
+        a = b
 
 
 def encode(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -338,10 +521,9 @@ def encode(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text")
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = byte_encoder(path)
         for b in batches:
-            for a in range(0, b.num_rows, 512):
-                part = b.slice(a, 512)
-                ids = coder.encode(["" if t is None else t for t in part.column(1).to_pylist()])
-                yield pa.RecordBatch.from_arrays([part.column(0), id_lists(ids)], names=["key", "ids"])
+            for part in portions(b, 1):
+                ids = coder.encode_flat(["" if t is None else t for t in part.column(1).to_pylist()])
+                yield pa.RecordBatch.from_arrays([part.column(0), flat_lists(*ids)], names=["key", "ids"])
 
     return docs.select(F.col(key).alias("key"), F.col(text).alias("text")).mapInArrow(run, f"key {kind}, ids array<int>").withColumnRenamed("key", key)
 
@@ -358,11 +540,7 @@ def arc_labels(path: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 def emit_labels(path: str, ids: np.ndarray) -> np.ndarray:
     """The labels of a path's arcs, one after another."""
     buffer, start, size = arc_labels(path)
-    sizes = size[ids]
-    ends = np.cumsum(sizes)
-    source = np.repeat(start[ids] - (ends - sizes), sizes)
-    source += np.arange(len(source))
-    return buffer[source]
+    return gather(buffer, start[ids], size[ids])
 
 
 def decode(encoded: DataFrame, path: str, key: str = "doc_id", ids: str = "ids") -> DataFrame:
@@ -371,8 +549,7 @@ def decode(encoded: DataFrame, path: str, key: str = "doc_id", ids: str = "ids")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for a in range(0, b.num_rows, 256):
-                part = b.slice(a, 256)
+            for part in portions(b, b.schema.get_field_index(ids), 2 << 20):
                 lists = part.column(part.schema.get_field_index(ids))
                 counts = np.asarray(lists.value_lengths().fill_null(0))
                 flat = np.asarray(lists.flatten()).astype(np.int64)
@@ -387,8 +564,8 @@ def decode(encoded: DataFrame, path: str, key: str = "doc_id", ids: str = "ids")
 
 
 # Characters whose composed form, lower case and class do not depend on a tokenizer's tables: printable ASCII and Latin letters.
-_PLAIN = re.compile(r"[!-~À-ÖØ-öø-ĮıĲ-ɏ]+").fullmatch
-_SEPARATORS = re.compile(r"[\x1c-\x1f]")
+_PLAIN = re.compile(r"[!-~À-ÖØ-öø-ĮıĲ-ɏ]").fullmatch
+_SEPARATORS = "\x1c\x1d\x1e\x1f"
 
 
 class WordEncoder:
@@ -409,31 +586,33 @@ class WordEncoder:
         self.machine, self.library = automaton(path), Tokenizer.from_file(path)
         self.library.no_padding()
         self.library.no_truncation()
-        # fixed value: the pattern of this vocabulary's pieces
-        self.pattern = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
-        self.pieces: dict[str, bytes] = {}
-        self.memory = Memory(self._learn, 180_000)
+        # pieces of this vocabulary: short forms after an apostrophe, letters, single numbers, other signs
+        test = lambda p: lambda c: regex.fullmatch(p, c) is not None
+        self.kinds = _kinds(test(r"\p{L}"), test(r"\p{N}"), test(r"\s"), 0x250, lambda c: c in "'<" or not _PLAIN(c) or ord(c.lower()) >= 0x800)
+        self.lower = np.array([ord(chr(i).lower()) if self.kinds[i] else i for i in range(0x250)], np.uint32)
+        self.memory = Memory(self._learn)
 
     def _public(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.library.encode_batch(texts, add_special_tokens=False)]
 
-    def _learn(self, words: list[str]) -> list[bytes]:
-        split = {w: self.pattern.findall(w.lower()) for w in words if _PLAIN(w) and "<|" not in w}
-        if len(self.pieces) > self.memory.limit // 2:
-            self.pieces.clear()
-        new = list({p for x in split.values() for p in x}.difference(self.pieces))
-        self.pieces.update(zip(new, self.machine.encode_words([p.encode() for p in new])))
-        ids = {w: b"".join(map(self.pieces.__getitem__, x)) for w, x in split.items()}
-        rest = [w for w in words if w not in ids]
-        ids.update(zip(rest, self._public(rest)))
-        return [ids[w] for w in words]
+    def _learn(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        plain = _Points(words, self.kinds, self.lower, True)
+        text, n = plain.utf8()
+        begins = np.flatnonzero(plain.begins)
+        first = (np.cumsum(n) - n)[begins]
+        ids, counts = self.machine.encode_flat(text, first, np.diff(np.r_[first, len(text)]))
+        per_word = np.bincount(plain.word[begins], counts, len(words)).astype(np.int64)[~plain.odd]
+        return _merge(len(words), plain.odd, (ids, per_word), self._public([words[i] for i in np.flatnonzero(plain.odd)]))
 
     def encode(self, texts: list[str]) -> list[bytes]:
         out: list[bytes] = []
-        for a in range(0, len(texts), 512):
-            block = texts[a: a + 512]
-            found = self.memory.look_up([[] if _SEPARATORS.search(t) else t.split() for t in block])
-            out += [self._public([t])[0] if _SEPARATORS.search(t) else ids for t, ids in zip(block, found)]
+        for a, b in _blocks(texts):
+            odd = [any(c in t for c in _SEPARATORS) for t in texts[a:b]]
+            words = [[] if x else t.split() for x, t in zip(odd, texts[a:b])]
+            ids, sizes = self.memory.look_up(list(itertools.chain.from_iterable(words)))
+            ends = np.r_[0, np.cumsum(sizes)][np.cumsum([len(own) for own in words])]
+            found = cut(ids, np.diff(np.r_[0, ends]))
+            out += [self._public([t])[0] if x else ids for x, t, ids in zip(odd, texts[a:b], found)]
         return out
 
 

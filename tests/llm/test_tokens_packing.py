@@ -1,5 +1,6 @@
 """Encoders against the public tokenizers; packing covers every id once."""
 
+import random
 import zlib
 from collections import defaultdict
 
@@ -31,10 +32,24 @@ def test_word_encoding(plain):
 
 
 def test_word_memory_forgets():
-    memory = tokens.Memory(lambda words: [w.encode() for w in words], 5)
+    memory = tokens.Memory(lambda words: (np.array([ord(c) for w in words for c in w], "<u4"), np.array([len(w) for w in words])), 5)
     for i in range(20):
-        assert memory.look_up([[str(i), "a", str(i + 1)], []]) == [f"{i}a{i + 1}".encode(), b""]
-        assert len(memory.known) <= 6
+        ids, counts = memory.look_up([str(i), "a", str(i + 1), "a"])
+        assert bytes(ids.tolist()) == f"{i}a{i + 1}a".encode() and counts.tolist() == [len(str(i)), 1, len(str(i + 1)), 1]
+        assert len(memory.known) <= 5 + 3
+    assert memory.look_up([])[0].tolist() == []
+
+
+def test_flat_encoders_equal_the_public_tokenizers():
+    """Line breaks, double blanks, control characters, apostrophes, numbers, signs, scripts, added tokens and long words."""
+    rnd = random.Random(11)
+    parts = ["it's", "'re", "x'll've", "42", "Über", "Ⱥbc", "été,", "日本", "🙂!", "--", "a.b", "<|endoftext|>", "x" * 40, "Σας", "12½", "ª", "ͅ", "n\u0303"]
+    gaps = [" ", " ", " ", "\n", "  ", "\n ", " \n", "\t", "\u00a0", "", "\x1c", "\0", "\1", "\r\n", "\n\n"]
+    texts = ["".join(rnd.choice(parts) + rnd.choice(gaps[: rnd.choice((4, len(gaps)))]) for _ in range(rnd.randrange(30))) for _ in range(400)]
+    for path, coder in ((BYTES, tokens.byte_encoder(BYTES)), (WORDS, tokens.word_encoder(WORDS))):
+        public = tokenizers.Tokenizer.from_file(path)
+        for text, ids in zip(texts, coder.encode(texts)):
+            assert np.frombuffer(ids, "<u4").tolist() == public.encode(text, add_special_tokens=False).ids, repr(text)
 
 
 def test_damaged_pairs_never_form():
