@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from goldmeter.llm import dedup, language, licences, lm, media, nearest, packing, quality, sharding, tokens
+from goldmeter.llm import dedup, language, licences, lm, media, nearest, packing, quality, repeats, sharding, tokens
 from goldmeter.llm.common import remainder, shared_folder, table, vocabulary
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -125,3 +125,29 @@ def op10(spark, d):
     """All documents in 16 shards by `key`, and where each goes when a 17th is added."""
     first = sharding.first_map(spark, 16)
     return sharding.assign(table(spark, d, "documents"), first, sharding.grow(first, 16)).withColumn("law", F.lit("key"))
+
+
+_WORDS = "regexp_extract_all({}, '[^\\\\x20\\\\x09-\\\\x0D]+', 0)"
+
+
+def with_repeats(docs: DataFrame) -> DataFrame:
+    """Texts of ids whose crc32 is divisible by 10 get a repeated end: from word a on, the p words from a again and again."""
+    h = F.crc32(F.col("doc_id").cast("string"))
+    docs = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), h.alias("h"), F.floor(h / 10).alias("g"))
+    words = docs.withColumn("w", F.when(F.col("h") % 10 == 0, F.expr(_WORDS.format("text"))))
+    n = F.size("w")
+    words = words.withColumn("n", n).withColumn("a", F.when(n > 0, F.col("g") % n)).withColumn("p", 1 + F.floor((F.col("n") - F.col("a")) / (3 + F.col("g") % 8)))
+    repeated = F.expr("array_join(transform(w, (x, i) -> if(i < a, x, w[int(a + (i - a) % p)])), ' ')")
+    return words.select("doc_id", F.when(F.col("n") > 0, repeated).otherwise(F.col("text")).alias("text"))
+
+
+@query("op13_basic_factors")
+def op13(spark, d):
+    """Runs of every text's words, the longest run, and the text without what runs repeat."""
+    found = repeats.find_runs(with_repeats(table(spark, d, "documents")))
+    listed = F.expr("array_join(transform(runs, r -> concat(r.start, ',', r.length, ',', r.period, '\n')), '')")
+    best = F.expr("array_min(transform(runs, r -> struct(-r.length AS n, r.start AS start, r.period AS period)))")
+    length = -F.col("best.n")
+    return found.withColumn("best", best).select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), F.col("best.start").alias("start"), length.alias("length"), F.col("best.period").alias("period"),
+        F.floor(1000 * length / F.col("best.period")).alias("exponent_milli"), F.sha2(listed, 256).alias("runs_sha256"), F.sha2(F.col("collapsed"), 256).alias("collapsed_sha256"))

@@ -65,3 +65,29 @@ def runs(texts: list[bytes], most: int = 1 << 20):
         size += len(t)
     if run:
         yield run
+
+
+def word_spans(block: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """All bytes of a block of texts, where words begin and end in them, and where each text's words begin (one entry more than
+    texts). A byte of white space follows every word."""
+    flat = np.frombuffer(b"\n" + b"\n".join(block) + b"\n", np.uint8)
+    space = _SPACE[flat]
+    begins = np.flatnonzero(space[:-1] & ~space[1:]) + 1
+    ends = np.flatnonzero(~space[:-1] & space[1:]) + 1
+    return flat, begins, ends, np.r_[0, np.searchsorted(begins, np.cumsum([len(x) + 1 for x in block]))]
+
+
+def span_hashes(flat: np.ndarray, begins: np.ndarray, ends: np.ndarray, most: int = 1 << 20) -> np.ndarray:
+    """Hashes of words as they stand (letters not lowered), about `most` bytes at a time."""
+    out = np.empty(len(begins), np.uint64)
+    a = 0
+    while a < len(begins):
+        lo = int(begins[a])
+        b = max(a + 1, int(np.searchsorted(ends, lo + most, "right")))
+        part = flat[lo: int(ends[b - 1])]
+        up, down = _tables(len(part))
+        sums = np.r_[np.uint64(0), np.cumsum(_TABLE[part] * up[: len(part)], dtype=np.uint64)]
+        first, last = begins[a:b] - lo, ends[a:b] - lo
+        out[a:b] = mix((sums[last] - sums[first]) * down[first] + (last - first).astype(np.uint64))
+        a = b
+    return out
