@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from goldmeter.llm import dedup, language, licences, lm, media, nearest, packing, quality, repeats, sharding, tokens
-from goldmeter.llm.common import remainder, shared_folder, table, vocabulary
+from goldmeter.llm import dedup, language, licences, lm, media, nearest, packing, quality, repeats, sharding, tokens, turns
+from goldmeter.llm.common import remainder, shared_folder, stored, table, vocabulary
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -151,3 +151,26 @@ def op13(spark, d):
     return found.withColumn("best", best).select(
         "doc_id", F.size("runs").cast("long").alias("n_runs"), F.col("best.start").alias("start"), length.alias("length"), F.col("best.period").alias("period"),
         F.floor(1000 * length / F.col("best.period")).alias("exponent_milli"), F.sha2(listed, 256).alias("runs_sha256"), F.sha2(F.col("collapsed"), 256).alias("collapsed_sha256"))
+
+
+def damaged(turns: DataFrame) -> DataFrame:
+    """Every twentieth row is dropped (`present` is false), emptied, bereft of sentence ends, doubled or given the role user."""
+    space = F.lit(" ")
+    own = turns.select("conv_id", "turn", F.coalesce("role", space).alias("role"), F.coalesce("text", space).alias("text"))
+    place = F.concat(F.coalesce(F.col("conv_id").cast("string"), space), F.lit(":"), F.coalesce(F.col("turn").cast("string"), space))
+    own = own.withColumn("k", F.crc32(place) % 20)
+    k = F.col("k")
+    text = F.when(k == 1, "").when(k == 2, F.regexp_replace("text", "[.!?]", "")).otherwise(F.col("text"))
+    copies = F.explode(F.when(k == 3, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))).alias("copy")
+    return own.select("conv_id", "turn", F.when(k == 4, "user").otherwise(F.col("role")).alias("role"), text.alias("text"), (k != 0).alias("present"), copies)
+
+
+@query("op11_branch_and_bound")
+def op11(spark, d):
+    """Faults of every conversation, its cheapest edits, and the digest of the conversation they give."""
+    rows = damaged(table(spark, d, "conversations"))
+    plans = stored(turns.plan_repairs(rows, present=F.col("present")), "plans")
+    digests = turns.text_digests(turns.repaired_turns(rows, plans, present=F.col("present")))
+    digests = digests.withColumnRenamed("conv_id", "of")
+    empty = F.sha2(F.lit(""), 256)
+    return plans.join(digests, F.col("conv_id").eqNullSafe(F.col("of")), "left").drop("of").withColumn("repaired_sha256", F.coalesce("repaired_sha256", empty))
