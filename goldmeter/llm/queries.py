@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from goldmeter.llm import dedup, language, licences, lm, media, nearest, packing, quality, repeats, sharding, tokens, turns
+from goldmeter.llm import dedup, idstore, language, licences, lm, media, nearest, packing, quality, repeats, sharding, tokens, turns
 from goldmeter.llm.common import remainder, shared_folder, stored, table, vocabulary
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -174,3 +174,13 @@ def op11(spark, d):
     digests = digests.withColumnRenamed("conv_id", "of")
     empty = F.sha2(F.lit(""), 256)
     return plans.join(digests, F.col("conv_id").eqNullSafe(F.col("of")), "left").drop("of").withColumn("repaired_sha256", F.coalesce("repaired_sha256", empty))
+
+
+@query("op12_perfect_hash_ids")
+def op12(spark, d):
+    """Every document's ids written to indexed shards and looked up there by its key."""
+    folder = shared_folder(spark, "ids")
+    places = stored(idstore.write_shards(table(spark, d, "documents"), folder, vocabulary("byte_bpe_50k.json")), "places")
+    shards = stored(idstore.catalogue(places, folder), "shards").select("number", "base")
+    found = idstore.read_documents(places, folder)
+    return found.join(shards, "number").select("doc_id", (F.col("base") + F.col("at")).alias("start"), "n_tokens", "ids_crc32")
