@@ -40,16 +40,25 @@ def without_trailing_commas(json_text: Column) -> Column:
 def is_json(text: Column) -> Column:
     """Is the whole text one JSON value other than null?
 
-    The text stands as first of two array elements, so trailing data and joined values change the length. Repeated keys and raw
-    line breaks in strings are accepted.
+    The text is read as the first of two array elements and as the value of an object's key. What may follow a value so that the
+    array still ends after two elements can't follow it in the object, so trailing data and joined values fail one of them.
+    Repeated keys and raw line breaks in strings are accepted.
     """
     one = F.json_array_length(F.concat(F.lit("["), text, F.lit(",0]"))) == 2
-    return F.coalesce(one & (strip(text) != "") & (strip(text) != "null"), F.lit(False))
+    valued = F.json_object_keys(F.concat(F.lit('{"k":'), text, F.lit("}"))).isNotNull()
+    return F.coalesce(one & valued & (strip(text) != "") & (strip(text) != "null"), F.lit(False))
+
+
+# a quoted string, or a stretch outside of strings
+_JSON_PARTS = r'"(?:[^"\\]|\\(?s:.))*+"|[^"]+|"'
 
 
 def nan_to_null(json_text: Column) -> Column:
-    """Bare NaN and infinities, which lenient JSON readers accept, as null."""
-    return F.regexp_replace(json_text, r"([:\[,]\s*)-?(?:NaN|Infinity)(?=\s*[,\]}])", "$1null")
+    """Bare NaN and infinities, which lenient JSON readers accept, as null; strings stay as they are."""
+    def part(p):
+        return F.when(p.startswith('"'), p).otherwise(F.regexp_replace(p, r"([:\[,]\s*)-?(?:NaN|Infinity)(?=\s*[,\]}])", "$1null"))
+
+    return F.array_join(F.transform(F.regexp_extract_all(json_text, F.lit(_JSON_PARTS), 0), part), "")
 
 
 def _readable(text: Column) -> Column:
