@@ -2,10 +2,10 @@
 
 A vector x becomes (x / R, sqrt(1 - |x|^2 / R^2)) with R the largest norm, a query q becomes (q / |q|, 0); nearness is then
 Euclidean. A table hashes by M functions floor((a.x + b) / w) with Gaussian a. A query visits buckets in order of estimated
-success: its neighbours' projections are normal around slope * (a.q) + extra * (last coordinate of a) with a spread, all three
+success, and at least as many as hold MET candidates: its neighbours' projections are normal around slope * (a.q) + extra * (last coordinate of a) with a spread, all three
 fitted on a bounded sample; extra is the neighbours' mean last coordinate, which no query has. So each bucket has a probability,
-and probing stops when the visited ones add up to the coverage that two tables need for the wanted recall. M grows with the
-logarithm of the table, so buckets keep their size.
+and probing stops when the visited ones add up to the coverage that two tables need for the wanted recall. M, at least 1, grows
+with the logarithm of the table, so buckets keep their size. Queries whose buckets hold too few candidates meet all of them.
 
 Equal vectors are one candidate that stands for its smallest ids. A bucket is compared in blocks of bounded size; a task keeps
 the best of each query over all its blocks before anything is shuffled. Scores are inner products of the original vectors in
@@ -29,13 +29,15 @@ from goldmeter.llm.common import partitions, stored
 TABLES = 2
 WIDTH = 1.5
 BUCKET = 1024
+MET = 2048
 BLOCK = 4096
 HELD = 200_000
 
 
 @dataclass
 class Hashes:
-    """directions [table, d + 1, M], offsets [table, M]; slope, spread and extra (mean last coordinate) of neighbours, given the query."""
+    """directions [table, d + 1, M], offsets [table, M]; slope, spread and extra (mean last coordinate) of neighbours, given the
+    query; number of candidates, and centre and width [table, M] of their projections."""
 
     directions: np.ndarray
     offsets: np.ndarray
@@ -44,6 +46,9 @@ class Hashes:
     spread: float
     coverage: float
     extra: float = 0.0
+    number: int = 0
+    centre: np.ndarray | None = None
+    width: np.ndarray | None = None
 
     def rows(self, x: np.ndarray) -> np.ndarray:
         x = x / self.radius
@@ -57,12 +62,13 @@ class Hashes:
         return bucket_key(slots)
 
     def probes(self, q: np.ndarray, table: int) -> list[np.ndarray]:
-        """Bucket keys of each query, likeliest first, until their probabilities reach the coverage."""
+        """Bucket keys of each query, likeliest first, until their probabilities reach the coverage and they hold MET candidates (or
+        all there are) by the candidates' distribution."""
         at = self.queries(q) @ self.directions[table]
         shift = self.extra * self.directions[table][-1] + self.offsets[table]
-        return [self._visit(self.slope * p + shift) for p in at]
+        return [self._visit(self.slope * p + shift, table) for p in at]
 
-    def _visit(self, centre: np.ndarray) -> np.ndarray:
+    def _visit(self, centre: np.ndarray, table: int = 0) -> np.ndarray:
         m = len(centre)
         reach = int(np.ceil(5 * self.spread / WIDTH)) + 1
         home = np.floor(centre / WIDTH).astype(np.int64)
@@ -71,14 +77,19 @@ class Hashes:
         p = _normal(edge + WIDTH / self.spread) - _normal(edge)
         order = np.argsort(-p, axis=1)
         p, slots = np.take_along_axis(p, order, 1), np.take_along_axis(slots, order, 1)
-        out, got, seen = [], 0.0, {(0,) * m}
+        if self.number:
+            low = (slots * WIDTH - self.centre[table][:, None]) / self.width[table][:, None]
+            share = _normal(low + WIDTH / self.width[table][:, None]) - _normal(low)
+        out, got, met, seen = [], 0.0, 0.0 if self.number else MET, {(0,) * m}
         heap = [(-float(p[:, 0].prod()), (0,) * m)]
-        while heap and got < self.coverage:
+        while heap and (got < self.coverage or met < MET):
             chance, ranks = heapq.heappop(heap)
             if chance > -1e-300:
                 break
-            out.append(slots[np.arange(m), list(ranks)] if m else np.zeros(0, np.int64))
+            out.append(slots[np.arange(m), list(ranks)])
             got -= chance
+            if self.number:
+                met += self.number * float(share[np.arange(m), list(ranks)].prod())
             for i in range(m):
                 if ranks[i] + 1 < slots.shape[1]:
                     step = (*ranks[:i], ranks[i] + 1, *ranks[i + 1:])
@@ -131,7 +142,7 @@ def fit(candidates: DataFrame, neighbours: int, recall: float, sample: int = 400
     rows = candidates.orderBy(F.xxhash64("rep"), "rep").limit(sample).select("v").collect()
     x = np.array([r["v"] for r in rows], np.float64)
     d = x.shape[1] if len(x) else 1
-    m = max(0, round(np.log2(max(1, n) / BUCKET) / 2))
+    m = max(1, round(np.log2(max(1, n) / BUCKET) / 2))
     random = np.random.default_rng(3)
     made = Hashes(random.normal(size=(TABLES, d + 1, m)), random.uniform(0, WIDTH, (TABLES, m)), float(radius or 1.0), 0.5, 0.9, 1 - (1 - recall) ** (1 / TABLES))
     if len(x) > 2:
@@ -146,6 +157,8 @@ def fit(candidates: DataFrame, neighbours: int, recall: float, sample: int = 400
         rest[:, :, -1] -= made.extra
         length = np.linalg.norm(rest, axis=2)
         made.spread = float(max(0.05, np.sqrt(np.mean(length**2))))
+        at = [b @ made.directions[t] + made.offsets[t] for t in range(TABLES)]
+        made.number, made.centre, made.width = n, np.array([y.mean(axis=0) for y in at]), np.array([np.maximum(0.05, y.std(axis=0)) for y in at])
     return made
 
 
@@ -266,10 +279,16 @@ def search(vectors: DataFrame, is_query, key: str = "vec_id", vector: str = "emb
     rows = stored(usable(vectors, key, vector), "vectors")
     most = neighbours + 1
     own = stored(groups(rows, most), "vector-groups")
+    n = own.count()
     hashes = fit(own, neighbours, recall)
     asks = stored(rows.filter(is_query).join(own.select("v", "rep"), "v").select(F.col("id").alias("query_id"), F.col("rep").alias("q")), "vector-queries")
     asked = own.join(asks.select(F.col("q").alias("rep")).distinct(), "rep", "left_semi")
-    found = compare(_hashed(own, hashes, False), _hashed(asked, hashes, True), most)
+    found = stored(compare(_hashed(own, hashes, False), _hashed(asked, hashes, True), most), "vector-best")
+    enough = found.groupBy("q").agg(F.count_distinct("rep").alias("n")).filter(F.col("n") >= min(most, n)).select(F.col("q").alias("rep"))
+    few = stored(asked.join(enough, "rep", "left_anti").select("rep", "v"), "vector-few")
+    if not few.isEmpty():
+        whole = [F.lit(-1).alias("table"), F.lit(0).cast("long").alias("key"), "rep", "v"]
+        found = found.unionByName(compare(own.select(*whole), few.select(*whole), most))
     by_score = Window.partitionBy("q").orderBy(F.desc("score"), "rep")
     found = found.groupBy("q", "rep").agg(F.max("score").alias("score")).withColumn("r", F.row_number().over(by_score)).filter(F.col("r") <= most)
     ids = found.join(own.select("rep", "ids"), "rep").select("q", "score", F.explode("ids").alias("vec_id"))
