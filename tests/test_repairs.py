@@ -61,3 +61,10 @@ def test_compaction(spark, tmp_path):
     assert run_log.compact(spark, path) > 0 and run_log.compact(spark, path) == 0
     assert sorted((r["k"], r["o"]) for r in run_log.read_table(spark, path).collect()) == before
     assert before == [(0, 0), (1, 11), (2, 22), (3, 23), (4, 24), (5, 25), (6, 26)]
+
+
+def test_nothing_may_follow_a_value(spark):
+    bad = ['{"a":1}, 5] x {"b":2}', '{"a":1}} x {', '{"a":1}, "b":2, {"c":3}', '{"a":1} // {"b":2}']
+    assert [x for x in parse(spark, bad)] == [(None, False, True, False)] * 4
+    text = '{"t":"a: NaN, b \\\\" [NaN]","x":NaN,"y":[-Infinity,1]}'
+    assert parse(spark, [text]) == [('{"t":"a: NaN, b \\\\" [NaN]","x":null,"y":[null,1]}', True, False, False)]

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from goldmeter.functions.text import norm_text
+from goldmeter.operators import contract as CT
 from goldmeter.operators import costs as CO
 from goldmeter.operators import grounding as G
 from goldmeter.operators import matching as M
@@ -15,7 +16,7 @@ from goldmeter.operators import selection as SEL
 from goldmeter.operators import statistics as ST
 from goldmeter.sources.schemas import EVENT
 from verify import clinic as C
-from verify.base import norm_text_sql, pick_sql, query
+from verify.base import lit_sql, norm_text_sql, pick_sql, query
 
 # ---- flattening -------------------------------------------------------------------------
 
@@ -110,6 +111,45 @@ def contract_recode(spark, d):
 
 
 
+# payload shapes of order {k} with medication {m}, and what each means: pipeline, name, dose, missingness, quotes, eeg status and result,
+# diagnosis, event ids, event values, event quotes, input tokens
+_T = '"missingness": "present", "temporality": "recent", "evidence_event_ids": []'
+RAW_SHAPES = [
+    ('{"fields": {"current_anti_seizure_medications": [{"name": "{m}", "dose": {k}, %s, "evidence": {"text": "says {m}"}}]}}' % _T, ("P", "{m}", "{k}", "present", "says {m}", None, None, None, None, None, None, "0")),
+    ('{"pipeline_id": "own", "fields": {"current_anti_seizure_medications": [{"name": "{m}", %s, "evidence": [{"quote": "a"}, {"quote": "b{k}"}]}]}, "metadata": {"input_tokens": {k}}}' % _T, ("own", "{m}", None, "present", "a|b{k}", None, None, None, None, None, None, "{k}")),
+    ('{"document_id": "", "fields": {"current_anti_seizure_medications": [{"name": "{m}", %s, "evidence": []}]}, "metadata": {"input_tokens": null}}' % _T, ("P", "{m}", None, "uncertain", "", None, None, None, None, None, None, "0")),
+    ('{"fields": {"current_anti_seizure_medications": [{"name": "{m}", %s}]}}' % _T, ("P", "{m}", None, "present", None, None, None, None, None, None, None, "0")),
+    ('{"fields": {}, "eeg": {"status": "planned", "result": "negative", %s, "evidence": [{"quote": "q"}]}, "epilepsy_diagnosis": {"value": "dx {k}"}}' % _T, ("P", None, None, None, None, "requested", "normal", "dx {k}", None, None, None, "0")),
+    ('{"fields": {"eeg": {"status": "planned", "result": "abnormal"}}, "eeg": {"status": "completed"}}', ("P", None, None, None, None, "planned", "abnormal", None, None, None, None, "0")),
+    ('{"events": [{"id": "e{k}", "category": "medication", "value": {"medication_name": "{m}", "dose": {k}}}, {"id": "e{k}", "category": "x", "value": {"z": 1, "b": "{m}"}}]}', ("P", None, "{k}", None, None, None, None, None, "e{k}|e{k}_2", '{m}|{"b":"{m}","z":1}', "", "0")),
+    ('{"events": [{"id": "a", "category": "x", "result": "negative", "evidence": [{"text": "one {k}"}, {"quote": "two"}]}, {"id": "b", "category": "x", "medication_name": "{m}", "evidence": {"text": "three"}}]}', ("P", None, None, None, None, None, None, None, "a|b", "normal|{m}", "one {k}|three", "0")),
+    ('{"events": [{"id": "c", "value": {k}}, {"id": "c", "value": "{m}"}, {"id": "c", "value": null}]}', ("P", None, None, None, None, None, None, None, "c|c_2|c_3", "{k}|{m}", "", "0")),
+    ('[{"fields": {"eeg": {"status": "{k}"}}}]', (None,) * 12),
+    ('{"fields": {"eeg": {"status": "{k}"}}', (None,) * 12),
+]
+RAW_COLUMNS = ["pipeline_id", "name", "dose", "missingness", "quotes", "eeg_status", "eeg_result", "diagnosis", "event_ids", "event_values", "event_quotes", "input_tokens"]
+
+
+def _meant(column: int) -> str:
+    cases = " ".join(f"WHEN {i} THEN {lit_sql(means[column])}" for i, (_, means) in enumerate(RAW_SHAPES))
+    return f"replace(replace(CASE k % {len(RAW_SHAPES)} {cases} END, '{{k}}', CAST(k AS VARCHAR)), '{{m}}', m1) AS {RAW_COLUMNS[column]}"
+
+
+@query("contract_recode_raw", f"WITH {C.BASE} SELECT document_id, k % {len(RAW_SHAPES)} < {len(RAW_SHAPES) - 2} AS read, {', '.join(_meant(i) for i in range(len(RAW_COLUMNS)))} FROM bl")
+def contract_recode_raw(spark, d):
+    payload = F.element_at(F.array(*[F.lit(p) for p, _ in RAW_SHAPES]), (F.col("k") % len(RAW_SHAPES) + 1).cast("int"))
+    payload = F.replace(F.replace(payload, F.lit("{k}"), F.col("k").cast("string")), F.lit("{m}"), F.col("m1"))
+    out = C.base(spark, d).select("document_id", CT.recode_tree(payload, F.col("document_id"), F.lit("P")).alias("r"))
+    f, ev = F.col("r.fields"), F.col("r.events")
+    med = F.get(f["current_anti_seizure_medications"], F.lit(0))
+    joined = lambda x, g: F.array_join(F.transform(x, g), "|")
+    return out.select(
+        "document_id", F.col("r").isNotNull().alias("read"), F.col("r.pipeline_id").alias("pipeline_id"), med["name"].alias("name"), F.coalesce(med["dose"], F.get(ev, F.lit(0))["dose"]).alias("dose"),
+        med["missingness"].alias("missingness"), joined(med["evidence"], lambda e: e["quote"]).alias("quotes"), f["eeg"]["status"].alias("eeg_status"), f["eeg"]["result"].alias("eeg_result"),
+        f["epilepsy_diagnosis"]["value"].alias("diagnosis"), joined(ev, lambda e: e["id"]).alias("event_ids"), joined(ev, lambda e: e["value"]).alias("event_values"),
+        joined(ev, lambda e: e["evidence"]["quote"]).alias("event_quotes"), F.col("r.metadata.input_tokens").cast("bigint").cast("string").alias("input_tokens"))
+
+
 @query("frequency_sidecar", f"""WITH {C.SYS}, lb AS (SELECT document_id, CASE k % 4 WHEN 0 THEN 'No Seizure-Frequency  reference' WHEN 1 THEN ' 2-3 per Month ' ELSE 'unknown' END AS label FROM bs WHERE k % 4 <> 3)
 SELECT sy.system, sy.document_id, CASE WHEN k % 4 IN (0, 3) THEN NULL WHEN k % 4 = 1 THEN '2 3 per month' ELSE 'unknown' END AS value, CASE WHEN k % 4 IN (0, 3) THEN 'not_stated' ELSE 'present' END AS missingness,
  CASE WHEN fq <> '' THEN ty ELSE ty END AS seizure_type, CASE WHEN k % 4 IN (0, 3) THEN 0 ELSE 1 END AS evidence FROM sy LEFT JOIN lb USING (document_id)""")
