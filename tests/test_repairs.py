@@ -66,5 +66,5 @@ def test_compaction(spark, tmp_path):
 def test_nothing_may_follow_a_value(spark):
     bad = ['{"a":1}, 5] x {"b":2}', '{"a":1}} x {', '{"a":1}, "b":2, {"c":3}', '{"a":1} // {"b":2}']
     assert [x for x in parse(spark, bad)] == [(None, False, True, False)] * 4
-    text = '{"t":"a: NaN, b \\\\" [NaN]","x":NaN,"y":[-Infinity,1]}'
-    assert parse(spark, [text]) == [('{"t":"a: NaN, b \\\\" [NaN]","x":null,"y":[null,1]}', True, False, False)]
+    text = '{"t":"a: NaN, b \\" [NaN]","x":NaN,"y":[-Infinity,1]}'
+    assert parse(spark, [text]) == [('{"t":"a: NaN, b \\" [NaN]","x":null,"y":[null,1]}', True, False, False)]
