@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from goldmeter.operators import intervals as I
 from goldmeter.operators import matching as M
+from goldmeter.operators import segments as SG
 from goldmeter.operators import selection as SEL
 from goldmeter.operators import statistics as ST
 from goldmeter.sources.runs import union_runs
@@ -215,6 +216,19 @@ def text_segments(spark, d):
     return I.segments(texts, spans)
 
 
+@query("segment_labels", f"""WITH {SEG}, sl AS (SELECT ann.d, s, e, label, 'T' || n AS id, rf = 'R' AS gold FROM ann JOIN tx USING (d) WHERE e <= len),
+c AS (SELECT sg.d, a, b, list(label) FILTER (gold) AS gl, list(id) FILTER (gold) AS gi, list(label) FILTER (NOT gold) AS pl, list(id) FILTER (NOT gold) AS pi FROM sg LEFT JOIN sl ON sl.d = sg.d AND sl.s <= a AND sl.e >= b WHERE b IS NOT NULL GROUP BY 1, 2, 3)
+SELECT d AS document_id, a AS start, b AS "end", {', '.join(f"coalesce(array_to_string(list_sort({x}), '|'), '') AS {n}" for x, n in (("list_distinct(gl)", "gold_labels"), ("gi", "gold_ids"), ("list_distinct(pl)", "pred_labels"), ("pi", "pred_ids")))},
+ CASE WHEN gi IS NOT NULL AND pi IS NOT NULL THEN 'both' WHEN gi IS NOT NULL THEN 'gold' WHEN pi IS NOT NULL THEN 'pred' ELSE 'plain' END AS kind FROM c""")
+def segment_labels(spark, d):
+    texts = table(spark, d, "orders").select(F.col("o_orderkey").alias("document_id"), F.lit(160).alias("length"))
+    side = F.when(F.col("l_returnflag") == "R", "gold").otherwise("pred")
+    spans = annotations(spark, d).select("document_id", F.col("char_start").alias("start"), F.col("char_end").alias("end"), "label", F.col("ann_id").alias("span_id"), side.alias("side"))
+    out = SG.covered_segments(texts, spans, 64)
+    joined = [F.array_join(c, "|").alias(c) for c in ("gold_labels", "gold_ids", "pred_labels", "pred_ids")]
+    return out.select("document_id", "start", "end", *joined, "kind")
+
+
 def span_sides(spark, d):
     a = annotations(spark, d).withColumnRenamed("char_start", "start").withColumnRenamed("char_end", "end").withColumn("ord", F.col("line_no"))
     return a.filter("l_returnflag <> 'R'"), a.filter("l_returnflag = 'R'")
