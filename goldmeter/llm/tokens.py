@@ -416,7 +416,7 @@ class ByteEncoder:
     added token. Words of letters, numbers and signs are cut into pieces by their characters' classes, all others by the pattern.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, words: int = 450_000):
         self.path, self.machine, self.pattern = path, automaton(path), _split_pattern()
         self.added = added_tokens(path)
         self.special = re.compile("(" + "|".join(map(re.escape, sorted(self.added, key=len, reverse=True))) + ")") if self.added else None
@@ -424,7 +424,7 @@ class ByteEncoder:
 
         test = lambda p: lambda c: regex.fullmatch(p, c) is not None
         self.kinds = _kinds(test(r"\p{L}"), test(r"\p{N}"), test(r"\s"), 0x800, lambda c: c == "'" or c.isspace() or not c.isprintable())
-        self.memory = Memory(self._learn)
+        self.memory = Memory(self._learn, words)
 
     def _learn(self, names: list[str]) -> tuple[np.ndarray, np.ndarray]:
         plain = _Points(names, self.kinds, None, False)
@@ -488,8 +488,9 @@ class ByteEncoder:
 
 
 @functools.lru_cache(maxsize=4)
-def byte_encoder(path: str) -> ByteEncoder:
-    return ByteEncoder(path)
+def byte_encoder(path: str, words: int = 450_000) -> ByteEncoder:
+    """Made once per Python worker; `words` is how many words it keeps the ids of."""
+    return ByteEncoder(path, words)
 
 
 def id_lists(ids: list[bytes]) -> pa.Array:
@@ -519,7 +520,7 @@ def encode(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text")
     kind = docs.schema[key].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = byte_encoder(path)
+        coder = byte_encoder(path, 200_000)
         for b in batches:
             for part in portions(b, 1):
                 ids = coder.encode_flat(["" if t is None else t for t in part.column(1).to_pylist()])
