@@ -7,6 +7,8 @@ copies are collapsed before pairing and carried as weights.
 
 from __future__ import annotations
 
+from functools import reduce
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -15,6 +17,7 @@ from pyspark.sql import functions as F
 from goldmeter.functions.spans import attribute_agreement, iou, overlap_chars, overlap_fraction
 from goldmeter.functions.vocabulary import NUMERIC_ATTRIBUTES
 from goldmeter.operators.matching import f1_of
+from goldmeter.session import ensure_checkpoint_dir
 
 CELL = 256
 
@@ -283,22 +286,83 @@ def _greedy_stream(batches):
             yield pd.DataFrame(last, columns=names)
 
 
-def greedy_span_match(user: DataFrame, gold: DataFrame) -> DataFrame:
-    """Greedy best-IoU pairs of user and gold spans of one label, at least 0.5, each gold once.
+def _streamed(mixed: DataFrame) -> DataFrame:
+    """Greedy pairs of clustered spans, one overlap cluster at a time."""
+    schema = f"document_id {mixed.schema['document_id'].dataType.simpleString()}, label string, user_id string, gold_id string, iou double"
+    placed = mixed.select("document_id", "label", "cluster", "side", "start", "end", "ann_id", "ord").repartition("document_id", "label", "cluster")
+    return placed.sortWithinPartitions("document_id", "label", "cluster", "side", "ord").mapInPandas(_greedy_stream, schema)
+
+
+def _mixed_clusters(spans: DataFrame) -> DataFrame:
+    """Spans numbered by overlap cluster, those of clusters of one side left out; `_n` is the cluster's size."""
+    group = W.partitionBy("document_id", "label", "cluster")
+    marked = span_clusters(spans, ["document_id", "label"]).withColumn("_n", F.count(F.lit(1)).over(group))
+    return marked.withColumn("_sides", F.max("side").over(group) != F.min("side").over(group)).filter("_sides").drop("_sides")
+
+
+def _match_in_rounds(spans: DataFrame, rest: int, rounds: int) -> tuple[DataFrame, DataFrame]:
+    """(greedy pairs, spans still open) after rounds of parallel matching.
 
-    Only overlap clusters holding both sides reach Python, one cluster at a time; a hot
-    document is cut into its clusters first.
+    Gold spans of one place are one class whose copies are given out in their order. In a round each open user span looks at its
+    best free class. Those of a class's neighbours that come first in user order and all want it take its next copies: no earlier
+    user span can take them away, and a better class can't become free again. A user span whose best classes tie waits until it
+    is the first at its class, since the tie is settled by the copies left then. The first open user span always finds its gold
+    span, so every round gets on. Rounds end when at most `rest` user spans are open, or after `rounds`.
+    """
+    key = ["document_id", "label"]
+    place = [*key, "r_start", "r_end"]
+    gold = spans.filter("side = 'gold'").select(*key, F.col("start").alias("r_start"), F.col("end").alias("r_end"), F.col("ann_id").alias("gold_id"), F.col("ord").alias("gold_ord"))
+    gold = gold.withColumn("no", F.row_number().over(W.partitionBy(*place).orderBy("gold_ord"))).checkpoint()
+    users = spans.filter("side = 'user'").select(*key, F.col("start").alias("l_start"), F.col("end").alias("l_end"), F.col("ann_id").alias("user_id"), F.col("ord").alias("user_ord"))
+    classes = gold.groupBy(*place).agg(F.count(F.lit(1)).alias("copies")).withColumn("taken", F.lit(0).cast("long")).checkpoint()
+    near = overlapping_pairs(users.select(*key, "l_start", "l_end").distinct(), classes.select(*place), key)
+    near = near.withColumn("iou", iou(F.col("l_start"), F.col("l_end"), F.col("r_start"), F.col("r_end"))).filter("iou >= 0.5")
+    live = users.join(near, [*key, "l_start", "l_end"]).drop("l_start", "l_end").checkpoint()
+    pairs: list[DataFrame] = []
+    for _ in range(rounds):
+        if live.select(*key, "user_id").distinct().count() <= rest:
+            break
+        heads = gold.select(*place, F.col("no").alias("_no"), F.col("gold_ord").alias("head"))
+        free = classes.filter("taken < copies").withColumn("_no", F.col("taken") + 1).join(heads, [*place, "_no"]).drop("_no")
+        own = W.partitionBy(*key, "user_id").orderBy(F.desc("iou"), "head")
+        first = W.partitionBy(*place).orderBy("user_ord", "user_id")
+        seen = live.join(free, place).withColumn("choice", F.row_number().over(own)).withColumn("tied", F.coalesce(F.lead("iou").over(own) == F.col("iou"), F.lit(False)))
+        seen = seen.withColumn("turn", F.row_number().over(first)).withColumn("wants", (F.col("choice") == 1) & ((F.col("turn") == 1) | ~F.col("tied")))
+        run = first.rowsBetween(W.unboundedPreceding, W.currentRow)
+        seen = seen.withColumn("takes", F.min(F.col("wants").cast("int")).over(run) == 1).withColumn("takes", F.col("takes") & (F.col("turn") <= F.col("copies") - F.col("taken")))
+        taken = seen.filter("takes").select(*place, "user_id", "iou", (F.col("taken") + F.col("turn")).alias("no"))
+        made = taken.join(gold, [*place, "no"]).select(*key, "user_id", "gold_id", "iou", "r_start", "r_end").checkpoint()
+        pairs.append(made.select(*key, "user_id", "gold_id", "iou"))
+        more = made.groupBy(*place).agg(F.count(F.lit(1)).alias("_more"))
+        classes = classes.join(more, place, "left").withColumn("taken", F.col("taken") + F.coalesce("_more", F.lit(0))).drop("_more").checkpoint()
+        live = live.join(made.select(*key, "user_id"), [*key, "user_id"], "left_anti").join(classes.filter("taken < copies").select(*place), place, "left_semi").checkpoint()
+    open_users = spans.filter("side = 'user'").join(live.select(*key, F.col("user_id").alias("ann_id")).distinct(), [*key, "ann_id"], "left_semi")
+    left = gold.join(classes, place).filter(F.col("no") > F.col("taken")).select(*key, F.col("gold_id").alias("ann_id"))
+    open_gold = spans.filter("side = 'gold'").join(left, [*key, "ann_id"], "left_semi")
+    done = reduce(DataFrame.unionByName, pairs) if pairs else None
+    still = open_users.unionByName(open_gold)
+    return done, still
+
+
+def greedy_span_match(user: DataFrame, gold: DataFrame, large: int = 20_000, rest: int = 2_000, rounds: int = 30) -> DataFrame:
+    """Greedy best-IoU pairs of user and gold spans of one label, at least 0.5, each gold once; ann_id is unique in its document,
+    label and side.
+
+    Overlap clusters that hold both sides are matched in Python, one cluster at a time. A cluster of more than `large` spans, such
+    as one long chain in a hot document, is first matched in parallel rounds (see `_match_in_rounds`); only what they leave open
+    is clustered anew and streamed. Both ways give the same pairs.
     """
     cols = ["document_id", "label", "ann_id", "start", "end", "ord"]
     both = user.select(*cols, F.lit("user").alias("side")).unionByName(gold.select(*cols, F.lit("gold").alias("side")))
-    marked = span_clusters(both, ["document_id", "label"])
-    group = W.partitionBy("document_id", "label", "cluster")
-    mixed = marked.withColumn("_sides", F.max("side").over(group) != F.min("side").over(group)).filter("_sides")
-    id_type = user.schema["document_id"].dataType.simpleString()
-    schema = f"document_id {id_type}, label string, user_id string, gold_id string, iou double"
-    placed = mixed.drop("_sides").repartition("document_id", "label", "cluster").sortWithinPartitions(
-        "document_id", "label", "cluster", "side", "ord")
-    return placed.mapInPandas(_greedy_stream, schema)
+    mixed = _mixed_clusters(both)
+    ensure_checkpoint_dir(user.sparkSession)
+    hot = mixed.filter(F.col("_n") > large).drop("_n", "cluster").checkpoint()
+    small = _streamed(mixed.filter(F.col("_n") <= large))
+    if hot.isEmpty():
+        return small
+    done, still = _match_in_rounds(hot, rest, rounds)
+    out = small.unionByName(_streamed(_mixed_clusters(still)))
+    return out if done is None else out.unionByName(done)
 
 
 def span_scores(user: DataFrame, gold: DataFrame, matches: DataFrame) -> DataFrame:

@@ -1,9 +1,10 @@
-"""Covered segments against a look at every position."""
+"""Covered segments against a look at every position; greedy matching in rounds against the plain rule."""
 
 import random
 
 import pytest
 
+from goldmeter.operators import intervals as I
 from goldmeter.operators.segments import covered_segments
 
 
@@ -68,3 +69,54 @@ def test_hot_document_is_many_groups(spark):
         g, p = g + gold[i], p + pred[i]
         if i in at:
             assert at[i][2:] == (g, p)
+
+
+def greedy(users, gold):
+    """Each user span in order takes the best free gold span of its document and label."""
+    taken, out = set(), set()
+    for doc, label, uid, s, e, _ in users:
+        best, who = 0.0, None
+        for i, (gdoc, glabel, gid, gs, ge, _) in enumerate(gold):
+            if (gdoc, glabel) == (doc, label) and i not in taken:
+                inter = max(0, min(e, ge) - max(s, gs))
+                score = inter / ((e - s) + (ge - gs) - inter)
+                if score > best:
+                    best, who = score, i
+        if who is not None and best >= 0.5:
+            taken.add(who)
+            out.add((doc, label, uid, gold[who][2]))
+    return out
+
+
+SPAN = "document_id string, label string, ann_id string, start int, end int, ord int"
+
+
+@pytest.mark.parametrize("rest,rounds", [(0, 30), (0, 2), (15, 30), (1000, 30)])
+def test_rounds_equal_the_plain_rule(spark, rest, rounds):
+    rnd = random.Random(rest + rounds)
+
+    def side(p, n):
+        return [(f"d{rnd.randrange(2)}", rnd.choice("XY"), f"{p}{i}", s, s + rnd.choice((4, 5, 5, 6, 9)), i) for i, s in ((i, rnd.randrange(60)) for i in range(n))]
+
+    users, gold = side("u", 160) + [("d0", "X", f"v{i}", 5, 10, 500 + i) for i in range(30)], side("g", 160) + [("d0", "X", f"h{i}", 5, 10, 500 + i) for i in range(20)]
+    got = I.greedy_span_match(spark.createDataFrame(users, SPAN), spark.createDataFrame(gold, SPAN), large=3, rest=rest, rounds=rounds).collect()
+    assert {(r.document_id, r.label, r.user_id, r.gold_id) for r in got} == greedy(users, gold) and len(got) == len(greedy(users, gold))
+
+
+def test_one_long_chain(spark):
+    """50,000 gold spans that touch one another, each user span shifted by one: one overlap cluster of 100,000 spans."""
+    n = 50_000
+    ids = spark.range(n)
+    from pyspark.sql import functions as F
+
+    def spans(p, shift):
+        return ids.select(F.lit("d").alias("document_id"), F.lit("X").alias("label"), F.concat(F.lit(p), F.col("id").cast("string")).alias("ann_id"),
+                          (F.col("id") * 10 + shift).cast("int").alias("start"), (F.col("id") * 10 + 10 + shift).cast("int").alias("end"), F.col("id").cast("int").alias("ord"))
+
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        out = I.greedy_span_match(spans("u", 1), spans("g", 0))
+        assert out.count() == n and out.filter(F.substring("user_id", 2, 9) != F.substring("gold_id", 2, 9)).count() == 0
+        assert sum(x > 0 for x in out.select("user_id").rdd.glom().map(len).collect()) > 1
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")

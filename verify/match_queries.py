@@ -249,6 +249,12 @@ def greedy_span_match(spark, d):
     return I.greedy_span_match(*span_sides(spark, d))
 
 
+@query("greedy_match_in_rounds", f"WITH {GREEDY} SELECT d AS document_id, label, 'T' || un AS user_id, 'T' || gn AS gold_id, iou FROM gm")
+def greedy_match_in_rounds(spark, d):
+    """The same pairs with every cluster matched in parallel rounds until no user span is open."""
+    return I.greedy_span_match(*span_sides(spark, d), large=1, rest=0)
+
+
 _F1 = "CASE WHEN {0} + {1} > 0 THEN 2 * {0} * {1} / ({0} + {1}) ELSE 0.0 END"
 
 
