@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from goldmeter.functions.spans import attribute_agreement, iou, overlap_chars, overlap_fraction
 from goldmeter.functions.vocabulary import NUMERIC_ATTRIBUTES
+from goldmeter.operators.containment import contained_either_way
 from goldmeter.operators.matching import f1_of
 from goldmeter.session import ensure_checkpoint_dir
 
@@ -45,7 +46,8 @@ def overlap_flags(evidence: DataFrame, gold_spans: DataFrame, keys: list[str]) -
     """Evidence rows with `overlaps_gold`.
 
     Evidence with offsets is tested by interval; evidence without by containment of the
-    normalised quote (columns char_start, char_end, quote_norm; gold start, end, value_norm).
+    normalised quote in the gold value or of the value in the quote, by a containment join on rare stretches (columns
+    char_start, char_end, quote_norm; gold start, end, value_norm).
     """
     placed = F.col("char_start").isNotNull() & F.col("char_end").isNotNull()
     probes = evidence.filter(placed).select(*keys, F.col("char_start").alias("l_start"), F.col("char_end").alias("l_end"))
@@ -53,11 +55,9 @@ def overlap_flags(evidence: DataFrame, gold_spans: DataFrame, keys: list[str]) -
     hit_places = overlapping_pairs(probes.distinct(), targets, keys).select(
         *keys, F.col("l_start").alias("char_start"), F.col("l_end").alias("char_end")
     ).distinct().withColumn("_p", F.lit(True))
-    quotes = evidence.filter(~placed & (F.col("quote_norm") != "")).select(*keys, "quote_norm").distinct()
-    values = gold_spans.select(*keys, "value_norm").distinct()
-    hit_quotes = quotes.join(values, keys).filter(
-        F.col("value_norm").contains(F.col("quote_norm")) | F.col("quote_norm").contains(F.col("value_norm"))
-    ).select(*keys, "quote_norm").distinct().withColumn("_q", F.lit(True))
+    quotes = evidence.filter(~placed).select(*keys, F.col("quote_norm").alias("text"))
+    values = gold_spans.select(*keys, F.col("value_norm").alias("other"))
+    hit_quotes = contained_either_way(quotes, values, keys).select(*keys, F.col("text").alias("quote_norm"), F.lit(True).alias("_q"))
     return (
         evidence.join(hit_places, [*keys, "char_start", "char_end"], "left").join(hit_quotes, [*keys, "quote_norm"], "left")
         .withColumn("overlaps_gold", F.when(placed, F.coalesce("_p", F.lit(False))).otherwise(F.coalesce("_q", F.lit(False))))
