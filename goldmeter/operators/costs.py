@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from goldmeter.functions.text import to_number
+from goldmeter.operators import quantiles
 from goldmeter.operators.selection import latest_rows
 from goldmeter.operators.statistics import mean_present
 
@@ -100,10 +103,12 @@ def call_summary(calls: DataFrame, by: list[str], quality: DataFrame | None = No
     out = calls.groupBy(*by).agg(
         F.count(F.lit(1)).alias("documents"), F.count_if(~failed).alias("successful_calls"), F.count_if(F.col("parse_success")).alias("_parsed"),
         F.count_if(F.col("repair_attempted")).alias("_tried"), F.count_if(F.col("repair_succeeded")).alias("_repaired"),
-        F.avg("latency_ms").alias("mean_latency_ms"), F.percentile("latency_ms", F.lit(0.5)).alias("latency_p50_ms"),
-        F.percentile("latency_ms", F.lit(0.95)).alias("latency_p95_ms"), F.avg("input_tokens").alias("mean_input_tokens"),
+        F.avg("latency_ms").alias("mean_latency_ms"), F.avg("input_tokens").alias("mean_input_tokens"),
         F.avg("output_tokens").alias("mean_output_tokens"), F.avg("cost").alias("mean_cost"), F.bool_or(quota).alias("_quota"),
         F.bool_or(transient).alias("_transient"))
+    late = quantiles.exact(calls, by, "latency_ms", {"latency_p50_ms": 0.5, "latency_p95_ms": 0.95})
+    late = late.select(*[F.col(c).alias(f"_{c}") for c in by], "latency_p50_ms", "latency_p95_ms")
+    out = out.join(late, reduce(lambda x, y: x & y, [out[c].eqNullSafe(F.col(f"_{c}")) for c in by], F.lit(True)), "left").drop(*[f"_{c}" for c in by])
     n, good = F.col("documents"), F.col("successful_calls")
     note = (
         F.when((good == 0) & (n > 0) & F.col("_quota"), "unavailable_due_to_quota")

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from goldmeter.operators import costs as CO
 from goldmeter.operators import payloads as PL
 from goldmeter.operators import perturb as X
+from goldmeter.operators import quantiles as QU
 from goldmeter.operators import records as R
 from goldmeter.operators import review as RV
 from goldmeter.operators import selection as SEL
@@ -27,6 +28,19 @@ def latency_percentiles(spark, d):
     return ST.percentiles(table(spark, d, "events"), ["event_type"], "value", {"p50": 0.5, "p95": 0.95})
 
 
+@query("sketched_percentiles", "SELECT event_type, p, count(*) AS n, true AS within_error FROM events, (VALUES (0.05), (0.5), (0.95)) v(p) GROUP BY 1, 2")
+def sketched_percentiles(spark, d):
+    """Whether the ranks of sketched percentiles lie within twice the stated error."""
+    e = table(spark, d, "events")
+    points = {"a": 0.05, "b": 0.5, "c": 0.95}
+    found = ST.percentiles(e, ["event_type"], "value", points, exact=False)
+    each = found.select("event_type", F.explode(F.array(*[F.struct(F.lit(p).alias("p"), F.col(n).alias("q")) for n, p in points.items()])).alias("x")).select("event_type", "x.*")
+    ranks = e.join(each, "event_type").groupBy("event_type", "p").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("value") < F.col("q")).alias("under"), F.count_if(F.col("value") <= F.col("q")).alias("upto"))
+    error = 2 * QU.rank_error(2000)
+    within = (F.col("under") / F.col("n") - error <= F.col("p")) & (F.col("p") <= F.col("upto") / F.col("n") + error)
+    return ranks.select("event_type", "p", "n", within.alias("within_error"))
+
+
 IT, SEED = 50, 42
 H = "CAST('0x' || substr(md5('42:' || i || ':' || {0}), 1, 8) AS BIGINT)"
 CUTS = [1580030168, 3160060337, 3950075421, 4213413783, 4279248373, 4292415291, 4294609777, 4294923276, 4294962463, 4294966817, 4294967252, 4294967292, 4294967295]
