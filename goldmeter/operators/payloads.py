@@ -13,7 +13,7 @@ from goldmeter.functions import vocabulary as V
 from goldmeter.functions.text import any_of, let, norm_label, strip, text_of
 from goldmeter.operators import records as R
 from goldmeter.operators.passages import evidence_from_quote
-from goldmeter.sources.schemas import CANONICAL
+from goldmeter.sources.schemas import CANONICAL, EVENT, EVIDENCE, FIELDS, FREQUENCY, MEDICATION, METADATA, SCALAR
 
 # ---- responses --------------------------------------------------------------------------
 
@@ -454,3 +454,65 @@ def merge_candidates(candidates: DataFrame) -> DataFrame:
     category = (F.when(t.startswith("medication"), "medication").when(t == "seizure_type", "seizure_type")
                 .when(t == "seizure_frequency", "seizure_frequency").otherwise("diagnosis"))
     return numbered.withColumn("id", F.concat(F.try_element_at(prefix, t), F.col("n").cast("string"))).withColumn("category", category)
+
+
+# ---- merged records ---------------------------------------------------------------------
+
+#: What a candidate may hold besides document_id, task, idx and value; columns that aren't there are null.
+CANDIDATE_PARTS = {"dose": "string", "dose_unit": "string", "frequency": "string", "temporality": "string", "temporal_scope": "string", "seizure_type": "string",
+                   "quote": "string", "sentence_id": "string", "char_start": "int", "char_end": "int"}
+
+
+def _shaped(schema, **own: Column) -> Column:
+    """A struct of the schema with the given leaves, the others null."""
+    return F.struct(*[own.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in schema.fields])
+
+
+def merged_records(documents: DataFrame, candidates: DataFrame, pipeline_id: str, model: str | None = None) -> DataFrame:
+    """document_id, record: the canonical record of every document from its merged candidates (see `merge_candidates`).
+
+    One aggregation per document puts the candidates' fields and events together, each field linked to its event. Medications of
+    one name share the parts of the last of them. A value without a quote is uncertain instead of present. Documents without
+    candidates get the empty record; candidates of other documents are left out.
+    """
+    rows = candidates.select("document_id", "task", "idx", "value", *[(F.col(c) if c in candidates.columns else F.lit(None)).cast(t).alias(c) for c, t in CANDIDATE_PARTS.items()])
+    merged = merge_candidates(rows)
+    same_name = W.partitionBy("document_id", "task", "value").orderBy("idx").rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
+    is_med = F.col("category") == "medication"
+    parts = [c for c in CANDIDATE_PARTS]
+    last = F.last(F.struct(*parts)).over(same_name)
+    merged = merged.withColumn("_last", F.when(is_med, last).otherwise(F.struct(*parts))).select("document_id", "task", "n", "id", "category", "value", "_last.*")
+
+    quoted = text_of(F.col("quote")) != ""
+    one = _shaped(EVIDENCE, quote=F.col("quote"), sentence_id=F.col("sentence_id"), char_start=F.col("char_start"), char_end=F.col("char_end"))
+    link = {"missingness": F.when(quoted, "present").otherwise("uncertain"), "evidence": F.when(quoted, F.array(one)), "evidence_event_ids": F.array("id")}
+    said = R.recoded_temporality(F.nullif(F.col("temporality"), F.lit("")))
+    usual = F.when(F.col("category") == "seizure_type", "uncertain").otherwise("current")
+    time = F.when(is_med, "current").otherwise(F.coalesce(said, usual))
+    med = _shaped(MEDICATION, name=F.col("value"), dose=F.col("dose"), dose_unit=F.col("dose_unit"), frequency=F.col("frequency"), status=F.lit("current"), temporality=F.lit("current"), **link)
+    scalar = _shaped(SCALAR, value=F.col("value"), temporality=time, **link)
+    rate = _shaped(FREQUENCY, value=F.col("value"), temporality=time, temporal_scope=F.col("temporal_scope"), seizure_type=F.col("seizure_type"), **link)
+    is_rate = F.col("category") == "seizure_frequency"
+    event = _shaped(EVENT, id=F.col("id"), category=F.col("category"), temporality=F.when(is_rate, "current").otherwise(time), status=F.when(is_med, "current"), value=F.col("value"),
+                    medication_name=F.when(is_med, F.col("value")), dose=F.when(is_med, F.col("dose")), dose_unit=F.when(is_med, F.col("dose_unit")), frequency=F.when(is_med, F.col("frequency")),
+                    temporal_scope=F.when(is_rate, F.col("temporal_scope")), seizure_type=F.when(is_rate, F.col("seizure_type")), evidence=F.when(quoted, one).otherwise(_shaped(EVIDENCE, quote=F.lit(""))))
+    place = F.array_position(F.array(*[F.lit(t) for t in TASK_PREFIX]), F.col("task"))
+
+    def listed(kind: str, made: Column) -> Column:
+        return F.transform(F.sort_array(F.collect_list(F.when(F.col("category") == kind, F.struct(F.col("n"), made.alias("x"))))), lambda p: p["x"])
+
+    put = merged.withColumn("_event", event).groupBy("document_id").agg(
+        listed("medication", med).alias("_meds"), listed("seizure_type", scalar).alias("_types"), F.min_by(F.when(is_rate, rate), F.when(is_rate, F.col("n"))).alias("_rate"),
+        F.min_by(F.when(F.col("category") == "diagnosis", scalar), F.when(F.col("category") == "diagnosis", F.col("n"))).alias("_dx"),
+        F.transform(F.sort_array(F.collect_list(F.struct(place.alias("p"), F.col("n"), F.col("_event").alias("x")))), lambda p: p["x"]).alias("_events"))
+    every = documents.select("document_id").distinct().join(put, "document_id", "left")
+    nothing = F.lit(None).cast("string")
+    empty = {"current_seizure_frequency": R.frequency_field(nothing, nothing), "epilepsy_diagnosis": R.scalar_field(nothing), "eeg": R.investigation_field(nothing), "mri": R.investigation_field(nothing)}
+    schema = {f.name: f.dataType for f in FIELDS.fields}
+    none = {n: F.array().cast(schema[n]) for n in ("current_anti_seizure_medications", "previous_anti_seizure_medications", "seizure_types")}
+    own = {"current_anti_seizure_medications": "_meds", "seizure_types": "_types", "current_seizure_frequency": "_rate", "epilepsy_diagnosis": "_dx"}
+    fields = [F.coalesce(*([F.col(own[n])] if n in own else []), (none | empty)[n].cast(t)).alias(n) for n, t in schema.items()]
+    metadata = _shaped(METADATA, model=F.lit(model), format=F.lit("json"), input_tokens=F.lit(0.0), output_tokens=F.lit(0.0), repair_attempted=F.lit(False), repair_succeeded=F.lit(False))
+    record = F.struct(F.col("document_id").cast("string").alias("document_id"), F.lit(pipeline_id).alias("pipeline_id"), F.struct(*fields).alias("fields"),
+                      F.coalesce("_events", F.array().cast(CANONICAL["events"].dataType)).alias("events"), metadata.alias("metadata"))
+    return every.select("document_id", record.cast(CANONICAL).alias("record"))

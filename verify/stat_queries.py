@@ -530,6 +530,38 @@ def merged_candidates(spark, d):
     return PL.merge_candidates(c).select("document_id", "id", "value")
 
 
+_MERGED = f"""{CAND}, t AS (SELECT d, CASE task WHEN 'view' THEN 'medication_full_tuple' WHEN 'click' THEN 'medication_names' WHEN 'error' THEN 'seizure_type' WHEN 'signup' THEN 'seizure_frequency' ELSE 'diagnosis_type' END AS task, idx,
+ CASE WHEN task = 'view' THEN 'm' || event_id % 5 ELSE value END AS value, CAST(event_id % 7 AS VARCHAR) AS dose, CASE WHEN event_id % 6 > 0 THEN 'says ' || event_id END AS quote, CASE event_id % 4 WHEN 0 THEN 'previous' WHEN 1 THEN 'planned' END AS temporality FROM cd WHERE d % 4 > 0),
+k AS (SELECT *, row_number() OVER (PARTITION BY d, task ORDER BY idx) AS n FROM t WHERE NOT (task = 'medication_names' AND d IN (SELECT d FROM t WHERE task = 'medication_full_tuple'))),
+e AS (SELECT *, CASE WHEN task LIKE 'medication%' THEN 'medication' ELSE task END AS kind, (CASE task WHEN 'seizure_type' THEN 'ev_s4_type_' WHEN 'seizure_frequency' THEN 'ev_s4_freq_' WHEN 'diagnosis_type' THEN 'ev_s4_dx_' ELSE 'ev_s4_med_' END) || n AS id FROM k WHERE task NOT IN ('seizure_frequency', 'diagnosis_type') OR n = 1),
+m AS (SELECT e.*, CASE WHEN kind = 'medication' THEN last_value(dose) OVER w ELSE dose END AS dose1, CASE WHEN kind = 'medication' THEN last_value(quote) OVER w ELSE quote END AS quote1,
+ CASE WHEN kind = 'medication' OR temporality IS NULL THEN CASE WHEN kind = 'seizure_type' THEN 'uncertain' ELSE 'current' END WHEN temporality = 'previous' THEN 'historical' ELSE temporality END AS time FROM e WINDOW w AS (PARTITION BY d, task, value ORDER BY idx ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)),
+g AS (SELECT d, string_agg(value || ':' || dose1 || ':' || (CASE WHEN quote1 IS NULL THEN 'uncertain' ELSE 'present:' || quote1 END) || ':' || id, '|' ORDER BY n) FILTER (kind = 'medication') AS medications,
+ string_agg(value || ':' || time || ':' || (CASE WHEN quote1 IS NULL THEN 'uncertain' ELSE 'present:' || quote1 END) || ':' || id, '|' ORDER BY n) FILTER (kind = 'seizure_type') AS seizure_types,
+ max(value || ':' || time || ':' || (CASE WHEN quote1 IS NULL THEN 'uncertain' ELSE 'present' END)) FILTER (kind = 'seizure_frequency') AS frequency, max(value || ':' || time) FILTER (kind = 'diagnosis_type') AS diagnosis,
+ string_agg(id || ':' || coalesce(quote1, ''), '|' ORDER BY list_position(['medication_full_tuple', 'medication_names', 'seizure_type', 'seizure_frequency', 'diagnosis_type'], task), n) AS events, bool_or(quote1 IS NULL) AS quoteless FROM m GROUP BY 1)"""
+
+
+@query("merged_record", f"""WITH {_MERGED} SELECT c_custkey AS document_id, coalesce(medications, '') AS medications, coalesce(seizure_types, '') AS seizure_types, coalesce(frequency, ':uncertain:not_stated') AS frequency, coalesce(diagnosis, ':uncertain') AS diagnosis,
+ coalesce(events, '') AS events, NOT coalesce(quoteless, false) AS valid FROM customer LEFT JOIN g ON d = c_custkey""")
+def merged_record(spark, d):
+    t, e = F.col("task"), F.col("event_id")
+    c = candidates(spark, d).filter("document_id % 4 > 0")
+    named = F.when(t == "view", "medication_full_tuple").when(t == "click", "medication_names").when(t == "error", "seizure_type").when(t == "signup", "seizure_frequency").otherwise("diagnosis_type")
+    c = c.select("document_id", named.alias("task"), "idx", F.when(t == "view", F.concat(F.lit("m"), (e % 5).cast("string"))).otherwise(F.col("value")).alias("value"), (e % 7).cast("string").alias("dose"),
+                 F.when(e % 6 > 0, F.concat(F.lit("says "), e.cast("string"))).alias("quote"), F.when(e % 4 == 0, "previous").when(e % 4 == 1, "planned").alias("temporality"))
+    docs = table(spark, d, "customer").select(F.col("c_custkey").alias("document_id"))
+    out = R.check_records(PL.merged_records(docs, c, "merged").withColumn("kept", F.col("record")))
+    f, q = F.col("kept.fields"), lambda x: F.when(x["missingness"] == "present", F.concat(F.lit("present:"), x["evidence"][0]["quote"])).otherwise(x["missingness"])
+    text = lambda x: F.coalesce(x, F.lit(""))
+    return out.select(
+        "document_id", F.array_join(F.transform(f["current_anti_seizure_medications"], lambda m: F.concat_ws(":", m["name"], m["dose"], q(m), m["evidence_event_ids"][0])), "|").alias("medications"),
+        F.array_join(F.transform(f["seizure_types"], lambda m: F.concat_ws(":", m["value"], m["temporality"], q(m), m["evidence_event_ids"][0])), "|").alias("seizure_types"),
+        F.concat_ws(":", text(f["current_seizure_frequency"]["value"]), f["current_seizure_frequency"]["temporality"], f["current_seizure_frequency"]["missingness"]).alias("frequency"),
+        F.concat_ws(":", text(f["epilepsy_diagnosis"]["value"]), f["epilepsy_diagnosis"]["temporality"]).alias("diagnosis"),
+        F.array_join(F.transform("kept.events", lambda x: F.concat_ws(":", x["id"], x["evidence"]["quote"])), "|").alias("events"), "valid")
+
+
 # ---- event-first selection --------------------------------------------------------------
 
 CATS = {"view": "medication", "click": "seizure_frequency", "error": "seizure_type", "signup": "investigation", "purchase": "diagnosis"}
