@@ -15,6 +15,7 @@ from goldmeter.operators import records as R
 from goldmeter.operators import review as RV
 from goldmeter.operators import selection as SEL
 from goldmeter.operators import statistics as ST
+from goldmeter.streaming.latest import fold, read_latest, run_latest
 from goldmeter.streaming.run_log import read_table, run_stream
 from verify import clinic as C
 from verify.base import WS, lit_sql, pick, pick_sql, query, table
@@ -350,6 +351,19 @@ def streamed_parse_health(spark, d):
     return CO.parse_health(expected_log(spark, d), stored, ["document_id", "system"], "log_order", ["system"])
 
 
+@query("streamed_latest_events", "SELECT user_id, event_type, max(event_id) AS event_id, arg_max(value, event_id) AS value FROM events GROUP BY 1, 2")
+def streamed_latest_events(spark, d):
+    """Latest event per user and type from keyed stream state: three drops, the second one late, folded in between."""
+    root, keys = scratch(spark), ["user_id", "event_type"]
+    events = table(spark, d, "events").select("user_id", "event_type", "event_id", "value")
+    for n, part in enumerate((2, 0, 1)):
+        events.filter(F.pmod(F.floor(F.col("event_id") / 7), F.lit(3)) == part).write.mode("append").parquet(f"{root}/log")
+        run_latest(spark.readStream.schema(events.schema).parquet(f"{root}/log"), f"{root}/table", f"{root}/state", keys, "event_id")
+        if n == 1:
+            fold(spark, f"{root}/table", keys)
+    return read_latest(spark, f"{root}/table", keys).select("user_id", "event_type", "event_id", "value")
+
+
 @query("call_summary", """WITH c AS (SELECT event_type AS model_label, CASE WHEN value > 200 THEN 'failed' ELSE 'success' END AS st, value, event_id FROM events)
 SELECT model_label, count(*) AS documents, count(*) FILTER (st = 'success') AS successful_calls, count(*) FILTER (st = 'success') / count(*) AS call_success_rate, CASE WHEN count(*) FILTER (st = 'success') < count(*) THEN 'mostly_available_with_transient_503' ELSE 'available' END AS availability_note,
  count(*) FILTER (event_id % 3 = 0) / count(*) AS parse_success_rate, quantile_cont(value, 0.5) AS latency_p50_ms, quantile_cont(value, 0.95) AS latency_p95_ms FROM c GROUP BY 1""")
