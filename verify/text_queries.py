@@ -11,8 +11,10 @@ from goldmeter.operators import grounding as G
 from goldmeter.operators import label_audit as LA
 from goldmeter.operators import passages as P
 from goldmeter.operators import perturb as X
+from goldmeter.sources import corpora as CP
 from verify import clinic as C
 from verify.base import WS, lit_sql, norm_label_sql, norm_text_sql, query, table
+from verify.corpus_queries import scratch
 
 
 def docs(spark, d):
@@ -244,6 +246,31 @@ def perturbed_corpus(spark, d):
     return X.perturb(docs(spark, d), X.LETTER_PERTURBATIONS).filter(F.length("text") >= 0).groupBy("perturbation_id").agg(F.count(F.lit(1)).alias("n"))
 
 
+SINK = ["planned_medication_trap", "family_history_trap", "requested_mri_contrast"]
+# fixed values: the notes that the sink's perturbations append, the second one as rewritten
+SINK_NOTES = ["Planned change: If seizures worsen in future, we may consider adding levetiracetam 250 mg twice daily. No change is being made today.", "Family history: none.",
+              "Updated investigation plan: MRI brain has been requested and is pending; there is no completed MRI result available today."]
+SINK_VALUES = ", ".join(f"({lit_sql(i)}, {lit_sql('label_changing' if n == 2 else 'label_preserving')}, {lit_sql(t)}, {int(n == 1)})" for n, (i, t) in enumerate(zip(SINK, SINK_NOTES)))
+
+
+@query("perturbed_corpus_sink", f"""WITH {DOC}, pt(id, effect, note, version) AS (VALUES {SINK_VALUES})
+SELECT document_id || '__' || id AS document_id, document_id AS source_document_id, 'exectv2' AS source_dataset, id AS perturbation_id, effect AS label_effect,
+ md5(rtrim(text, {WS}) || chr(10) || chr(10) || note || chr(10)) AS text_md5, version, 3 AS splits FROM dc, pt""")
+def perturbed_corpus_sink(spark, d):
+    """Three perturbations written as one version, one of them written anew, and the corpus read back by its manifest."""
+    path = scratch(spark)
+    kinds = {p.id: p for p in X.LETTER_PERTURBATIONS}
+    letters = docs(spark, d)
+    CP.write_corpus(X.perturb(letters, [kinds[i] for i in SINK]), path)
+    anew = X.Perturbation(SINK[1], X.PRESERVING, "exectv2", "written anew", X.append_note(SINK_NOTES[1]))
+    CP.write_corpus(X.perturb(letters, [anew]), path)
+    corpus = CP.read_corpus(spark, path)
+    splits = CP.corpus_splits(corpus).groupBy("document_id").agg(F.count_distinct("split").cast("int").alias("splits"))
+    versions = CP.manifest(spark, path).select("perturbation_id", F.col("version").cast("int").alias("version"))
+    return corpus.join(versions, "perturbation_id").join(splits, "document_id").select(
+        "document_id", "source_document_id", "source_dataset", "perturbation_id", "label_effect", F.md5("text").alias("text_md5"), "version", "splits")
+
+
 @query("user_perturbation", f"WITH {DOC} SELECT document_id || '__doubled' AS document_id, text || '|' || text AS text FROM dc")
 def user_perturbation(spark, d):
     mine = X.Perturbation("doubled", "label_preserving", "mine", "text twice", lambda text: F.concat(text, F.lit("|"), text))
