@@ -122,9 +122,17 @@ def op9(spark, d):
 
 @query("op10_virtual_slots")
 def op10(spark, d):
-    """All documents in 16 shards by `key`, and where each goes when a 17th is added."""
-    first = sharding.first_map(spark, 16)
-    return sharding.assign(table(spark, d, "documents"), first, sharding.grow(first, 16)).withColumn("law", F.lit("key"))
+    """All documents in 16 shards by `key`, where each goes when a 17th is added, the bytes of its virtual slot, and its shard once
+    the stored map has been edited for those bytes."""
+    folder = shared_folder(spark, "slot-map")
+    first = sharding.save_map(sharding.first_map(spark, 16), folder)
+    grown = sharding.grow(first, 16)
+    placed = sharding.assign(table(spark, d, "documents"), first, grown).withColumn("law", F.lit("key"))
+    loads = stored(sharding.slot_bytes(placed), "slot-loads")  # one row per slot at most
+    sharding.save_map(sharding.rebalance(first, loads), folder)
+    edited = sharding.read_map(spark, folder).select("virtual_slot", F.col("shard").alias("rebalanced_shard"))
+    facts = edited.join(loads.select("virtual_slot", F.col("bytes").alias("slot_bytes")), "virtual_slot")
+    return placed.join(F.broadcast(facts), "virtual_slot")
 
 
 _WORDS = "regexp_extract_all({}, '[^\\\\x20\\\\x09-\\\\x0D]+', 0)"

@@ -31,6 +31,21 @@ def grow(slot_map: DataFrame, shards: int) -> DataFrame:
     return slot_map.select((F.col("version") + 1).alias("version"), "virtual_slot", F.when(given, F.lit(shards)).otherwise(F.col("shard")).cast("int").alias("shard"))
 
 
+def save_map(slot_map: DataFrame, folder: str) -> DataFrame:
+    """Store one version of the map in its own folder and give it back as read from there; at most one row per slot."""
+    spark = slot_map.sparkSession
+    version = int(slot_map.agg(F.max("version")).first()[0])
+    slot_map.coalesce(1).write.mode("overwrite").parquet(f"{folder}/version-{version:06d}")
+    return read_map(spark, folder, version)
+
+
+def read_map(spark: SparkSession, folder: str, version: int | None = None) -> DataFrame:
+    """A stored version of the map, the newest if none is named."""
+    rows = spark.read.parquet(f"{folder}/version-{'*' if version is None else format(version, '06d')}")
+    newest = F.max("version").over(Window.partitionBy("virtual_slot"))
+    return rows.withColumn("_newest", newest).filter("version = _newest").drop("_newest")
+
+
 def slot_bytes(sized: DataFrame, size: str = "size") -> DataFrame:
     """Rows and bytes of every slot that has rows; partial sums are built before the shuffle."""
     return sized.groupBy("virtual_slot").agg(F.count(F.lit(1)).alias("rows"), F.sum(size).alias("bytes"))

@@ -87,6 +87,33 @@ def test_rebalance_moves_little_and_levels(spark):
     assert moved.filter("was <> 0").count() == 0 and 0 < moved.count() < 16
 
 
+def test_stored_map_and_query(spark, tmp_path):
+    folder = str(tmp_path)
+    first = sharding.save_map(sharding.first_map(spark, 4, 64), folder)
+    second = sharding.save_map(sharding.grow(first, 4), folder)
+    assert {r["version"] for r in sharding.read_map(spark, folder).collect()} == {2} and {r["version"] for r in sharding.read_map(spark, folder, 1).collect()} == {1}
+    assert sorted(map(tuple, sharding.read_map(spark, folder).collect())) == sorted(map(tuple, second.collect()))
+    from goldmeter.llm import queries
+
+    docs = [(i, "x" * (i * i % 97)) for i in range(3000)] + [(3000 + i, None) for i in range(5)]
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(f"{folder}/documents.parquet")
+    rows = queries.QUERIES["op10_virtual_slots"](spark, folder).collect()
+    assert sorted(r["doc_id"] for r in rows) == sorted(i for i, _ in docs)
+    by = {}
+    for r in rows:
+        by.setdefault(r["virtual_slot"], []).append(r)
+    assert all({r["slot_bytes"] for r in own} == {sum(r["size"] for r in own)} for own in by.values())
+
+    def loads(column):
+        sums = {}
+        for r in rows:
+            sums[r[column]] = sums.get(r[column], 0) + r["size"]
+        return max(sums.values()) / (sum(sums.values()) / 16)
+
+    assert loads("rebalanced_shard") <= max(1.1, loads("shard")) and len({(r["virtual_slot"], r["rebalanced_shard"]) for r in rows}) == len(by)
+    assert any(r["rebalanced_shard"] != r["shard"] for r in rows)
+
+
 def test_canonical_texts(spark):
     variants = [
         "Released under the MIT License.", "released UNDER the  MIT licence", "Copyright 2020 A. Body\nReleased under the MIT License.", "(c) me\n* Released under the MIT License *",
