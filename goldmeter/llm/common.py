@@ -30,9 +30,13 @@ def remainder(doc_id: Column, modulus: int) -> Column:
 
 
 def shared_folder(spark: SparkSession, name: str) -> str:
-    """A new folder below the shared checkpoint folder, as a URI."""
+    """A new folder below the shared checkpoint folder, as a URI. A folder without a scheme is one of the cluster's default storage."""
     root = ensure_checkpoint_dir(spark).rstrip("/")
-    return f"{root if '://' in root or root.startswith('file:') else 'file://' + root}/{name}-{uuid.uuid4().hex}"
+    if "://" not in root and not root.startswith("file:"):
+        place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(root)
+        root = place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(place).toString()
+        root = root.replace("file:/", "file:///", 1) if root.startswith("file:/") and not root.startswith("file://") else root
+    return f"{root}/{name}-{uuid.uuid4().hex}"
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
