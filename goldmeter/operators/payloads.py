@@ -213,6 +213,7 @@ TYPE_PATHS = ["$.seizure_types", "$.seizure_type"]
 DIAGNOSIS_PATHS = ["$.epilepsy_types", "$.epilepsy_diagnosis", "$.epilepsy_diagnosis_type", "$['epilepsy diagnosis/type']"]
 FREQUENCY_PATHS = ["$.seizure_frequency", "$.current_seizure_frequency"]
 _STRUCTURED = "array<struct<name:string,medication_name:string,dose:string,unit:string,dose_unit:string,frequency:string,quote:string>>"
+_STRUCTURED_ITEM = "struct<name:string,medication_name:string,dose:string,unit:string,dose_unit:string,frequency:string>"
 
 
 def investigation_value(payload: Column, key: str) -> Column:
@@ -353,19 +354,30 @@ def raw_values(payload: Column) -> dict[str, Column]:
     }
 
 
+def raw_keys(payload: Column, types: Column | None = None) -> Column:
+    """array<(metric, key)> of a raw payload: a list of medications may mix objects and plain texts.
+
+    `types` is the payload's list of seizure types where it has been read already.
+    """
+    items = F.from_json(F.get_json_object(payload, "$.medications"), "array<string>")
+
+    def parts(item):
+        m = F.from_json(item, _STRUCTURED_ITEM)
+        name = F.when(F.ltrim(item).startswith("{"), F.coalesce(F.nullif(m["name"], F.lit("")), m["medication_name"])).otherwise(loose_first(item))
+        return F.struct(
+            N.medication_name(name).alias("n"), N.dose_value(m["dose"]).alias("d"),
+            N.dose_unit(F.coalesce(F.nullif(m["dose_unit"], F.lit("")), m["unit"])).alias("u"), N.dosing_schedule(m["frequency"]).alias("s"))
+
+    plain = F.transform(loose_items(alias_value(payload, MEDICATION_PATHS)), lambda v: F.struct(
+        N.medication_name(v).alias("n"), F.lit("").alias("d"), F.lit("").alias("u"), F.lit("").alias("s")))
+    meds = F.when(F.get_json_object(payload, "$.medications").startswith("["), F.transform(items, parts)).otherwise(plain)
+    found = raw_values(payload)["seizure_type"] if types is None else types
+    return F.concat(R.medication_keys(meds), R.seizure_type_keys(F.transform(found, N.seizure_type)))
+
+
 def raw_metric_keys(payloads: DataFrame) -> DataFrame:
     """(system, document_id, metric, key) of raw payload values; empty tuples are dropped."""
-    p = F.col("payload")
-    structured = F.from_json(F.get_json_object(p, "$.medications"), _STRUCTURED)
-    table = F.transform(structured, lambda m: F.struct(
-        N.medication_name(F.coalesce(F.nullif(m["name"], F.lit("")), m["medication_name"])).alias("n"), N.dose_value(m["dose"]).alias("d"),
-        N.dose_unit(F.coalesce(F.nullif(m["dose_unit"], F.lit("")), m["unit"])).alias("u"), N.dosing_schedule(m["frequency"]).alias("s")))
-    plain = F.transform(loose_items(alias_value(p, MEDICATION_PATHS)), lambda v: F.struct(
-        N.medication_name(v).alias("n"), F.lit("").alias("d"), F.lit("").alias("u"), F.lit("").alias("s")))
-    meds = F.when(F.get_json_object(p, "$.medications").startswith("["), table).otherwise(plain)
-    staged = payloads.withColumn("_m", meds).withColumn("_t", F.transform(raw_values(p)["seizure_type"], N.seizure_type))
-    keys = F.concat(R.medication_keys(F.col("_m")), R.seizure_type_keys(F.col("_t")))
-    out = staged.select("system", "document_id", F.inline(keys))
+    out = payloads.select("system", "document_id", F.inline(raw_keys(F.col("payload"))))
     no_parts = F.col("key").rlike(r" \|  \|  \| *$")
     return out.filter((F.col("key") != "") & ~((F.col("metric") == "medication_full") & (no_parts | F.col("key").startswith(" |"))))
 

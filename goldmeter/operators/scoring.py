@@ -44,8 +44,8 @@ def gold_keys(gold: dict[str, DataFrame]) -> DataFrame:
     return meds.unionByName(types).distinct()
 
 
-def document_facts(records: DataFrame, require_evidence: bool = True) -> DataFrame:
-    """Everything that needs only the record and its letter, one row per extraction."""
+def document_facts(records: DataFrame, require_evidence: bool = True, *more: Column) -> DataFrame:
+    """Everything that needs only the record and its letter, one row per extraction; `more` adds columns of the same pass."""
     r = F.col("record")
     present = F.filter(R.fields_of(r), lambda x: x["missingness"] == "present")
     checks = R.temporal_checks(r)
@@ -61,7 +61,7 @@ def document_facts(records: DataFrame, require_evidence: bool = True) -> DataFra
         quotes["quotes"].alias("quotes"), quotes["valid"].alias("valid_quotes"),
         n(checks).alias("temporal_checked"), n(F.filter(checks, lambda x: x)).alias("temporal_correct"),
         *[r["metadata"][m].alias(m) for m in ("latency_ms", "input_tokens", "output_tokens", "estimated_cost_usd")],
-        *[c.alias(n) for n, c in R.scalar_predictions(r).items()],
+        *[c.alias(n) for n, c in R.scalar_predictions(r).items()], *more,
     )
 
 
@@ -144,14 +144,19 @@ def scalar_scores(facts: DataFrame, gold: dict[str, DataFrame]) -> DataFrame:
     return freq.join(inv, KEY)
 
 
-def scalar_long(scalars: DataFrame) -> DataFrame:
-    """Scalar verdicts as (system, document_id, metric, correct)."""
+def scalar_verdicts() -> dict[str, Column]:
+    """Verdict column of every scalar metric over the wide scalar rows."""
     columns = [
         F.col("exact"), F.col("relaxed"), F.col("loose"), F.col("per_letter"), F.col("pred_coarse") == F.col("gold_coarse"),
         F.col("pred_fine") == F.col("gold_fine"), F.col("count_hit"), F.col("period_hit"), F.col("scope_ok"), F.col("linked"),
         F.col("eeg_ok"), F.col("mri_ok"), F.col("dx"), F.col("dx_coarse"),
     ]
-    pairs = F.array(*[F.struct(F.lit(m).alias("metric"), c.alias("correct")) for m, c in zip(SCALAR_METRICS, columns)])
+    return dict(zip(SCALAR_METRICS, columns))
+
+
+def scalar_long(scalars: DataFrame) -> DataFrame:
+    """Scalar verdicts as (system, document_id, metric, correct)."""
+    pairs = F.array(*[F.struct(F.lit(m).alias("metric"), c.alias("correct")) for m, c in scalar_verdicts().items()])
     return scalars.select(*KEY, F.inline(pairs))
 
 
