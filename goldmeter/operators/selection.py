@@ -318,3 +318,46 @@ def loose_event_payload(events: DataFrame) -> DataFrame:
         F.min_by(F.when(t == k, v), F.when(t == k, F.col("ord"))).alias(n)
         for k, n in (("seizure_frequency", "seizure_frequency"), ("diagnosis", "epilepsy_diagnosis_type"))])
     return events.select("document_id").distinct().join(lists, "document_id", "left").join(firsts, "document_id", "left")
+
+
+def compact_event_payload(events: DataFrame) -> DataFrame:
+    """Compact event rows (document_id, ord, type, name, value, current, dose, unit, frequency, modality, result) to one payload per document.
+
+    Current medications (with dose, unit and frequency of their first mention) and seizure types are kept once per canonical name in
+    first-seen order; a null `current` means current. The first stated frequency and diagnosis count, and the first result of EEG and
+    of MRI even where it is empty. Empty doses stay, empty units and frequencies are null. `payload` is the same as JSON text.
+    A document without a usable event has empty lists and nulls; of rows with one ord the smaller ones count.
+    """
+    t, live = F.col("type"), F.coalesce(F.col("current"), F.lit(True))
+    name, value = F.trim(text_of(F.col("name"))), F.trim(text_of(F.col("value")))
+
+    def stated(c: str) -> Column:
+        return F.nullif(text_of(F.col(c)), F.lit(""))
+
+    canon = F.coalesce(F.nullif(F.when(t == "medication", N.medication_name(name)).otherwise(N.seizure_type(value)), F.lit("")),
+                       F.when(t == "medication", name).otherwise(value))
+    modality = F.upper(text_of(F.col("modality")))
+    item = (
+        F.when((t == "medication") & live & (name != ""), canon).when((t == "seizure_type") & live & (value != ""), canon)
+        .when(t.isin("seizure_frequency", "diagnosis") & (value != ""), "").when((t == "investigation") & modality.isin("EEG", "MRI"), modality))
+    # one row per document, kind and name first, so a hot document is many groups; what is left of it is bounded by its distinct names
+    said = events.select("document_id", "ord", "type", item.alias("item"), F.col("dose").cast("string").alias("dose"), stated("unit").alias("unit"),
+                         stated("frequency").alias("frequency"), F.when(t == "investigation", F.lower(text_of(F.col("result")))).otherwise(value).alias("said"))
+    rest = F.struct("ord", "dose", "unit", "frequency", "said")
+    firsts = said.groupBy("document_id", "type", "item").agg(F.min(rest).alias("f"))
+    kept = F.col("item").isNotNull()
+
+    def listed(kind: str, made) -> Column:
+        rows = F.array_sort(F.collect_list(F.when(kept & (t == kind), F.struct("f.ord", "item", "f.dose", "f.unit", "f.frequency"))))
+        return F.transform(rows, made)
+
+    def one(kind: str, which: str = "") -> Column:
+        return F.max(F.when((t == kind) & (F.col("item") == which), F.col("f.said")))
+
+    out = firsts.groupBy("document_id").agg(
+        listed("medication", lambda x: F.struct(x["item"].alias("name"), x["dose"].alias("dose"), x["unit"].alias("unit"), x["frequency"].alias("frequency"))).alias("medications"),
+        listed("seizure_type", lambda x: x["item"]).alias("seizure_types"), one("seizure_frequency").alias("seizure_frequency"),
+        one("diagnosis").alias("epilepsy_diagnosis_type"), one("investigation", "EEG").alias("eeg"), one("investigation", "MRI").alias("mri"))
+    fields = [F.col(c) for c in out.columns if c != "document_id"]
+    names = F.transform("medications", lambda m: m["name"]).alias("medication_names")
+    return out.withColumn("payload", F.to_json(F.struct(*fields, names, F.struct("eeg", "mri").alias("investigations"))))
