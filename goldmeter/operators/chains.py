@@ -23,6 +23,7 @@ from goldmeter.operators import matching as M
 from goldmeter.operators import payloads as PL
 from goldmeter.operators import records as R
 from goldmeter.operators import scoring as S
+from goldmeter.session import ensure_checkpoint_dir
 
 KEY = ["system", "document_id"]
 _KEYS = "array<struct<metric:string,key:string>>"
@@ -246,3 +247,19 @@ def raw_summary(expected: DataFrame, scored: DataFrame) -> DataFrame:
     out = seen.join(grouped, "system", "left").na.fill(0, ["documents_available"])
     return out.select("system", "documents_expected", "documents_available", F.when(F.col("documents_available") > 0, 0.0).alias("raw_schema_valid_rate"),
                       *[f1(m).alias(n) for m, n in names.items()], *shown.values(), *counts)
+
+
+def key_flags(scored: DataFrame) -> DataFrame:
+    """(system, document_id, metric, key, in_pred, in_gold) of scored rows; nothing is shuffled."""
+    keys = F.array_union("keys", "g_keys")
+    flagged = F.transform(keys, lambda k: F.struct(
+        k["metric"].alias("metric"), k["key"].alias("key"), F.array_contains(F.col("keys"), k).alias("in_pred"), F.array_contains(F.col("g_keys"), k).alias("in_gold")))
+    return scored.select(*KEY, F.inline(flagged))
+
+
+def record_summary(records: DataFrame, expected: DataFrame, gold: dict[str, DataFrame]) -> DataFrame:
+    """`scoring.system_summary` from one pass: scored rows are written once (a checkpoint), then read by each part of the summary."""
+    ensure_checkpoint_dir(records.sparkSession)
+    scored = score_sides(record_side(records), gold_side(gold)).checkpoint()
+    support = S.evidence_support(records, gold, scored)
+    return S.system_summary(expected, scored, set_rows(scored), scored, support, S.abstention(key_flags(scored), scored))

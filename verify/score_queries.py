@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from goldmeter.functions.text import norm_text
+from goldmeter.operators import chains as CH
 from goldmeter.operators import contract as CT
 from goldmeter.operators import costs as CO
 from goldmeter.operators import grounding as G
@@ -278,8 +279,7 @@ SELECT f.system, (SELECT count(*) FROM orders) AS documents_expected, f.n AS doc
 FROM (SELECT system, count(*) AS n, avg(CAST(schema_valid AS INT)) AS schema_valid_rate, sum(with_evidence) / sum(present_fields) AS quote_presence_rate, sum(valid_quotes) / sum(quotes) AS quote_validity_rate, sum(temporal_correct) / sum(temporal_checked) AS temporal_accuracy,
  avg(latency_ms) AS mean_latency_ms, avg(output_tokens) AS mean_output_tokens FROM fx GROUP BY 1) f JOIN (SELECT system, avg(CAST(eeg_ok AS INT)) AS eeg_accuracy, avg(CAST(dx AS INT)) AS epilepsy_diagnosis_accuracy, avg(CAST(per_letter AS INT)) AS current_seizure_frequency_per_letter_accuracy FROM sl GROUP BY 1) s USING (system)""")
 def system_summary(spark, d):
-    r, g, facts, flags, sets, scalars = parts(spark, d)
-    out = S.system_summary(C.expected(spark, d), facts, sets, scalars, S.evidence_support(r, g, scalars), S.abstention(flags, r))
+    out = CH.record_summary(C.records(spark, d), C.expected(spark, d), C.gold(spark, d))
     return out.select("system", "documents_expected", "documents_available", "schema_valid_rate", "quote_presence_rate", "quote_validity_rate", "temporal_accuracy", "mean_latency_ms", "mean_output_tokens",
                       "medication_name_f1", "medication_full_f1", "seizure_type_f1_collapsed", "eeg_accuracy", "epilepsy_diagnosis_accuracy", "current_seizure_frequency_per_letter_accuracy")
 
