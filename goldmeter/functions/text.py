@@ -41,6 +41,11 @@ def rstrip(c: Column) -> Column:
     return F.rtrim(c, F.lit(WHITESPACE))
 
 
+def folded_case(c: Column) -> Column:
+    """Lower case with every character in its place: a dotted capital I, whose lower case has two characters, becomes i."""
+    return F.lower(F.replace(c, F.lit("\u0130"), F.lit("i")))
+
+
 def squeeze(c: Column) -> Column:
     """Whitespace runs to one blank, ends trimmed."""
     return strip(F.regexp_replace(c, r"(?U)\s+", " "))
@@ -138,7 +143,7 @@ def display_number(c: Column, digits: int = 3) -> Column:
 
 def find_text(haystack: Column, needle: Column) -> Column:
     """0-based offset of the first case-insensitive occurrence, NULL when absent."""
-    at = F.instr(F.lower(haystack), F.lower(needle))
+    at = F.instr(folded_case(haystack), folded_case(needle))
     return F.when((at > 0) & (F.length(needle) > 0), at - 1)
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from goldmeter.functions.spans import running_ends, trim_span, with_offsets
 from goldmeter.functions.text import (
-    fold_typography, let, norm_text, regex_escape, slice_text, squeeze, strip, text_of, window_snippet,
+    fold_typography, folded_case, let, norm_text, regex_escape, slice_text, squeeze, strip, text_of, window_snippet,
 )
 from goldmeter.functions.vocabulary import FREQUENCY_SENTENCE_PATTERNS, TEMPORALITY_PATTERNS
 
@@ -107,8 +107,8 @@ def temporality_summary(matches: DataFrame) -> DataFrame:
 
 def exact_quote(text: Column, value: Column) -> Column:
     """First case-insensitive occurrence in the source's own case, NULL when absent."""
-    at = F.instr(F.lower(text), F.lower(value))
-    return F.when((at > 0) & (value != ""), F.substring(text, at, F.length(value)))
+    low = folded_case(value)
+    return let(F.instr(folded_case(text), low), lambda at: F.when((at > 0) & (value != ""), F.substring(text, at, F.length(low))))
 
 
 def tolerant_pattern(value: Column) -> Column:

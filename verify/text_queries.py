@@ -90,7 +90,11 @@ def quote_pairs(spark, d):
 @query("exact_quote_location", f"""WITH {QUOTES}, w AS (SELECT doc_id, text, upper(split_part(q, ' ', 2)) AS v FROM bq), f AS (SELECT *, instr(lower(text), lower(v)) AS pos_ FROM w)
 SELECT doc_id, CASE WHEN pos_ > 0 THEN substr(text, pos_, length(v)) END AS quote, CASE WHEN pos_ > 0 THEN CAST(pos_ - 1 AS INT) END AS start FROM f""")
 def exact_quote_location(spark, d):
-    v = F.upper(F.split_part(F.col("q"), F.lit(" "), F.lit(2)))
+    # the SQL's upper() maps one character to one; Spark's makes two of some (sharp s, ligatures)
+    def upper(c):
+        return F.when(c == "\u00df", "\u1e9e").when(F.length(F.upper(c)) == 1, F.upper(c)).otherwise(c)
+
+    v = F.array_join(F.transform(F.split(F.split_part(F.col("q"), F.lit(" "), F.lit(2)), ""), upper), "")
     return quote_pairs(spark, d).select("doc_id", P.exact_quote(F.col("text"), v).alias("quote"), T.find_text(F.col("text"), v).cast("int").alias("start"))
 
 
