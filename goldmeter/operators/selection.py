@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from goldmeter.functions import normalize as N
 from goldmeter.functions import vocabulary as V
-from goldmeter.functions.text import any_of, norm_value, text_of
+from goldmeter.functions.text import any_of, computed_once, norm_value, text_of
 
 
 def select_ranked(candidates: DataFrame, keys: list[str], ranks: list[str], order: str) -> DataFrame:
@@ -65,13 +65,14 @@ def ranked_events(events: DataFrame) -> DataFrame:
     cat, temp, status, pos = F.col("category"), F.col("temporality"), F.col("status"), F.col("position")
     name = N.medication_name(F.coalesce(F.nullif(F.col("medication_name"), F.lit("")), F.col("value")))
     has_parts = (text_of(F.col("dose")) != "") | (text_of(F.col("dose_unit")) != "") | (text_of(F.col("frequency")) != "")
-    e = (
-        e.withColumn("canonical", F.when(cat == "medication", name).when(cat == "seizure_type", N.seizure_type(F.col("value")))
-                     .when(cat == "diagnosis", N.diagnosis(F.col("value")))
-                     .when(cat == "investigation", N.investigation_result(F.coalesce(F.nullif(F.col("result"), F.lit("")), F.col("value"))))
-                     .otherwise(norm_value(F.col("value"))))
-        .withColumn("said", norm_value(F.col("value")))
-    )
+    # bound in a generator: a later filter on a field or a rank would repeat both trees at every mention
+    e = computed_once(
+        e, e.columns,
+        canonical=F.when(cat == "medication", name).when(cat == "seizure_type", N.seizure_type(F.col("value")))
+        .when(cat == "diagnosis", N.diagnosis(F.col("value")))
+        .when(cat == "investigation", N.investigation_result(F.coalesce(F.nullif(F.col("result"), F.lit("")), F.col("value"))))
+        .otherwise(norm_value(F.col("value"))),
+        said=norm_value(F.col("value")))
     canon, said = F.col("canonical"), F.col("said")
     field = (
         F.when(cat == "medication", F.concat(F.lit("current_anti_seizure_medications["), F.when(canon == "", F.concat(F.lit("__unnamed_"), F.col("list_idx").cast("string"))).otherwise(canon), F.lit("]")))
@@ -246,9 +247,8 @@ def gold_events(gold: dict[str, DataFrame]) -> DataFrame:
     The i-th item of a group takes the i-th span of the group, or its last one.
     """
     spans = gold["spans"].filter(F.col("group").isin("medications", "seizure_frequency", "diagnosis", "eeg", "mri"))
-    w = W.partitionBy("document_id", "group").orderBy("ord", "start", "end")
-    numbered = spans.withColumn("span_no", F.row_number().over(w))
-    counts = numbered.groupBy("document_id", "group").agg(F.max("span_no").alias("span_count"))
+    # the spans of a document's group are few and stand in one row, so they are told once and met in one join
+    listed = spans.groupBy("document_id", "group").agg(F.array_sort(F.collect_list(F.struct("ord", "start", "end", "value"))).alias("spans"))
 
     def number(df):
         return df.withColumn("n", F.row_number().over(W.partitionBy("document_id").orderBy("ord")).cast("int"))
@@ -285,14 +285,14 @@ def gold_events(gold: dict[str, DataFrame]) -> DataFrame:
             "result": F.col("res"), "temporal_scope": F.lit(None).cast("string"), "seizure_type": F.lit(None).cast("string"),
             "temporality": F.lit("completed"), "id": F.concat(F.lit("gold_"), F.col("kind")), "value": F.col("res")}.items()])
     events = meds.unionByName(freqs).unionByName(types).unionByName(dxs).unionByName(invs)
-    placed = events.join(counts, ["document_id", "group"], "left").withColumn("span_no", F.least("n", "span_count").cast("int")).join(
-        numbered.select("document_id", "group", "span_no", "start", "end", F.col("value").alias("span_value")),
-        ["document_id", "group", "span_no"], "left")
+    own = F.get("spans", F.least("n", F.size("spans")) - 1)
+    placed = events.join(listed, ["document_id", "group"], "left").withColumn("own", own).withColumns(
+        {"start": F.col("own.start"), "end": F.col("own.end"), "span_value": F.col("own.value")})
     evidence = F.struct(
         F.coalesce(F.nullif(F.col("span_value"), F.lit("")), F.col("value")).alias("quote"), F.lit(None).cast("string").alias("sentence_id"),
         F.col("start").alias("char_start"), F.col("end").alias("char_end"))
     idx = F.row_number().over(W.partitionBy("document_id").orderBy("base", "n", "id")) - 1
-    return placed.withColumn("event_idx", idx).withColumn("evidence", evidence).drop("group", "n", "base", "span_no", "span_count", "start", "end", "span_value")
+    return placed.withColumn("event_idx", idx).withColumn("evidence", evidence).drop("group", "n", "base", "spans", "own", "start", "end", "span_value")
 
 
 def loose_event_payload(events: DataFrame) -> DataFrame:
