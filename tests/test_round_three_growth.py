@@ -3,6 +3,7 @@
 from fixtures import gold_frames
 
 from goldmeter.functions import vocabulary as V
+from goldmeter.operators import chains as CH
 from goldmeter.operators import selection as SEL
 
 
@@ -24,3 +25,16 @@ def test_a_candidate_is_normalised_once_before_it_is_ranked(spark):
     # the smallest place of one order number counts, an empty span value gives the value itself
     assert spans["gold_med_1"] == ("a", 2, 5) and spans["gold_dx_1"] == ("epilepsy", 30, 38)
     assert spans["gold_eeg"] == ("normal", None, None)
+
+
+def test_long_scores_need_one_pass_and_only_their_columns(spark):
+    gold = small_gold(spark)
+    side = CH.event_side(SEL.aggregate_events(SEL.gold_events(gold)), spark.createDataFrame([("d1",), ("d2",)], "document_id string"), "oracle")
+    wanted = ["medication_full", "eeg", "current_seizure_frequency_pragmatic"]
+    part = CH.score_sides(side, CH.gold_side(gold), CH.columns_for(wanted))
+    assert part.columns == [*CH.KEY, "sets", "pred_coarse", "gold_coarse", "eeg_ok"]
+    rows = CH.long_scores(part, wanted)
+    assert "Union" not in optimized(rows).split("Join")[0] and V.EVERY_PATTERN not in optimized(CH.long_scores(CH.score_sides(side, CH.gold_side(gold), ["eeg_ok"]), ["eeg"]))
+    whole = CH.long_scores(CH.score_sides(side, CH.gold_side(gold)))
+    assert sorted(map(str, rows.collect())) == sorted(map(str, whole.filter(whole.metric.isin(wanted)).collect()))
+    assert whole.count() == 2 * 21
