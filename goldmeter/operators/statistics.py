@@ -51,7 +51,8 @@ def resample_exact(doc_stats: DataFrame, by: list[str], id_column: str, iteratio
     """Exact-size bootstrap: n draws with replacement per iteration through a hashed position join.
 
     Positions are numbered inside 4,096 hash buckets; the buckets' sizes (at most 4,096 rows per group) give their offsets. It
-    shuffles iterations x documents rows; `bootstrap` needs no join and is the form for large tables.
+    shuffles iterations x documents draws, which stream past a hash table of the documents; `bootstrap` needs no join and is the
+    form for large tables.
     """
     rows = doc_stats.select(*by, id_column, *sums).withColumn("_b", F.conv(F.substring(F.md5(F.col(id_column).cast("string")), 1, 3), 16, 10).cast("int"))
     order = W.partitionBy(*by).orderBy("_b")
@@ -62,13 +63,14 @@ def resample_exact(doc_stats: DataFrame, by: list[str], id_column: str, iteratio
     inside = F.row_number().over(W.partitionBy(*by, "_b").orderBy(id_column)) - 1
     placed = rows.withColumn("_i", inside).join(offsets, [*by, "_b"]).select(
         *by, id_column, *sums, F.col("_all").alias("_n"), (F.col("_start") + F.col("_i")).cast("int").alias("_pos"))
+    # few bytes are read here but many draws made, so the number of tasks is not left to the bytes
+    placed = placed.repartition(int(doc_stats.sparkSession.conf.get("spark.sql.shuffle.partitions")), *by, "_pos")
     draws = placed.select(*by, "_n", F.col("_pos").alias("slot"), _iterations(iterations).alias("iteration"))
     h = hash_number(F.lit(str(seed)), F.col("iteration").cast("string"), F.col("slot").cast("string"))
     draws = draws.withColumn("_pos", (h % F.col("_n")).cast("int"))
-    # draws of one slot collapse to a weight per (iteration, position) before the join
-    weights = draws.groupBy(*by, "iteration", "_pos").agg(F.count(F.lit(1)).alias("w"))
-    return weights.join(placed.drop("_n"), [*by, "_pos"]).groupBy(*by, "iteration").agg(
-        F.sum("w").alias("n"), *[F.sum(F.col("w") * F.col(c)).alias(c) for c in sums])
+    # a draw meets the document of its position and is summed at once: only that position's documents are held, never the draws
+    met = draws.select(*by, "iteration", "_pos").join(placed.drop("_n", id_column).hint("shuffle_hash"), [*by, "_pos"])
+    return met.groupBy(*by, "iteration").agg(F.count(F.lit(1)).alias("n"), *[F.sum(c).alias(c) for c in sums])
 
 
 def interval_table(samples: DataFrame, by: list[str], value: str) -> DataFrame:

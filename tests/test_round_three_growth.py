@@ -5,6 +5,7 @@ from fixtures import gold_frames
 from goldmeter.functions import vocabulary as V
 from goldmeter.operators import chains as CH
 from goldmeter.operators import selection as SEL
+from goldmeter.operators import statistics as ST
 
 
 def optimized(frame):
@@ -38,3 +39,13 @@ def test_long_scores_need_one_pass_and_only_their_columns(spark):
     whole = CH.long_scores(CH.score_sides(side, CH.gold_side(gold)))
     assert sorted(map(str, rows.collect())) == sorted(map(str, whole.filter(whole.metric.isin(wanted)).collect()))
     assert whole.count() == 2 * 21
+
+
+def test_exact_draws_are_not_grouped_by_position(spark):
+    rows = spark.createDataFrame([("S", i, i % 2, i % 3) for i in range(300)], "system string, doc_id int, tp long, fp long")
+    out = ST.resample_exact(rows, ["system"], "doc_id", 20, 42, ["tp", "fp"])
+    plan = optimized(out)
+    assert "iteration" in plan and not any("iteration" in line and "_pos" in line for line in plan.splitlines() if "Aggregate [" in line)
+    assert "ShuffledHashJoin" in out._jdf.queryExecution().sparkPlan().toString()
+    got = out.collect()
+    assert len(got) == 20 and all(r.n == 300 for r in got) and len({r.tp for r in got}) > 5
