@@ -8,8 +8,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from goldmeter.functions.text import find_text, let, line_array, norm_rate_text, norm_text, rstrip, strip
-from goldmeter.operators.passages import exact_quote, quote_is_valid
+from goldmeter.functions.text import computed_once, folded_case, let, line_array, norm_rate_text, norm_text, rstrip, strip
+from goldmeter.operators.passages import quote_is_valid
 
 
 @dataclass(frozen=True)
@@ -129,23 +129,23 @@ def chosen(ids: list[str] | None, candidates: list[Perturbation]) -> list[Pertur
     return [by_id[i] for i in ids]
 
 
-def perturb(letters: DataFrame, perturbations: list[Perturbation]) -> DataFrame:
-    """One row per (letter, perturbation): new id, source id, provenance, text.
+def perturb(letters: DataFrame, perturbations: list[Perturbation], *keep: str) -> DataFrame:
+    """One row per (letter, perturbation): new id, source id, provenance, text, and the letter's columns `keep`.
 
     The fixed list of perturbations is exploded inside the row, and only the text of the
     generated perturbation is computed, so a letter is read once and nothing is shuffled.
     """
     listed = F.array(*[F.struct(F.lit(p.id).alias("perturbation_id"), F.lit(p.label_effect).alias("label_effect"),
                                 F.lit(p.dataset).alias("source_dataset"), F.lit(p.description).alias("description")) for p in perturbations])
-    rows = letters.select(F.col("document_id").alias("source_document_id"), F.col("text").alias("_t"), F.explode(listed).alias("p")).select(
-        "source_document_id", "_t", "p.*")
+    rows = letters.select(F.col("document_id").alias("source_document_id"), F.col("text").alias("_t"), *keep, F.explode(listed).alias("p")).select(
+        "source_document_id", "_t", *keep, "p.*")
     text = F.lit(None).cast("string")
     for p in reversed(perturbations):
         text = F.when(F.col("perturbation_id") == p.id, p.apply(F.col("_t"))).otherwise(text)
     safe = F.btrim(F.regexp_replace("perturbation_id", "[^A-Za-z0-9_]+", "_"), F.lit("_"))
     return rows.select(
         F.concat(F.col("source_document_id").cast("string"), F.lit("__"), safe).alias("document_id"), "source_document_id", "source_dataset",
-        "perturbation_id", "label_effect", "description", text.alias("text"))
+        "perturbation_id", "label_effect", "description", text.alias("text"), *keep)
 
 
 def trap_start(original: Column) -> Column:
@@ -159,29 +159,46 @@ def trap_quotes(grounded: DataFrame, letters: DataFrame, by: list[str]) -> DataF
     `grounded`: by..., source_document_id, quote, char_start, char_end, valid; `letters`: the originals.
     """
     ends = letters.select(F.col("document_id").alias("source_document_id"), trap_start(F.col("text")).alias("_trap"))
-    joined = grounded.join(ends, "source_document_id")
-    return joined.groupBy(*by).agg(
+    return _trap_counts(grounded.join(ends, "source_document_id"), by)
+
+
+def _trap_counts(grounded: DataFrame, by: list[str]) -> DataFrame:
+    return grounded.groupBy(*by).agg(
         F.count("quote").alias("quotes"), F.count_if(F.col("char_end") > F.col("_trap")).alias("trap_quotes"),
         F.count_if(F.col("quote").isNotNull() & ~F.col("valid")).alias("invalid_quotes"))
 
 
 def ground_exactly(claims: DataFrame) -> DataFrame:
-    """Claims with their letter in `text`: quote (first occurrence of the value, as written there), char_start, char_end, valid."""
-    at = find_text(F.col("text"), F.col("value"))
-    placed = claims.withColumn("quote", exact_quote(F.col("text"), F.col("value"))).withColumn("char_start", at)
+    """Claims with their letter in `text`: quote (first occurrence of the value, as written there), char_start, char_end, valid.
+
+    Forms of the letter that are there already, `text_low` (folded case) and `text_norm`, are taken as they are.
+    """
+    low = F.col("text_low") if "text_low" in claims.columns else folded_case(F.col("text"))
+    norm = F.col("text_norm") if "text_norm" in claims.columns else norm_text(F.col("text"))
+    value = folded_case(F.col("value"))
+    at = let(F.instr(low, value), lambda i: F.when((i > 0) & (F.length("value") > 0), i - 1))
+    placed = computed_once(claims, claims.columns, char_start=at)
+    there = F.substring("text", F.col("char_start") + 1, F.length(value))
+    placed = computed_once(placed, placed.columns, quote=F.when(F.col("char_start").isNotNull(), there))
     return placed.withColumn("char_end", F.col("char_start") + F.length("quote")).withColumn(
-        "valid", F.coalesce(quote_is_valid(norm_text(F.col("text")), F.col("quote")), F.lit(False)))
+        "valid", F.coalesce(quote_is_valid(norm, F.col("quote")), F.lit(False)))
 
 
 def trap_audit(letters: DataFrame, claims: DataFrame, perturbations: list[Perturbation], by: list[str], ground=ground_exactly) -> DataFrame:
     """Ground the claims of each letter anew in its perturbed versions and count quotes that reach into the appended trap.
 
     `letters`: document_id, text; `claims`: document_id, value and further columns; `by`: columns of the counts, perturbation_id
-    or claim columns; `ground` takes claims with `text` and adds quote, char_start, char_end, valid.
+    or claim columns; `ground` takes claims with `text` and adds quote, char_start, char_end, valid. A letter's claims meet it in
+    one row, and a version's text and its folded forms are computed once for all of them.
     """
-    versions = perturb(letters, perturbations).select("source_document_id", "perturbation_id", "text")
-    asked = claims.withColumnRenamed("document_id", "source_document_id").join(versions, "source_document_id")
-    return trap_quotes(ground(asked).drop("text"), letters, by)
+    own = claims.groupBy("document_id").agg(F.collect_list(F.struct(*[c for c in claims.columns if c != "document_id"])).alias("_claims"))
+    met = letters.select("document_id", "text").join(own, "document_id")
+    kept = ["source_document_id", "perturbation_id", "_claims", "_trap"]
+    versions = perturb(met.withColumn("_trap", trap_start(F.col("text"))), perturbations, "_claims", "_trap")
+    versions = computed_once(versions, kept, text=F.col("text"))
+    forms = computed_once(versions, [*kept, "text"], text_low=folded_case(F.col("text")), text_norm=norm_text(F.col("text")))
+    asked = forms.select("source_document_id", "perturbation_id", "_trap", "text", "text_low", "text_norm", F.inline("_claims"))
+    return _trap_counts(ground(asked).drop("text", "text_low", "text_norm"), by)
 
 
 def robust_deltas(robust: DataFrame, clean: DataFrame, keys: list[str]) -> DataFrame:
