@@ -13,7 +13,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from goldmeter.functions.spans import with_offsets
-from goldmeter.functions.text import let, text_of
+from goldmeter.functions.text import computed_once, let, text_of
 
 _SIGN = r"\p{L}\p{N}_"
 WORD = f"[{_SIGN}]+"
@@ -42,23 +42,6 @@ def surfaces(dictionary: DataFrame) -> DataFrame:
     return best.select("gram", F.size(F.split("gram", " ")).alias("n"), "own.surface", "own.concept", "own.rank")
 
 
-def _stretches(words: Column, lengths: list[int]) -> Column:
-    """Array of (word_no, n, char_start, char_end, gram) for every place and every length that fits."""
-    def at(all_words, i):
-        def of(n):
-            last = F.get(all_words, i + (n - 1))
-            gram = F.array_join(F.transform(F.slice(all_words, i + 1, n), lambda w: w["word"]), " ")
-            return F.when(last.isNotNull(), F.struct(i.alias("word_no"), F.lit(n).alias("n"), F.get(all_words, i)["start"].alias("char_start"), last["end"].alias("char_end"), gram.alias("gram")))
-
-        return F.filter(F.array(*[of(n) for n in lengths]), lambda s: s.isNotNull())
-
-    def every(all_words):
-        places = F.when(F.size(all_words) > 0, F.sequence(F.lit(0), F.size(all_words) - 1)).otherwise(F.array().cast("array<int>"))
-        return F.flatten(F.transform(places, lambda i: at(all_words, i)))
-
-    return let(words, every)
-
-
 def dictionary_hits(texts: DataFrame, dictionary: DataFrame, key: str = "document_id", text: str = "text") -> DataFrame:
     """key, word_no, n, char_start, char_end, surface, concept, rank: every place of every surface, overlapping ones too.
 
@@ -69,7 +52,16 @@ def dictionary_hits(texts: DataFrame, dictionary: DataFrame, key: str = "documen
     if not lengths:
         return texts.select(F.col(key), F.lit(0).alias("word_no"), F.lit(0).alias("n"), F.lit(0).alias("char_start"), F.lit(0).alias("char_end")).limit(0).join(
             known.select("surface", "concept", "rank").limit(0), F.lit(True), "inner")
-    rows = texts.select(F.col(key), F.inline(_stretches(placed_words(F.col(text)), lengths)))
+    # one scanning task may hold all texts, so they are dealt out first; a text's words are told once, then a row for each place and
+    # length is made outside of lambdas, in generated code
+    dealt = texts.select(F.col(key), F.col(text).alias("_text")).repartition(int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions")), F.col(key))
+    words = computed_once(dealt, [key], _words=placed_words(F.col("_text")))
+    parts = computed_once(words, [key], _w=F.struct(*[F.col("_words")[c].alias(c) for c in ("start", "end", "word")]))
+    places = parts.select(key, F.col("_w.start").alias("_s"), F.col("_w.end").alias("_e"), F.col("_w.word").alias("_g"))
+    places = places.select(key, "_s", "_e", "_g", F.posexplode("_g").alias("word_no", "_first"))
+    each = places.select(key, "_s", "_e", "_g", "word_no", F.explode(F.array(*[F.lit(n) for n in lengths])).alias("n")).filter(F.col("word_no") + F.col("n") <= F.size("_g"))
+    gram = F.array_join(F.slice("_g", F.col("word_no") + 1, F.col("n")), " ")
+    rows = each.select(key, "word_no", "n", F.get("_s", F.col("word_no")).alias("char_start"), F.get("_e", F.col("word_no") + F.col("n") - 1).alias("char_end"), gram.alias("gram"))
     return rows.join(known.drop("n"), "gram").select(key, "word_no", "n", "char_start", "char_end", "surface", "concept", "rank")
 
 

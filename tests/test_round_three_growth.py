@@ -4,6 +4,7 @@ from fixtures import ev, gold_frames, med, record, records_frame, scalar
 
 from goldmeter.functions import vocabulary as V
 from goldmeter.operators import chains as CH
+from goldmeter.operators import dictionary as D
 from goldmeter.operators import perturb as X
 from goldmeter.operators import selection as SEL
 from goldmeter.operators import statistics as ST
@@ -72,3 +73,10 @@ def test_a_letters_claims_share_its_perturbed_text(spark):
     assert {r.kind: (r.quotes, r.trap_quotes, r.invalid_quotes) for r in out.collect()} == {"x": (1, 0, 0), "y": (1, 1, 0), "z": (1, 0, 0)}
     # a version's text is made and folded once, not once a claim
     assert optimized(out).count("There is no report") == 1 and optimized(out).count("Join ") == 1
+
+
+def test_texts_are_dealt_out_before_their_stretches_are_made(spark):
+    texts = spark.createDataFrame([(1, "A tonic-clonic seizure"), (2, None), (3, "")], "document_id int, text string")
+    hits = D.dictionary_hits(texts, spark.createDataFrame([("tonic clonic", "gtc"), ("seizure", "s")], "surface string, concept string"))
+    assert sorted((r.word_no, r.n, r.char_start, r.char_end, r.concept) for r in hits.collect()) == [(1, 2, 2, 14, "gtc"), (3, 1, 15, 22, "s")]
+    assert "RepartitionByExpression" in optimized(hits) and "posexplode" in optimized(hits)
