@@ -133,13 +133,14 @@ ANN = f"""ann AS (SELECT l_orderkey AS d, row_number() OVER (PARTITION BY l_orde
 
 def annotations(spark, d):
     """Annotation table of the driver: one annotation per order line."""
-    w = W.partitionBy("l_orderkey").orderBy(*[c.strip() for c in _ORDER.split(",")])
-    li = table(spark, d, "lineitem")
+    w = W.partitionBy("l_orderkey").orderBy(*[F.asc_nulls_last(c.strip()) for c in _ORDER.split(",")])
+    # numbered before anything is derived, so that only the table's own columns are shuffled
+    li = table(spark, d, "lineitem").withColumn("line_no", F.row_number().over(w))
     s = (F.col("l_partkey") % 12) * 10
     concept = F.when(F.col("l_suppkey") % 3 != 0, pick(["p", "q", "r"], F.col("l_partkey")))
     attrs = F.map_filter(F.create_map(F.lit("DrugDose"), (F.col("l_suppkey") % 4).cast("string"), F.lit("CUIPhrase"), concept), lambda k, v: v.isNotNull())
     return li.select(
-        F.col("l_orderkey").alias("document_id"), F.row_number().over(w).alias("line_no"), pick(LABELS, F.col("l_linenumber")).alias("label"),
+        F.col("l_orderkey").alias("document_id"), "line_no", pick(LABELS, F.col("l_linenumber")).alias("label"),
         s.cast("int").alias("char_start"), (s + 3 + F.floor("l_quantity") % 25).cast("int").alias("char_end"), attrs.alias("attributes"), "l_returnflag"
     ).withColumn("ann_id", F.concat(F.lit("T"), F.col("line_no").cast("string"))).withColumn("annotation_text", F.concat(F.lit("x"), F.col("ann_id")))
 
@@ -169,13 +170,13 @@ def same_span_types(spark, d):
 SELECT ev.d AS document_id, ev.label, ev.n AS line_no, CASE WHEN ev.n % 3 <> 0 THEN EXISTS (SELECT 1 FROM gs WHERE gs.d = ev.d AND gs.label = ev.label AND least(ev.e, gs.e) > greatest(ev.s, gs.s))
  ELSE EXISTS (SELECT 1 FROM gs WHERE gs.d = ev.d AND gs.label = ev.label AND (contains('s' || gs.s || 'e' || gs.e, 's' || ev.s) OR contains('s' || ev.s, 's' || gs.s || 'e' || gs.e))) END AS overlaps_gold FROM ev""")
 def evidence_gold_overlap(spark, d):
-    a = annotations(spark, d)
-    placed = F.col("line_no") % 3 != 0
-    ev = a.filter("l_returnflag <> 'R'").select("document_id", "label", "line_no", F.when(placed, F.col("char_start")).alias("char_start"), F.when(placed, F.col("char_end")).alias("char_end"),
-                                                F.concat(F.lit("s"), F.col("char_start").cast("string")).alias("quote_norm"))
-    gs = a.filter("l_returnflag = 'R'").select("document_id", "label", F.col("char_start").alias("start"), F.col("char_end").alias("end"),
-                                               F.concat(F.lit("s"), F.col("char_start").cast("string"), F.lit("e"), F.col("char_end").cast("string")).alias("value_norm"))
-    return I.overlap_flags(ev, gs, ["document_id", "label"]).select("document_id", "label", "line_no", "overlaps_gold")
+    start, end = F.col("char_start"), F.col("char_end")
+    quote = F.concat(F.lit("s"), start.cast("string"))
+    value = F.concat(quote, F.lit("e"), end.cast("string"))
+    rows = annotations(spark, d).filter("l_returnflag IS NOT NULL").select(
+        "document_id", "label", "line_no", start, end, (F.col("line_no") % 3 != 0).alias("placed"), quote.alias("quote_norm"),
+        F.when(F.col("l_returnflag") == "R", F.struct(start.alias("start"), end.alias("end"), value.alias("value_norm"))).alias("gold"))
+    return I.mark_overlaps(rows, ["document_id", "label"]).select("document_id", "label", "line_no", "overlaps_gold")
 
 
 @query("table_offset_issues", f"""WITH {ANN}, t AS (SELECT o_orderkey AS d, (['Diagnosis', 'Prescription', 'Onset'])[o_custkey % 3 + 1] AS label, CAST((o_custkey % 12) * 10 + o_orderkey % 3 AS INT) AS s0, CAST((o_custkey % 12) * 10 + 14 AS INT) AS e0 FROM orders)
