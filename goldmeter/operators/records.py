@@ -411,14 +411,16 @@ def best_of(candidates: DataFrame, keys: list[str], score: str, order: str) -> D
 # ---- keys for scoring -------------------------------------------------------------------
 
 
-def metric_keys(record: Column) -> Column:
-    """array<(metric, key)> of all set-scored predictions of a record."""
+def metric_keys(record: Column, medications: bool = True) -> Column:
+    """array<(metric, key)> of all set-scored predictions of a record; without `medications` of its seizure types only."""
     f = record["fields"]
+    types = seizure_type_keys(F.transform(f["seizure_types"], lambda s: N.seizure_type(s["value"])))
+    if not medications:
+        return types
     meds = F.transform(f["current_anti_seizure_medications"], lambda m: F.struct(
         N.medication_name(m["name"]).alias("n"), N.dose_value(m["dose"]).alias("d"),
         N.dose_unit(m["dose_unit"]).alias("u"), N.dosing_schedule(m["frequency"]).alias("s")))
-    return F.concat(medication_keys(meds), seizure_type_keys(
-        F.transform(f["seizure_types"], lambda s: N.seizure_type(s["value"]))))
+    return F.concat(medication_keys(meds), types)
 
 
 _KEYS = "array<struct<metric:string,key:string>>"

@@ -41,7 +41,11 @@ def failure_tags(scores: DataFrame, facts: DataFrame) -> DataFrame:
     table = F.create_map(*[F.lit(v) for p in METRIC_TAGS.items() for v in p])
     tags = scores.filter(wrong).groupBy(*KEY).agg(
         F.collect_set(F.try_element_at(table, F.col("metric"))).alias("_t"), F.count(F.lit(1)).alias("_wrong"))
-    joined = facts.join(tags, KEY, "left")
+    return tagged(facts.join(tags, KEY, "left"))
+
+
+def tagged(rows: DataFrame) -> DataFrame:
+    """Tags and quote-error class of rows with the facts of `failure_tags`, `_t` (tags of wrong metrics) and `_wrong` (their number)."""
     bad_quotes = F.coalesce(F.col("quotes") - F.col("valid_quotes"), F.lit(0)) > 0
     own = F.array(
         F.when(~F.col("available"), F.lit("missing_output")), F.when(~F.coalesce("schema_valid", F.lit(False)), F.lit("schema_or_parse")),
@@ -49,7 +53,7 @@ def failure_tags(scores: DataFrame, facts: DataFrame) -> DataFrame:
     every = F.array_sort(F.array_distinct(F.concat(F.filter(own, lambda x: x.isNotNull()), F.coalesce("_t", F.array().cast("array<string>")))))
     quote_class = (F.when(bad_quotes, "quote_invalid").when(F.coalesce("_wrong", F.lit(0)) > 0, "quote_valid_but_semantically_wrong_or_missing")
                    .otherwise("no_field_error"))
-    return joined.select(*KEY, F.when(F.size(every) == 0, "none_flagged").otherwise(F.array_join(every, "|")).alias("tags"),
+    return rows.select(*KEY, F.when(F.size(every) == 0, "none_flagged").otherwise(F.array_join(every, "|")).alias("tags"),
                          quote_class.alias("quote_error_class"))
 
 
