@@ -69,3 +69,14 @@ def test_document_utility_is_told_inside_the_row(spark, corpus):
     same(CH.document_utility(told(corpus, "sets", *CH.QUALITY)), want)
     plan = query_plan(spark, "document_utility")
     assert plan.count("Join ") == 1 and V.EVERY_PATTERN not in plan
+
+
+def test_error_budget_joins_once(spark, corpus):
+    from pyspark.sql import functions as F
+    facts, sets, _, scalars = by_joins(corpus)
+    expected, metrics = corpus[2], ["medication_name", "seizure_type"]
+    found = M.expected_available(expected, facts.select(*CH.KEY, "schema_valid", (F.col("quotes") - F.col("valid_quotes")).alias("invalid_quotes")), CH.KEY)
+    want = ST.error_budget(S.utilities(expected, S.document_scores(sets, scalars), metrics), found)
+    same(CH.error_budget(expected, told(corpus, "sets", *CH.QUALITY), metrics), want)
+    plan = query_plan(spark, "error_budget")
+    assert plan.count("Join ") == 2 and V.EVERY_PATTERN not in plan

@@ -314,11 +314,7 @@ SELECT ex.system, m.metric, count(*) AS documents, count(*) FILTER (coalesce(f1,
  count(*) FILTER (fx.quotes > fx.valid_quotes) AS quote_invalid_outputs, count(*) FILTER (coalesce(f1, 0) < 1) / count(*) AS field_failure_rate
 FROM ex CROSS JOIN (VALUES ('medication_name'), ('medication_full'), ('seizure_type')) m(metric) LEFT JOIN ss ON ss.system = ex.system AND ss.document_id = ex.document_id AND ss.metric = m.metric LEFT JOIN fx ON fx.system = ex.system AND fx.document_id = ex.document_id GROUP BY 1, 2""")
 def error_budget(spark, d):
-    r, _, facts, _, sets, scalars = parts(spark, d)
-    ex = C.expected(spark, d)
-    u = S.utilities(ex, S.document_scores(sets, S.scalar_long(scalars)), ["medication_name", "medication_full", "seizure_type"])
-    f = M.expected_available(ex, facts.select("system", "document_id", "schema_valid", (F.col("quotes") - F.col("valid_quotes")).alias("invalid_quotes")), ["system", "document_id"])
-    return ST.error_budget(u, f)
+    return CH.error_budget(C.expected(spark, d), quality(spark, d), ["medication_name", "medication_full", "seizure_type"])
 
 
 @query("document_utility", f"""WITH {C.SET_SCORES}, {FACTS.split(C.SYS + ',')[1]} SELECT ss.system, ss.document_id, round((avg(f1) + any_value(CAST(schema_valid AS INT)) + any_value(temporal_correct / temporal_checked) + any_value(valid_quotes / quotes)) / 4, 9) AS score FROM ss JOIN fx USING (system, document_id) GROUP BY 1, 2""")
