@@ -80,3 +80,11 @@ def test_error_budget_joins_once(spark, corpus):
     same(CH.error_budget(expected, told(corpus, "sets", *CH.QUALITY), metrics), want)
     plan = query_plan(spark, "error_budget")
     assert plan.count("Join ") == 2 and V.EVERY_PATTERN not in plan
+
+
+def test_failure_tags_are_told_inside_the_row(spark, corpus):
+    from pyspark.sql import functions as F
+    facts, sets, _, _ = by_joins(corpus)
+    rows = sets.select(*CH.KEY, "metric", F.lit("set").alias("kind"), "fp", "fn", F.lit(None).cast("boolean").alias("correct"))
+    same(CH.failure_tags(told(corpus, "sets", *CH.QUALITY)), RV.failure_tags(rows, facts.withColumn("available", F.lit(True))))
+    assert query_plan(spark, "failure_tags").count("Join ") == 1

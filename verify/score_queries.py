@@ -339,8 +339,7 @@ def incorrect_fields(spark, d):
  CASE WHEN quotes > valid_quotes THEN 'quote_invalid' WHEN incorrect_count > 0 THEN 'quote_valid_but_semantically_wrong_or_missing' ELSE 'no_field_error' END AS quote_error_class FROM wr JOIN fx USING (system, document_id))
 SELECT system, document_id, CASE WHEN len(tags) = 0 THEN 'none_flagged' ELSE array_to_string(tags, '|') END AS tags, quote_error_class FROM tg""")
 def failure_tags(spark, d):
-    _, _, facts, _, sets, _ = parts(spark, d)
-    return RV.failure_tags(_set_scores_only(sets), facts.withColumn("available", F.lit(True)))
+    return CH.failure_tags(quality(spark, d))
 
 
 ERR = f"{C.FLAGS}, er AS (SELECT system, document_id, metric, key, CASE WHEN in_pred THEN 'fp' ELSE 'fn' END AS error_type FROM fl WHERE in_pred <> in_gold AND metric IN ('medication_name', 'medication_full', 'seizure_type'))"
