@@ -88,3 +88,10 @@ def test_failure_tags_are_told_inside_the_row(spark, corpus):
     rows = sets.select(*CH.KEY, "metric", F.lit("set").alias("kind"), "fp", "fn", F.lit(None).cast("boolean").alias("correct"))
     same(CH.failure_tags(told(corpus, "sets", *CH.QUALITY)), RV.failure_tags(rows, facts.withColumn("available", F.lit(True))))
     assert query_plan(spark, "failure_tags").count("Join ") == 1
+
+
+def test_field_table_is_one_pass(spark, corpus):
+    _, _, flags, scalars = by_joins(corpus)
+    wanted = S.SCALAR_METRICS[:4]
+    same(CH.field_table(told(corpus, *MATCHED, *CH.columns_for(wanted)), wanted), S.field_table(flags, scalars))
+    assert query_plan(spark, "field_precision_recall").count("Join ") == 1

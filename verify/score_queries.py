@@ -305,8 +305,8 @@ def system_summary(spark, d):
 SELECT system, field, label, CAST(tp AS BIGINT) AS tp, CAST(fp AS BIGINT) AS fp, CAST(fn AS BIGINT) AS fn, precision, recall, f1 FROM lf
 UNION ALL SELECT system, m, '__document_accuracy__', count(*) FILTER (v), count(*) FILTER (NOT v), 0, avg(CAST(v AS INT)), 1.0, avg(CAST(v AS INT)) FROM (SELECT system, unnest(['current_seizure_frequency', 'current_seizure_frequency_relaxed', 'current_seizure_frequency_loose', 'current_seizure_frequency_per_letter']) AS m, unnest([exact, relaxed, loose, per_letter]) AS v FROM sl) GROUP BY 1, 2""")
 def field_precision_recall(spark, d):
-    _, _, _, flags, _, scalars = parts(spark, d)
-    return S.field_table(flags, S.scalar_long(scalars))
+    wanted = S.SCALAR_METRICS[:4]
+    return CH.field_table(scores(spark, d, *MATCHED, *CH.columns_for(wanted)), wanted)
 
 
 @query("error_budget", f"""WITH {C.SET_SCORES}, {FACTS.split(C.SYS + ',')[1]}, ex AS (SELECT 'O' || o_orderkey AS document_id, v.system FROM orders, (VALUES ('A'), ('B')) v(system))
