@@ -95,3 +95,8 @@ def test_field_table_is_one_pass(spark, corpus):
     wanted = S.SCALAR_METRICS[:4]
     same(CH.field_table(told(corpus, *MATCHED, *CH.columns_for(wanted)), wanted), S.field_table(flags, scalars))
     assert query_plan(spark, "field_precision_recall").count("Join ") == 1
+
+
+def test_failure_modes_look_for_no_quotes(spark, corpus):
+    plan = query_plan(spark, "frequency_failure_modes")
+    assert V.FORMULATION_PATTERN not in plan and "Medication:" not in plan

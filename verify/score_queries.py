@@ -397,7 +397,7 @@ def error_examples(spark, d):
 SELECT system, document_id, CASE WHEN per_letter THEN NULL WHEN gold_annotations = 0 AND fq <> '' THEN 'no_gold_frequency' WHEN gold_annotations > 0 AND fq = '' THEN 'missing_prediction' WHEN fq = 'rare' THEN 'unparsed_prediction'
  WHEN fq <> '' AND k % 3 = 0 THEN 'wrong_span' WHEN NOT scope_ok THEN 'wrong_temporality' WHEN NOT period_hit THEN 'wrong_period' WHEN NOT count_hit THEN 'wrong_count' ELSE 'task_definition_mismatch' END AS failure_mode FROM md""")
 def frequency_failure_modes(spark, d):
-    scalars = parts(spark, d)[5]
+    scalars = scores(spark, d, "per_letter", "gold_annotations", "scope_ok", "period_hit", "count_hit")
     p = C.systems(spark, d).select("system", "document_id", F.col("fq").alias("predicted"), F.when(F.col("fq") == "rare", "unparsed").when(F.col("fq") == "", "").otherwise("rate").alias("parsed_class"),
                                    (F.col("fq") != "").alias("has_evidence"), (F.col("k") % 3 != 0).alias("evidence_overlaps"))
     return RV.frequency_failure_mode(scalars, p)
