@@ -100,3 +100,13 @@ def test_field_table_is_one_pass(spark, corpus):
 def test_failure_modes_look_for_no_quotes(spark, corpus):
     plan = query_plan(spark, "frequency_failure_modes")
     assert V.FORMULATION_PATTERN not in plan and "Medication:" not in plan
+
+
+def test_abstention_needs_seizure_types_only(spark, corpus):
+    records, gold, _ = corpus
+    flags = S.set_score_flags(records, gold)
+    got = CH.abstention(CH.score_sides(CH.type_side(records), CH.gold_side(gold), MATCHED))
+    same(got, S.abstention(flags, records))
+    assert {(r.system, r.document_id): r.category for r in got.collect()}["B", "d5"] == "unsupported_specificity"
+    plan = query_plan(spark, "abstention_rates")
+    assert plan.count("Join ") == 1 and V.FORMULATION_PATTERN not in plan

@@ -216,15 +216,13 @@ ac AS (SELECT system, document_id, CASE WHEN gu AND NOT gsp THEN CASE WHEN pu AN
 
 @query("abstention_categories", f"WITH {ABST} SELECT system, document_id, category FROM ac")
 def abstention_categories(spark, d):
-    r, _, _, flags, _, _ = parts(spark, d)
-    return S.abstention(flags, r).select("system", "document_id", "category")
+    return CH.abstention(_typed(spark, d)).select("system", "document_id", "category")
 
 
 @query("abstention_rates", f"""WITH {ABST} SELECT system, count(*) FILTER (needs) AS abstention_case_count, count(*) FILTER (category = 'correct_abstention') / count(*) FILTER (needs) AS correct_abstention_rate,
  count(*) FILTER (category = 'over_abstention') / count(*) FILTER (gsp) AS over_abstention_rate, count(*) FILTER (category = 'granularity_mismatch') AS granularity_mismatch_count FROM ac GROUP BY 1""")
 def abstention_rates(spark, d):
-    r, _, _, flags, _, _ = parts(spark, d)
-    return S.abstention_rates(S.abstention(flags, r), ["system"]).select(
+    return S.abstention_rates(CH.abstention(_typed(spark, d)), ["system"]).select(
         "system", "abstention_case_count", "correct_abstention_rate", "over_abstention_rate", "granularity_mismatch_count")
 
 
