@@ -110,3 +110,9 @@ def test_abstention_needs_seizure_types_only(spark, corpus):
     assert {(r.system, r.document_id): r.category for r in got.collect()}["B", "d5"] == "unsupported_specificity"
     plan = query_plan(spark, "abstention_rates")
     assert plan.count("Join ") == 1 and V.FORMULATION_PATTERN not in plan
+
+
+def test_errors_are_attributed_from_keys_alone(spark, corpus):
+    flags = S.set_score_flags(corpus[0], corpus[1])
+    same(RV.attribute_errors(CH.key_flags(told(corpus, *MATCHED)), None, "B"), RV.attribute_errors(flags, None, "B"))
+    assert V.EVERY_PATTERN not in query_plan(spark, "failure_pareto")

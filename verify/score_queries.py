@@ -176,7 +176,7 @@ def best_of_candidates(spark, d):
 
 @query("set_match_flags", f"WITH {C.FLAGS} SELECT system, metric, key, count(*) FILTER (in_pred AND in_gold) AS tp, count(*) FILTER (in_pred AND NOT in_gold) AS fp, count(*) FILTER (in_gold AND NOT in_pred) AS fn FROM fl GROUP BY 1, 2, 3")
 def set_match_flags(spark, d):
-    return M.count_flags(parts(spark, d)[3], ["system", "metric", "key"])
+    return M.count_flags(CH.key_flags(scores(spark, d, *MATCHED)), ["system", "metric", "key"])
 
 
 @query("document_set_scores", f"WITH {C.SET_SCORES} SELECT * FROM ss")
@@ -348,8 +348,7 @@ at_ AS (SELECT er.*, CASE WHEN er.metric <> 'medication_name' AND EXISTS (SELECT
 
 
 def _attributed(spark, d):
-    flags = parts(spark, d)[3]
-    errors = RV.attribute_errors(flags, None, "B")
+    errors = RV.attribute_errors(CH.key_flags(scores(spark, d, *MATCHED)), None, "B")
     return errors.filter(F.col("metric").isin("medication_name", "medication_full", "seizure_type"))
 
 
