@@ -116,3 +116,41 @@ def test_errors_are_attributed_from_keys_alone(spark, corpus):
     flags = S.set_score_flags(corpus[0], corpus[1])
     same(RV.attribute_errors(CH.key_flags(told(corpus, *MATCHED)), None, "B"), RV.attribute_errors(flags, None, "B"))
     assert V.EVERY_PATTERN not in query_plan(spark, "failure_pareto")
+
+
+def test_claims_meet_gold_in_one_pass(spark, corpus):
+    records, gold, _ = corpus
+    want = S.evidence_support(records, gold, CH.score_sides(CH.record_side(records), CH.gold_side(gold)))
+    assert {"supported", "invalid_quote", "no_quote"} <= {r.status for r in want.collect()}
+    same(CH.evidence_support(records, gold), want)
+    plan = query_plan(spark, "evidence_support")
+    assert plan.count("Join ") == 1 and plan.count("Medication:") == 2 and V.FORMULATION_PATTERN in plan
+
+
+def test_support_rates_are_one_pass(spark):
+    plan = query_plan(spark, "evidence_support_rates")
+    assert plan.count("Join ") == 1 and plan.count(V.EVERY_PATTERN) == 6
+
+
+def test_values_are_folded_once_a_mention(spark, corpus):
+    from pyspark.sql import functions as F
+
+    from goldmeter.functions import normalize as N
+    from goldmeter.functions.text import norm_value
+    from goldmeter.operators import records as R
+
+    values = spark.createDataFrame([(v,) for v in ("None", " N/A ", "not-stated", "unknown type", "unknown", "", None, "n a", "Nan\n", "1.5 /d")], "v string")
+    assert [r[0] for r in values.select(norm_value(F.col("v"))).collect()] == ["", "", "", "unknown type", "", "", "", "n a", "", "1.5 /d"]
+    plan = optimized(values.select(N.dosing_schedule(F.col("v")).alias("s"), N.dose_unit(F.col("v")).alias("u")))
+    assert plan.count("[^a-z0-9./]+") == 2
+    # validity and counts without names and paths tell what the lists with them tell
+    odd = corpus[0].withColumn("record", F.explode(F.array(
+        "record", F.col("record").withField("fields.eeg.status", F.lit("lost")), F.col("record").withField("fields.current_seizure_frequency", F.lit(None)),
+        F.col("record").withField("fields.seizure_types", F.lit(None)), F.col("record").withField("events", F.lit(None)), F.col("record").withField("fields", F.lit(None)),
+        F.col("record").withField("fields.current_anti_seizure_medications", F.transform("record.fields.current_anti_seizure_medications", lambda m: m.withField("evidence", F.lit(None)))))))
+    r = F.col("record")
+    rows = odd.select(*[(F.size(R.violations(r, q)) == 0).alias(f"a{q}") for q in (True, False)], *[R.is_valid(r, q).alias(f"b{q}") for q in (True, False)],
+                      F.transform(R.evidence_of(r), lambda e: e["quote"]).alias("quotes"), R.quotes_of(r).alias("found"),
+                      F.transform(R.fields_of(r), lambda x: x["with_evidence"]).alias("w"), F.transform(R.field_flags(r), lambda x: x["with_evidence"]).alias("v")).collect()
+    assert {x.aTrue for x in rows} == {True, False}
+    assert all(x.aTrue == x.bTrue and x.aFalse == x.bFalse and x.quotes == x.found and x.w == x.v for x in rows)
