@@ -154,3 +154,17 @@ def test_values_are_folded_once_a_mention(spark, corpus):
                       F.transform(R.fields_of(r), lambda x: x["with_evidence"]).alias("w"), F.transform(R.field_flags(r), lambda x: x["with_evidence"]).alias("v")).collect()
     assert {x.aTrue for x in rows} == {True, False}
     assert all(x.aTrue == x.bTrue and x.aFalse == x.bFalse and x.quotes == x.found and x.w == x.v for x in rows)
+
+
+def test_raw_scores_read_medications_for_their_keys_only(spark):
+    payload = '{"medications": [{"name": "Keppra", "dose": "500", "unit": "mg", "frequency": "bd"}, "lamictal"], "seizure_types": "focal seizures"}'
+    rows = spark.createDataFrame([("P", "d1", payload), ("P", "d2", None)], "system string, document_id string, payload string")
+    whole, slim = CH.payload_side(rows), CH.payload_side(rows, counts=False)
+    assert not any(c.startswith("raw_") for c in slim.columns) and whole.select(*slim.columns).collect() == slim.collect()
+    plan = query_plan(spark, "raw_payload_scores")
+    assert "pred_fine" not in plan and "_medication#" not in plan
+
+
+def test_raw_summary_computes_its_verdicts_only(spark):
+    plan = query_plan(spark, "raw_payload_summary")
+    assert "pred_fine" not in plan and "count_hit" not in plan and "raw_medication_count" in plan
